@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op3_sampled_splitters": sharding.op3,
+    "op5_line_frequency": quality.op5,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op5_line_frequency": quality.OP5_SQL,
 }
