@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import bpe, mixing, quality, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op3_sampled_splitters": sharding.op3,
     "op5_line_frequency": quality.op5,
+    "op6_byte_bpe": bpe.op6,
 }
 
 ORACLES = {
