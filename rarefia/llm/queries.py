@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, mixing, quality, sharding, sstable
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
+    "op2_sorted_string_tables": sstable.op2,
     "op3_sampled_splitters": sharding.op3,
     "op5_line_frequency": quality.op5,
     "op6_byte_bpe": bpe.op6,
