@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding, sstable
+from . import ann, bpe, mixing, quality, sharding, sstable
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sampled_splitters": sharding.op3,
     "op5_line_frequency": quality.op5,
     "op6_byte_bpe": bpe.op6,
+    "op9_projection_forest": ann.op9,
 }
 
 ORACLES = {
