@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, quality, sharding, sstable
+from . import ann, bpe, jaccard, mixing, quality, sharding, sstable
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_frequency": quality.op5,
     "op6_byte_bpe": bpe.op6,
     "op9_projection_forest": ann.op9,
+    "op10_token_group_matrix": jaccard.op10,
 }
 
 ORACLES = {
