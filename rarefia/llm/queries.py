@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, mixing, quality, sharding, sstable
+from . import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_sorted_string_tables": sstable.op2,
     "op3_sampled_splitters": sharding.op3,
+    "op4_line_suffix_array": line_dedup.op4,
     "op5_line_frequency": quality.op5,
     "op6_byte_bpe": bpe.op6,
     "op9_projection_forest": ann.op9,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op4_line_suffix_array": line_dedup.OP4_SQL,
     "op5_line_frequency": quality.OP5_SQL,
 }
