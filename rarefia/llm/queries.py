@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable
+from . import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_suffix_array": line_dedup.op4,
     "op5_line_frequency": quality.op5,
     "op6_byte_bpe": bpe.op6,
+    "op7_factorization_machine": toxicity.op7,
     "op9_projection_forest": ann.op9,
     "op10_token_group_matrix": jaccard.op10,
 }
