@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rarefia.llm.bpe import code_digests
-from rarefia.llm.common import table, written
+from rarefia.llm.common import shipped, table, written
 from rarefia.llm.jaccard import keep_one_of_each
 from rarefia.llm.line_dedup import dedup_lines
 from rarefia.llm.mixing import mix_sources
@@ -45,6 +45,8 @@ STAGES = [
     ("byte-level BPE", byte_bpe),
 ]
 
+STAGES = [(name, shipped(stage)) for name, stage in STAGES]
+
 #: SQL can express neither the join at this size nor BPE.
 ORACLE_SQL = None
 

@@ -27,7 +27,7 @@ from .common import columns_or_null, table, written
 #: Characters in a chunk, those it shares with the next, and how far the pattern can look beyond a match.
 CHUNK, OVERLAP, AHEAD = 32_768, 2_048, 3
 #: Words that a task remembers the ids of; then it starts anew.
-MEMO = 1_000_000
+MEMO = 200_000
 
 
 class Codec:

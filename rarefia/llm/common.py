@@ -6,9 +6,12 @@ number of sampled keys, the number of ranges), never by the rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,25 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+def shipped(query):
+    """The query, after this package has been sent to the executors, which need not have it installed."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        context = spark.sparkContext
+        if not getattr(context, "_rarefia_sent", False):
+            folder = Path(tempfile.mkdtemp(prefix="rarefia-code-"))
+            top = Path(__file__).resolve().parents[2]
+            with zipfile.ZipFile(folder / "rarefia_code.zip", "w") as z:
+                for f in sorted((top / "rarefia").rglob("*.py")):
+                    z.write(f, f.relative_to(top))
+            context.addPyFile(str(folder / "rarefia_code.zip"))
+            context._rarefia_sent = True
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

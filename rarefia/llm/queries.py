@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable, toxicity
+from .common import shipped
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_projection_forest": ann.op9,
     "op10_token_group_matrix": jaccard.op10,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
