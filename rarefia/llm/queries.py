@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable, toxicity
+from . import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable, suffix_dedup, toxicity
 from .common import shipped
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_line_frequency": quality.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_factorization_machine": toxicity.op7,
+    "op8_induced_suffix_array": suffix_dedup.op8,
     "op9_projection_forest": ann.op9,
     "op10_token_group_matrix": jaccard.op10,
 }
