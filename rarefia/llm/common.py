@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 #: White space between words: space and U+0009 to U+000D, nothing else.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Names for columns that are added beside those of a table that may have any.
+ROW, OWN = "_rarefia_row", "_rarefia_"
 
 
 def shipped(query):
@@ -50,12 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder for one written table, under ``spark.checkpoint.dir``, which all executors share.
 
-    Where that setting is missing (tests on one machine), it is set to a new temporary folder.
+    Where that setting is missing (tests on one machine), the session gets a new temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="rarefia-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        root = context._rarefia_folder = getattr(context, "_rarefia_folder", None) or tempfile.mkdtemp(prefix="rarefia-checkpoint-")
     return f"{root.rstrip('/')}/rarefia-{uuid.uuid4().hex}"
 
 
@@ -74,11 +76,15 @@ def _nullable(schema: T.StructType) -> T.StructType:
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            if "/rarefia-" in file:
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            discard_path(df.sparkSession, folder)
+
+
+def discard_path(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``scratch_dir`` named."""
+    if "/rarefia-" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, columns_or_null, discard, running_total, table, with_row_id, written
+from .common import OWN, ROW, WORD, columns_or_null, discard, running_total, table, with_row_id, written
 from .quality import drop_lines
 
 #: Words that a repeated run of lines must have.
@@ -100,13 +100,12 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = True) -> DataFrame:
     """The texts without later copies of repeated runs; the columns of ``docs``. A text whose lines all go was a copy as a
     whole: its row is dropped, unless told otherwise."""
-    names = docs.columns
-    rows = with_row_id(docs, "_row")
-    base = columns_or_null(rows, _row="long", doc_id="long", text="string").withColumnRenamed("_row", "row")
-    marks = repeated_lines(base, min_words)
-    out = drop_lines(rows.withColumnRenamed("_row", "row").withColumn("_full", F.coalesce(F.octet_length("text"), F.lit(0)) > 0), marks)
+    names, full = docs.columns, f"{OWN}full"
+    rows = with_row_id(docs, ROW)
+    base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", text="string").withColumnRenamed(ROW, "row")
+    out = drop_lines(rows.withColumn(full, F.coalesce(F.octet_length("text"), F.lit(0)) > 0), repeated_lines(base, min_words))
     if drop_emptied:
-        out = out.where(~F.col("_full") | (F.octet_length("text") > 0))
+        out = out.where(~F.col(full) | (F.octet_length("text") > 0))
     return out.select(*[F.col(f"`{n}`") for n in names])
 
 

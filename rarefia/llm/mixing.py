@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, columns_or_null, running_total, written
+from .common import OWN, WORD, columns_or_null, running_total, written
 
 #: A source repeats at most this often.
 MOST = 3.0
@@ -86,15 +86,13 @@ def mix_plan(docs: DataFrame, seed: str = "mix", most: float = MOST) -> DataFram
 
 def mix_sources(docs: DataFrame, seed: str = "mix", most: float = MOST) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of ``docs``."""
-    names = docs.columns
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    summed = written(source_sizes(sized.select("source", "size")))
+    source, rate, often, copy = (f"{OWN}{x}" for x in ("source", "rate", "copies", "copy"))
+    summed = written(source_sizes(docs.select("source", word_count(F.col("text")).alias("size"))))
     goals = written(targets(written(ranked_weights(summed)), most))
-    base = docs.select("*", F.struct("doc_id", "source").alias("_mix")).select(*[F.col(f"`{n}`") for n in names], F.col("_mix.source").alias("_key"))
-    goals = goals.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0).alias("_rate"))
-    joined = base.join(goals, F.col("_key").eqNullSafe(F.col("_source")), "left")
-    taken = joined.withColumn("_copies", copies(F.col("_rate"), unit_draw(F.col("doc_id"), seed)))
-    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{n}`") for n in names])
+    goals = goals.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0).alias(rate))
+    joined = docs.join(goals, docs["source"].eqNullSafe(goals[source]), "left")
+    taken = joined.withColumn(often, copies(F.col(rate), unit_draw(F.col("doc_id"), seed))).where(F.col(often) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

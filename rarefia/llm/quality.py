@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, columns_or_null, table, with_row_id, written
+from .common import OWN, ROW, SPACE, WORD, columns_or_null, table, with_row_id, written
 
 #: A line is above its host's limit in more documents than this, and than this share of the host's documents.
 MIN_DOCS, MAX_SHARE = 20, 0.02
@@ -92,27 +92,28 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Delete the lines at (row, pos) of ``marks`` from the texts of ``docs``; ``n_chars``, where there is one, follows."""
-    gone = marks.groupBy("row").agg(F.collect_list("pos").alias("_gone"))
-    df = docs.join(gone, "row", "left").withColumn("_l", F.split("text", "\n", -1))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "_gone")
-    text = F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n")
-    df = df.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text))
+    """Delete the lines at (row, pos) of ``marks`` from the texts of ``docs``, whose rows ``ROW`` tells apart; ``n_chars``, where
+    there is one, follows."""
+    gone, lines = F.col(f"{OWN}gone"), f"{OWN}lines"
+    found = marks.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("pos").alias(f"{OWN}gone"))
+    df = docs.join(found, ROW, "left").withColumn(lines, F.split("text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    df = df.withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        df = df.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return df.select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The kept documents, without the lines above the limits; the columns of ``docs``."""
     names = docs.columns
-    rows = with_row_id(docs.select(*[F.col(f"`{n}`") for n in names]), "_row")
-    base = columns_or_null(rows, _row="long", doc_id="long", source="string", text="string").withColumnRenamed("_row", "row")
+    rows = with_row_id(docs, ROW)
+    base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", source="string", text="string").withColumnRenamed(ROW, "row")
     feats = written(base_features(base))
     marks = written(removed_lines(feats, written(common_lines(feats))))
-    kept = judge(feats, marks).where("kept").select(F.col("row").alias("_row"))
-    staying = rows.join(kept, "_row", "left_semi").withColumnRenamed("_row", "row")
-    return drop_lines(staying, marks).select(*[F.col(f"`{n}`") for n in names])
+    kept = judge(feats, marks).where("kept").select(F.col("row").alias(ROW))
+    return drop_lines(rows.join(kept, ROW, "left_semi"), marks).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
