@@ -1,16 +1,17 @@
 """N-gram Jaccard join with a token-group matrix: all links between documents whose sets of five-word shingles have a
 similarity of 0.75 or more, and the components that these links make.
 
-1. Equal sets are one node. Nodes that share a band of min-hashes are checked against the band's least node, and what
-   links so makes the groups: similar documents together.
+1. Equal sets are one node. The nodes that share a band of min-hashes are checked against the band's leader; a node's
+   group is that of its largest band's leader, so similar documents come together, linked or not.
 2. Token-group matrix: for every group, the union of its members' prefix tokens, as rows (token, group). A prefix holds
    the rarest shingles of a set, so many that two linked sets share at least ``SHARED`` of them.
 3. A document's overlap with another group's union bounds its overlap with any member. Groups whose bound or sizes
-   rule out a link stay closed; in the others the members that share enough tokens are checked.
+   rule out a link stay closed. An opened group is read in blocks, and a document passes by each block once; only links
+   to components that differ from its own come out. In its own group a document looks for links only if the leader's
+   component isn't its own.
 4. Checks are exact, on the whole texts.
 
-No pairs within a group are listed: its links come from step 1, and steps 2 to 4 look only for links between groups. The
-table of frequent shingles decides the order of tokens alone, never a result.
+Pairs are listed only between a node and its bands' leaders. The table of frequent shingles decides the order of tokens alone, never a result.
 
 Defined results: null and empty texts have no shingles and link with nothing; texts under five words have one shingle, the
 whole sequence; rows that repeat are linked (equal sets); a null doc_id takes part but is never a component's id unless
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_or_null, discard, scratch_dir, table, with_row_id, written
+from .common import ROW, columns_or_null, discard_path, scratch_dir, table, with_row_id, written
 from .components import connected_components
 
 #: Words in a shingle, similarity in hundredths, prefix tokens that linked sets share, min-hashes in a band and bands.
 WORDS, PERCENT, SHARED, ROWS, BANDS = 5, 75, 3, 2, 4
 #: Shingles counted together for the frequent ones, the count from which one is frequent there, and the longest table.
 WINDOW, FREQUENT, MOST_FREQUENT = 2_000_000, 4, 1_000_000
-#: Checks against one text that share a task's stream.
-STREAM = 1_000
+#: Checks against one text that share a task's stream, and shingles in a block of a group.
+STREAM, BLOCK = 1_000, 200_000
 MEMO = 1_000_000
 
 
@@ -165,54 +166,112 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return placed.select("a", "b", "later", "text").mapInArrow(check, "a long, b long")
 
 
-def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): a node and the least node of one of its bands."""
-    banded = nodes.where("n > 1").select("row", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("row").alias("b"), F.count("*").alias("c")).where("c > 1").select("band", "b")
-    return banded.join(least, "band").where("row <> b").select(F.col("row").alias("a"), "b").distinct()
+def band_leaders(nodes: DataFrame) -> DataFrame:
+    """(row, b, c): for each band that a node shares, its leader b and how many nodes c have it. The leader has the greatest
+    share of frequent shingles: edits make rare shingles, so among many near copies of one text the leader is nearest to
+    that text, and to all of them."""
+    banded = nodes.where("n > 1").select("row", (F.col("common") / F.col("n")).alias("share"), F.explode("bands").alias("band"))
+    leader = banded.groupBy("band").agg(F.max(F.struct("share", (-F.col("row")).alias("r"))).alias("m"), F.count("*").alias("c"))
+    return banded.join(leader.where("c > 1").select("band", (-F.col("m.r")).alias("b"), "c"), "band").select("row", "b", "c")
 
 
-def token_rows(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(row, token): the prefixes of the nodes' sets."""
+def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, common, tokens) of the nodes with two shingles or more: how many of a set's shingles are frequent, and its prefix."""
     spark = texts.sparkSession
     often = texts.where("kind = 1").groupBy("row").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "row").limit(MOST_FREQUENT).toPandas()
     values = often["row"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
-    table_ = spark.sparkContext.broadcast((values[order], often["c"].to_numpy(np.int64)[order]))  # MOST_FREQUENT rows at most
+    shared = spark.sparkContext.broadcast((values[order], often["c"].to_numpy(np.int64)[order]))  # MOST_FREQUENT rows at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1_000):
                 part = b.slice(k, 1_000)
-                tokens = [prefix(shingles(t), *table_.value).view(np.int64) for t in part.column("text").to_pylist()]
-                rows = np.repeat(np.array(part.column("row").to_pylist(), np.int64), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(tokens))], names=["row", "token"])
+                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                common = [int(np.isin(s, shared.value[0], assume_unique=True).sum()) for s in sets]
+                tokens = [prefix(s, *shared.value).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(common, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["row", "common", "tokens"])
 
     wanted = nodes.where("n > 1").select("row")
-    return texts.where("kind = 0").select("row", "text").join(wanted, "row", "left_semi").mapInArrow(cut, "row long, token long")
+    return texts.where("kind = 0").select("row", "text").join(wanted, "row", "left_semi").mapInArrow(cut, "row long, common long, tokens array<long>")
 
 
-def pairs_between_groups(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): members of different groups that the token-group matrix leaves open."""
+def opened_groups(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, grp): the groups that the token-group matrix leaves open to a node of another group, and a node's own group where
+    its component isn't the leader's."""
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)).cast("int")
     own = nodes.select("row", "grp", "n", least.alias("need"))
-    spread = tokens.join(own.select("row", "grp"), "row").repartition("token")
-    shared = spread.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    rows = written(spread.join(shared, "token").select("token", "row", "grp"))
+    spread = tokens.select("row", F.explode("tokens").alias("token")).repartition("token")
+    twice = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    met = written(spread.join(twice, "token").join(own.select("row", "grp"), "row"))
+    shared = met.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
+    rows = written(met.join(shared, "token").select("token", "row", "grp"))
     groups = nodes.groupBy("grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count("*").alias("members"))
-    union = rows.select("token", "grp").distinct().join(groups, "grp")
-    matrix = union.select("token", *[F.col(c).alias(f"g_{c}") for c in union.columns if c != "token"])
+    matrix = rows.select("token", "grp").distinct().join(groups, "grp")
+    matrix = matrix.select("token", *[F.col(c).alias(f"g_{c}") for c in matrix.columns if c != "token"])
     asking = rows.join(own.drop("grp"), "row").join(groups.select("grp", "members"), "grp")
     # the group with fewer members asks, so either group of a pair is opened by one side alone
     side = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("grp") < F.col("g_grp")))
     fits = (100 * F.col("g_most_n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("g_least_n"))
-    met = asking.join(matrix, "token").where(side & fits)
-    opened = written(met.groupBy("row", "g_grp").agg(F.count("*").alias("bound"), F.first("need").alias("need"), F.first("n").alias("n")).where("bound >= need").select(F.col("row").alias("a"), "g_grp", "need", "n"))
-    query = rows.select(F.col("row").alias("a"), "token").join(opened, "a")
-    member = rows.join(own.drop("grp", "need"), "row").select(F.col("row").alias("b"), "token", F.col("grp").alias("g_grp"), F.col("n").alias("m"))
-    close = (100 * F.col("m") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("m"))
-    hits = query.join(member, ["token", "g_grp"]).where(close).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("need").alias("need"))
-    return hits.where("c >= need").select("a", "b")
+    bounds = asking.join(matrix, "token").where(side & fits).groupBy("row", "g_grp").agg(F.count("*").alias("bound"), F.first("need").alias("need"))
+    others = bounds.where("bound >= need").select(F.col("row").alias("a"), F.col("g_grp").alias("grp"))
+    main = nodes.select(F.col("row").alias("grp"), F.col("comp").alias("main"))
+    inside = nodes.where("n > 1").join(main, "grp").where("comp <> main").select(F.col("row").alias("a"), "grp")
+    return others.union(inside)
+
+
+def links_in_groups(opened: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): for each opened group and component in it, a link of a to it where there is one. A group is dealt out in blocks
+    of about ``BLOCK`` shingles; the members of a block come first, then the nodes that ask."""
+    asked = opened.select("grp").distinct()
+    members = nodes.where("n > 1").join(asked, "grp", "left_semi")
+    blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("s"), "row", "comp", F.lit(0).alias("later"))
+    queries = opened.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), F.col("a").alias("row"))
+    queries = queries.join(nodes.select("row", "comp"), "row").select("grp", "s", "row", "comp", F.lit(1).alias("later"))
+    placed = own.union(queries).join(texts.select("row", "text"), "row").repartition("grp", "s").sortWithinPartitions("grp", "s", "later")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for grp, s, row, comp, later, text in zip(*[batch.column(c).to_pylist() for c in ("grp", "s", "row", "comp", "later", "text")]):
+                if (grp, s) != now:
+                    now, held, index = (grp, s), [], None
+                own = shingles(text)
+                if not later:
+                    held.append((row, comp, own))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = _Block(held)
+                for x in index.links(own, comp):
+                    a.append(row)
+                    b.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return placed.select("grp", "s", "row", "comp", "later", "text").mapInArrow(check, "a long, b long")
+
+
+class _Block:
+    """The sets of a block by shingle, to count a set's overlap with all of them at once."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.rows, self.comps = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+        self.sizes = np.array([len(m[2]) for m in members])
+        tokens, who = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.who = tokens[order], who[order]
+
+    def links(self, own: np.ndarray, comp: int) -> list[int]:
+        lo, hi = np.searchsorted(self.tokens, own, "left"), np.searchsorted(self.tokens, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(self.who[at], minlength=len(self.rows))
+        hit = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (self.sizes + len(own) - both)) & (self.comps != comp))
+        _, first = np.unique(self.comps[hit], return_index=True)
+        return self.rows[hit[first]].tolist()
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
@@ -221,15 +280,21 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     feats = written(texts.where("kind = 0").select("row", "doc_id", "n", "k1", "k2", "bands"))
     sets = written(feats.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("rep")))
     nodes = written(feats.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "bands"))
-    first = written(verify(written(leader_pairs(nodes)), texts))
-    groups = connected_components(first)
-    grouped = written(nodes.join(groups, F.col("row") == F.col("node"), "left").select("row", "n", F.coalesce("root", "row").alias("grp")))
-    second = written(verify(written(pairs_between_groups(token_rows(grouped, texts), grouped)), texts))
+    cut = written(prefixes(nodes, texts))
+    known = nodes.join(cut.select("row", "common"), "row")
+    led = written(band_leaders(known))
+    first = written(verify(written(led.where("row <> b").select(F.col("row").alias("a"), "b").distinct()), texts))
+    comps = connected_components(first).select(F.col("node").alias("row"), F.col("root").alias("comp"))
+    groups = led.groupBy("row").agg((-F.max(F.struct("c", (-F.col("b")).alias("r")))["r"]).alias("grp"))
+    grouped = nodes.select("row", "n").join(groups, "row", "left").join(comps, "row", "left")
+    grouped = written(grouped.select("row", "n", F.coalesce("grp", "row").alias("grp"), F.coalesce("comp", "row").alias("comp")))
+    opened = written(opened_groups(cut.select("row", "tokens"), grouped))
+    second = written(links_in_groups(opened, grouped, texts))
     final = connected_components(first.union(second))
     placed = sets.join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
     out = written(feats.join(placed, ["k1", "k2", "n"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("root")))
     texts.sparkSession.sql(f"DROP TABLE {name}")
-    discard(texts.sparkSession.read.parquet(path))
+    discard_path(texts.sparkSession, path)
     return out
 
 
@@ -243,11 +308,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The first document of every group, by doc_id and then by row; the columns of ``docs``."""
-    names = docs.columns
-    rows = with_row_id(docs, "_row")
-    out = linked_groups(columns_or_null(rows, _row="long", doc_id="long", text="string").withColumnRenamed("_row", "row"))
+    rows = with_row_id(docs, ROW)
+    out = linked_groups(columns_or_null(rows, **{ROW: "long"}, doc_id="long", text="string").withColumnRenamed(ROW, "row"))
     first = out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")).alias("f"))
-    return rows.join(first.select(F.col("f.row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{n}`") for n in names])
+    return rows.join(first.select(F.col("f.row").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
