@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ROW, columns_or_null, discard_path, scratch_dir, table, with_row_id, written
+from .common import columns_or_null, discard_path, scratch_dir, table, written
 from .components import connected_components
 
 #: Words in a shingle, similarity in hundredths, prefix tokens that linked sets share, min-hashes in a band and bands.
@@ -85,13 +86,16 @@ def need(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles, as many as make linked sets share ``SHARED`` of them (or all they must share)."""
-    p = min(len(s), len(s) - need(len(s)) + SHARED)
+def prefix(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles, as many as make linked sets share ``SHARED`` of them (or all they must share), and how many of the
+    set are frequent."""
+    p, common = min(len(s), len(s) - need(len(s)) + SHARED), 0
     if len(often):
         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-        s = s[np.argsort(np.where(often[at] == s, counts[at], 0), kind="stable")]
-    return s[:p]
+        known = often[at] == s
+        common = int(known.sum())
+        s = s[np.argsort(np.where(known, counts[at], 0), kind="stable")]
+    return s[:p], common
 
 
 _FEATURES = pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
@@ -100,15 +104,21 @@ _FEATURES = pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (kind 0): the size and digest of the set, and its bands. Frequent shingles (kind 1): the shingle as row and
     its count as n."""
-    waiting, held = [], 0
+    waiting, held, rest = [], 0, None
+
+    def out(columns: list, more) -> pa.RecordBatch:
+        schema = _FEATURES if rest is None else _FEATURES.append(pa.field("rest", rest))
+        return pa.RecordBatch.from_arrays([*columns, *([] if rest is None else [more])], schema=schema)
 
     def frequent() -> pa.RecordBatch:
         values, count = np.unique(np.concatenate(waiting), return_counts=True)
         values, count = values[count >= FREQUENT].view(np.int64), count[count >= FREQUENT]
         none, k = [None] * len(values), len(values)
-        return pa.RecordBatch.from_arrays([pa.array(values), pa.array([1] * k, pa.int32()), pa.array(none, pa.int64()), pa.array(count.astype(np.int64)), *[pa.array(none, t) for t in _FEATURES.types[4:]]], schema=_FEATURES)
+        return out([pa.array(values), pa.array([1] * k, pa.int32()), pa.array(none, pa.int64()), pa.array(count.astype(np.int64)), *[pa.array(none, t) for t in _FEATURES.types[4:]]], None if rest is None else pa.nulls(k, rest))
 
     for b in batches:
+        if "rest" in b.schema.names:
+            rest = b.schema.field("rest").type
         for k in range(0, b.num_rows, 1_000):
             part = b.slice(k, 1_000)
             n, digests, bands = [], [], []
@@ -123,7 +133,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(key.view(np.int64))
                 waiting.append(s)
                 held += len(s)
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([0] * len(n), pa.int32()), part.column("doc_id"), pa.array(n, pa.int64()), *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)], pa.array(bands, pa.list_(pa.int64())), part.column("text")], schema=_FEATURES)
+            found = [pa.array(n, pa.int64()), *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)], pa.array(bands, pa.list_(pa.int64()))]
+            yield out([part.column("row"), pa.array([0] * len(n), pa.int32()), part.column("doc_id"), *found, part.column("text")], None if rest is None else part.column("rest"))
             if held >= WINDOW:
                 yield frequent()
                 waiting, held = [], 0
@@ -132,10 +143,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_row(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """The features with the texts, written in buckets of ``row``: the joins that fetch texts move no text again."""
+    """The features with the texts (and with the struct ``rest``, if there is one), written in buckets of ``row``: the joins that
+    fetch texts move no text again."""
     spark = docs.sparkSession
     name, path, n = f"rarefia_{uuid.uuid4().hex}", scratch_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = docs.select("row", "doc_id", "text").mapInArrow(_features, "row long, kind int, doc_id long, n long, k1 long, k2 long, bands array<long>, text string")
+    rest = [c for c in ("rest",) if c in docs.columns]
+    schema = T.StructType.fromDDL("row long, kind int, doc_id long, n long, k1 long, k2 long, bands array<long>, text string")
+    for c in rest:
+        schema.add(c, docs.schema[c].dataType)
+    made = docs.select("row", "doc_id", "text", *rest).mapInArrow(_features, schema)
     made.repartition(n, "row").write.bucketBy(n, "row").option("path", path).saveAsTable(name)
     return spark.table(name), name, path
 
@@ -187,10 +203,8 @@ def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 1_000):
                 part = b.slice(k, 1_000)
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
-                common = [int(np.isin(s, shared.value[0], assume_unique=True).sum()) for s in sets]
-                tokens = [prefix(s, *shared.value).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(common, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["row", "common", "tokens"])
+                found = [prefix(shingles(t), *shared.value) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([c for _, c in found], pa.int64()), pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64()))], names=["row", "common", "tokens"])
 
     wanted = nodes.where("n > 1").select("row")
     return texts.where("kind = 0").select("row", "text").join(wanted, "row", "left_semi").mapInArrow(cut, "row long, common long, tokens array<long>")
@@ -277,6 +291,13 @@ class _Block:
 def linked_groups(docs: DataFrame) -> DataFrame:
     """Rows of (row, doc_id, text) to (row, doc_id, n_shingles, root): root is equal for documents that links connect."""
     texts, name, path = _by_row(docs)
+    out = _grouped(texts)
+    texts.sparkSession.sql(f"DROP TABLE {name}")
+    discard_path(texts.sparkSession, path)
+    return out
+
+
+def _grouped(texts: DataFrame) -> DataFrame:
     feats = written(texts.where("kind = 0").select("row", "doc_id", "n", "k1", "k2", "bands"))
     sets = written(feats.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("rep")))
     nodes = written(feats.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "bands"))
@@ -292,10 +313,7 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     second = written(links_in_groups(opened, grouped, texts))
     final = connected_components(first.union(second))
     placed = sets.join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
-    out = written(feats.join(placed, ["k1", "k2", "n"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("root")))
-    texts.sparkSession.sql(f"DROP TABLE {name}")
-    discard_path(texts.sparkSession, path)
-    return out
+    return written(feats.join(placed, ["k1", "k2", "n"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("root")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -308,10 +326,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The first document of every group, by doc_id and then by row; the columns of ``docs``."""
-    rows = with_row_id(docs, ROW)
-    out = linked_groups(columns_or_null(rows, **{ROW: "long"}, doc_id="long", text="string").withColumnRenamed(ROW, "row"))
-    first = out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")).alias("f"))
-    return rows.join(first.select(F.col("f.row").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{n}`") for n in docs.columns])
+    text, others = F.col("text").cast("string").alias("text"), [n for n in docs.columns if n != "text"]
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text, F.struct(*[F.col(f"`{n}`") for n in others]).alias("rest"))
+    rows, _, _ = _by_row(base)
+    first = _grouped(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")).alias("f"))
+    kept = rows.where("kind = 0").join(first.select(F.col("f.row").alias("row")), "row", "left_semi")
+    return kept.select(*[F.col("text") if n == "text" else F.col("rest")[n].alias(n) for n in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
