@@ -5,7 +5,8 @@
    windows share an anchor: a row (anchor, context) stands for about 85 of them.
 2. Anchors that occur once end here. Contexts (all bytes of the windows of one anchor) that occur twice or more repeat as
    a whole.
-3. Where an anchor has different contexts, these are dealt out by the anchor, and each shard builds the suffix array of
+3. Where an anchor has different contexts, those that share too few bytes with any other on either side of the anchor
+   end here, too. The rest are dealt out by the anchor, and each shard builds the suffix array of
    its contexts by induced sorting: suffixes are classified, the leftmost-smaller ones' substrings are sorted, their
    names are sorted recursively, and the order of all others is induced in two linear passes. The permuted common
    prefixes then tell the windows that share 200 bytes with a neighbour in the array.
@@ -34,6 +35,8 @@ from .jaccard import mix
 #: Bytes of a repeated string and of an anchor; windows in a block; bytes that one suffix array sorts, and that the contexts
 #: of one anchor may have in a shard.
 WINDOW, ANCHOR, BLOCK, SORTED, SHARD = 200, 32, 1 << 19, 1 << 16, 1 << 18
+#: Left shares by which contexts that can't repeat are told.
+SIDES = (28, 84, 140)
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -49,10 +52,10 @@ def _twice(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(doc, lo, hi, anchor, context) for the runs of windows lo to hi of the texts data[starts:ends] with one anchor."""
+    """(doc, lo, hi, anchor's place after lo, anchor, context) for the runs of windows lo to hi of the texts data[starts:ends] with one anchor."""
     n = len(data)
     if n < WINDOW:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     h = {1: _BYTES[data]}
     for k in (1, 2, 4, 8, 16, 32, 64):
         h[2 * k] = _twice(h[k], k)
@@ -69,16 +72,16 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     doc = np.searchsorted(starts, np.arange(n - WINDOW + 1), "right") - 1
     inside = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= ends[doc])
     if not len(inside):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     new = np.flatnonzero((np.diff(inside) != 1) | (np.diff(at[inside]) != 0)) + 1
     lo, hi = inside[np.r_[0, new]], inside[np.r_[new - 1, len(inside) - 1]]
     q = at[lo]
     shape = ((hi - lo).astype(np.uint64) << np.uint64(32)) | (q - lo).astype(np.uint64)
     context = mix(mix(mix(whole[lo]) + whole[hi]) + shape)
-    return doc[lo], lo - starts[doc[lo]], hi - starts[doc[lo]], gram[q], context
+    return doc[lo], lo - starts[doc[lo]], hi - starts[doc[lo]], q - lo, gram[q], context
 
 
-_RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("span", pa.int32()), ("g", pa.int64()), ("c", pa.int64())])
+_RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("span", pa.int32()), ("q", pa.int32()), ("g", pa.int64()), ("c", pa.int64())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +89,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """parts: key, text, and the place of the text's first byte in its document."""
         size = np.array([len(p[2]) for p in parts])
         ends = np.cumsum(size)
-        doc, lo, hi, g, c = anchors(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), ends - size, ends)
+        doc, lo, hi, q, g, c = anchors(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), ends - size, ends)
         base = np.array([p[3] for p in parts])
         keys = np.array([p[:2] for p in parts], np.int64).reshape(-1, 2)[doc]
-        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array((lo + base[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], schema=_RUNS)
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array((lo + base[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], schema=_RUNS)
 
     held, size = [], 0
     for b in batches:
@@ -241,19 +244,38 @@ def keyed(docs: DataFrame) -> DataFrame:
     return d.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
 
 
+def shared_sides(cut: DataFrame) -> DataFrame:
+    """The contexts that may share a window with another context of their anchor.
+
+    Two windows that are equal share their bytes on both sides of the anchor, ``WINDOW - ANCHOR`` in sum; so for any a, the
+    contexts share a bytes on the left or the rest on the right. A context that shares neither with any other, for
+    one of the values of ``SIDES``, has no repeated window.
+    """
+    rest = WINDOW - ANCHOR
+    left = lambda a: F.when(F.col("q") >= a, F.xxhash64(F.lit(a), F.substring(F.col("context"), F.col("q") - a + 1, F.lit(a))))
+    right = lambda b: F.when(F.col("span") + WINDOW >= F.col("q") + ANCHOR + b, F.xxhash64(F.lit(-b), F.substring(F.col("context"), F.col("q") + ANCHOR + 1, F.lit(b))))
+    sides = F.array(*[F.struct(F.lit(j).alias("j"), h.alias("h")) for j, a in enumerate(SIDES) for h in (left(a), right(rest + 1 - a))])
+    keys = cut.select("g", "c", F.inline(sides)).where("h is not null")
+    often = keys.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h")
+    alike = keys.join(often, ["g", "h"]).groupBy("g", "c").agg(F.count_distinct("j").alias("n")).where(F.col("n") == len(SIDES))
+    return cut.join(alike.select("g", "c"), ["g", "c"], "left_semi")
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(k1, k2, a, b): bytes a to b (exclusive) of the texts that repeated windows cover; they may overlap."""
-    runs = written(docs.where(F.octet_length("text") >= WINDOW).select("k1", "k2", "text").mapInArrow(_runs, "k1 long, k2 long, lo int, span int, g long, c long"))
+    runs = written(docs.where(F.octet_length("text") >= WINDOW).select("k1", "k2", "text").mapInArrow(_runs, "k1 long, k2 long, lo int, span int, q int, g long, c long"))
     often = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     repeated = written(runs.join(often, "g"))
     discard(runs)
-    contexts = written(repeated.groupBy("g", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("k1", "k2", "lo", "span")]))
+    contexts = written(repeated.groupBy("g", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("k1", "k2", "lo", "span", "q")]))
     whole = repeated.join(contexts.where("n > 1").select("g", "c"), ["g", "c"]).select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + F.col("span") + WINDOW).alias("b")).distinct()
-    several = contexts.groupBy("g").agg(F.count("*").alias("kinds"), F.sum(F.col("span") + WINDOW).alias("bytes")).where("kinds > 1")
-    open_ = contexts.join(several, "g").select("g", "c", "n", "k1", "k2", "lo", "span", "bytes")
+    several = contexts.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    open_ = contexts.join(several.select("g"), "g").select("g", "c", "k1", "k2", "lo", "span", "q")
     texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     cut = open_.join(texts, ["k1", "k2"]).withColumn("context", F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("span") + WINDOW)).drop("text")
-    cut = written(cut)
+    cut = written(shared_sides(written(cut)))
+    size = cut.groupBy("g").agg(F.sum(F.col("span") + WINDOW).alias("bytes"))
+    cut = cut.join(size, "g")
     shards = cut.where(F.col("bytes") <= SHARD).select("g", "k1", "k2", "lo", "context").repartition("g").sortWithinPartitions("g")
     sorted_ = shards.mapInArrow(_sorted_shard, "k1 long, k2 long, a int, b int")
     # the windows of an anchor with too many contexts: their hashes take the anchor's place
