@@ -36,7 +36,7 @@ from .jaccard import mix
 #: of one anchor may have in a shard.
 WINDOW, ANCHOR, BLOCK, SORTED, SHARD = 200, 32, 1 << 19, 1 << 16, 1 << 18
 #: Left shares by which contexts that can't repeat are told.
-SIDES = (28, 84, 140)
+SIDES = (24, 48, 72, 96, 120, 144)
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -245,20 +245,33 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared_sides(cut: DataFrame) -> DataFrame:
-    """The contexts that may share a window with another context of their anchor.
+    """The contexts that may share a window with another context of their anchor, trimmed to the bytes that such windows have.
 
     Two windows that are equal share their bytes on both sides of the anchor, ``WINDOW - ANCHOR`` in sum; so for any a, the
     contexts share a bytes on the left or the rest on the right. A context that shares neither with any other, for
-    one of the values of ``SIDES``, has no repeated window.
+    one of the values of ``SIDES``, has no repeated window; and none reaches beyond what is shared on a side.
     """
     rest = WINDOW - ANCHOR
     left = lambda a: F.when(F.col("q") >= a, F.xxhash64(F.lit(a), F.substring(F.col("context"), F.col("q") - a + 1, F.lit(a))))
     right = lambda b: F.when(F.col("span") + WINDOW >= F.col("q") + ANCHOR + b, F.xxhash64(F.lit(-b), F.substring(F.col("context"), F.col("q") + ANCHOR + 1, F.lit(b))))
-    sides = F.array(*[F.struct(F.lit(j).alias("j"), h.alias("h")) for j, a in enumerate(SIDES) for h in (left(a), right(rest + 1 - a))])
-    keys = cut.select("g", "c", F.inline(sides)).where("h is not null")
+    pairs = [(j, a, rest + 1 - a) for j, a in enumerate(SIDES)]
+    sides = [F.struct(F.lit(j).alias("j"), F.lit(m).alias("m"), h.alias("h")) for j, a, b in pairs for m, h in ((a, left(a)), (-b, right(b)))]
+    keys = cut.select("g", "c", F.inline(F.array(*sides))).where("h is not null")
     often = keys.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h")
-    alike = keys.join(often, ["g", "h"]).groupBy("g", "c").agg(F.count_distinct("j").alias("n")).where(F.col("n") == len(SIDES))
-    return cut.join(alike.select("g", "c"), ["g", "c"], "left_semi")
+    alike = keys.join(often, ["g", "h"]).groupBy("g", "c").agg(F.count_distinct("j").alias("n"), F.greatest(F.max("m"), F.lit(0)).alias("l"), F.greatest(-F.min("m"), F.lit(0)).alias("r"))
+
+    def below(shared, steps: list[int]):
+        """What is shared is under the next of the steps."""
+        bound = F.lit(rest)
+        for step in sorted(steps, reverse=True):
+            bound = F.when(shared < step, step - 1).otherwise(bound)
+        return bound
+
+    both = cut.join(alike.where(F.col("n") == len(SIDES)), ["g", "c"])
+    first = F.greatest(F.col("q") - below(F.col("l"), [a for _, a, _ in pairs]), F.lit(0))
+    end = F.least(F.col("span") + WINDOW, F.col("q") + ANCHOR + below(F.col("r"), [b for _, _, b in pairs]))
+    both = both.withColumn("_f", first).withColumn("_n", end - F.col("_f")).where(F.col("_n") >= WINDOW)
+    return both.select("g", "c", "k1", "k2", (F.col("lo") + F.col("_f")).alias("lo"), (F.col("_n") - WINDOW).alias("span"), F.substring(F.col("context"), F.col("_f") + 1, F.col("_n")).alias("context"))
 
 
 def covered(docs: DataFrame) -> DataFrame:
