@@ -95,7 +95,8 @@ def drop_lines(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Delete the lines at (row, pos) of ``marks`` from the texts of ``docs``, whose rows ``ROW`` tells apart; ``n_chars``, where
     there is one, follows."""
     gone, lines = F.col(f"{OWN}gone"), f"{OWN}lines"
-    found = marks.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("pos").alias(f"{OWN}gone"))
+    # texts are dealt out by row at every size, not only where the marks outgrow a broadcast
+    found = marks.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("pos").alias(f"{OWN}gone")).hint("merge")
     df = docs.join(found, ROW, "left").withColumn(lines, F.split("text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
