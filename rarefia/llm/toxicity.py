@@ -63,7 +63,7 @@ class Machine:
 def associated(docs: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
     """The buckets whose presence goes most with or against the label, by the z-score of the share of labelled texts."""
     both = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    y = np.repeat(labels, [len(d) for d in docs])
+    y = np.repeat(labels.astype(np.float32), [len(d) for d in docs])
     n, hits = np.bincount(both, minlength=BUCKETS), np.bincount(both, weights=y, minlength=BUCKETS)
     p = labels.mean()
     z = np.abs(hits - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
@@ -128,9 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(_term_rows, "doc_id long, y double, terms array<int>").toArrow()
     if not rows.num_rows:
         return None
-    order = np.lexsort((np.array([len(t) for t in rows["terms"].to_pylist()]), rows["doc_id"].to_numpy()))
-    found = rows["terms"].to_pylist()
-    return fit([np.array(found[i], np.int32) for i in order], rows["y"].to_numpy()[order])
+    lists = rows["terms"].combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.lexsort((np.diff(ends), rows["doc_id"].to_numpy()))
+    return fit([values[ends[i] : ends[i + 1]] for i in order], rows["y"].to_numpy()[order])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
