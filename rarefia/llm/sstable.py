@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -33,6 +34,8 @@ MAGIC = b"SSTRUN01"
 BLOCK, BITS, PROBES, END = 65_536, 10, 7, 2
 #: Words that a task remembers the ids of; then it starts anew.
 MEMO = 1_000_000
+#: A space that white space follows. Python's class holds all of the library's and U+001C to U+001F.
+SPACE_IN_RUN = re.compile(r" \s").search
 
 
 # --- the file format ---
@@ -146,8 +149,9 @@ class Reader:
 
 
 class Encoder:
-    """The tokenizers library, with the ids of words remembered: no pre-token of this byte-level pattern crosses a space
-    that another space does not follow, so such a text's ids are those of its words, each with its space."""
+    """The tokenizers library, with the ids of words remembered. A pre-token of this byte-level pattern has a space inside or at
+    its end only as part of a run of white space (of any kind, U+00A0 and line ends too): where a space is followed by more of
+    it, or ends a text after some. A text without either has the ids of its words, each with its space; others go whole."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -172,7 +176,8 @@ class Encoder:
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = ["  " not in t and "\0" not in t and not any(s in t for s in self.special) for t in texts]
+        runs = [SPACE_IN_RUN(t) or (t[-1:] == " " and t[-2:-1].isspace()) for t in texts]
+        plain = [not r and "\0" not in t and not any(s in t for s in self.special) for t, r in zip(texts, runs)]
         words = [t.replace(" ", "\0 ").split("\0") if p else [t] for t, p in zip(texts, plain)]
         if len(self.known) > MEMO:
             self.known.clear()

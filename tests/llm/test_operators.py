@@ -109,6 +109,24 @@ def test_tables_of_ids(spark, odd_docs):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in found) == Counter((k, tuple(i.tolist())) for k in (21, None, -5, 50) for i in ids[k])
 
 
+def test_ids_of_white_space_runs(tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    # a vocabulary that merges any two of these, and the one of the query
+    letters = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    pairs = [(a, b) for a in "ĠĊĉÂł" for b in "ĠĊĉÂł"]
+    eager = Tokenizer(models.BPE(letters | {a + b: 256 + i for i, (a, b) in enumerate(pairs)}, pairs))
+    eager.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    eager.save(str(tmp_path / "eager.json"))
+    rng = random.Random(6)
+    texts = ["a \u00a0 \u00a0 \u00a0 \u00a0\n b", "a\u3000 \u3000 b", "a\t \t b", "a \n \n b", "x\n ", " \n", "\u00a0 ", " ", ""]
+    texts += ["".join(rng.choice("ab'.1   \n\t\r\u00a0\u3000\u2003\u0085\x0b\x1f") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for path in (P.path("byte_bpe_50k.json"), str(tmp_path / "eager.json")):
+        library, encoder = Tokenizer.from_file(path), sstable.Encoder(path)
+        assert [i.tolist() for i in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sharding(spark, odd_docs):
     rows = sharding.assign_shards(odd_docs, shards=3, ranges_per_shard=4).collect()
     assert len(rows) == odd_docs.count()
