@@ -5,8 +5,9 @@ source). Lines in more documents than the host's limit are removed; a document t
 words so is depleted and rejected.
 
 Defined results: a null or empty text has no words and fails the base filter; a null source is a host of its own;
-every row counts as a document, also one that repeats; lines without a word are neither counted nor removed; an
-empty table gives an empty table.
+lines without a word are neither counted nor removed; an empty table gives an empty table. ``filter_quality`` (the
+pipeline's stage) counts rows with one text as one document of their host, so copies alone make no line common and a later
+stage can keep one of them; the query counts every row, also one that repeats, as its SQL says.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def repeat_words(df: DataFrame) -> DataFrame:
 
 
 def base_features(docs: DataFrame) -> DataFrame:
-    """Rows of (row, doc_id, source, text) to their features and ``lines``: position, hash and words of each line with a word."""
+    """Rows of (row, doc_id, source, text) to their features, ``content`` (a hash of the text) and ``lines``: position, hash and
+    words of each line with a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("words", F.regexp_extract_all(text, F.lit(WORD), 0)).withColumn("_l", F.split(text, "\n", -1))
     spoken = F.filter("_l", lambda x: x.rlike(WORD))
@@ -55,13 +57,15 @@ def base_features(docs: DataFrame) -> DataFrame:
     df = repeat_words(df)
     return df.select(
         "row", "doc_id", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("_w") - F.size(F.array_distinct("_w"))).cast("long").alias("n_dup_lines"), "n_repeat_words", lines.alias("lines"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("_w") - F.size(F.array_distinct("_w"))).cast("long").alias("n_dup_lines"), "n_repeat_words", F.xxhash64(text).alias("content"), lines.alias("lines"),
     )
 
 
-def common_lines(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, h) of the lines above their host's limit. Counting combines within tasks first, so a line in a third
-    of all documents costs one row per task."""
+def common_lines(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, copies: bool = False) -> DataFrame:
+    """(host, h) of the lines above their host's limit; each text counts once per host, with ``copies`` as often as it is
+    there. Counting combines within tasks first, so a line or a text in a third of all documents costs one row per task."""
+    if not copies:
+        feats = feats.groupBy("source", "content").agg(F.first("lines").alias("lines"))
     held = feats.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     hosts = feats.groupBy("source").agg(F.count("*").alias("docs"))
     often = held.groupBy("source", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
@@ -79,16 +83,16 @@ def removed_lines(feats: DataFrame, common: DataFrame) -> DataFrame:
 def judge(feats: DataFrame, removed: DataFrame) -> DataFrame:
     """Add ``n_removed_words``, ``base_failed`` and ``kept``."""
     lost = removed.groupBy("row").agg(F.sum("n").cast("long").alias("_lost"))
-    df = feats.drop("lines").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("_lost", F.lit(0)).cast("long")).drop("_lost")
+    df = feats.drop("content", "lines").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("_lost", F.lit(0)).cast("long")).drop("_lost")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("n_removed_words") <= int(100 * DEPLETED) * F.col("n_words")))
 
 
-def score_quality(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: the features, the removed words and the verdict."""
+def score_quality(docs: DataFrame, copies: bool = False) -> DataFrame:
+    """Per row of ``docs``: the features, the removed words and the verdict; ``copies`` as in ``common_lines``."""
     d = columns_or_null(docs, doc_id="long", source="string", text="string").withColumn("row", F.monotonically_increasing_id())
     feats = written(base_features(d))
-    return judge(feats, removed_lines(feats, written(common_lines(feats))))
+    return judge(feats, removed_lines(feats, written(common_lines(feats, copies=copies))))
 
 
 def drop_lines(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """The query: features and verdict of every document."""
-    out = score_quality(table(spark, sf_dir, "documents"))
+    out = score_quality(table(spark, sf_dir, "documents"), copies=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 

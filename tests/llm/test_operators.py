@@ -178,6 +178,21 @@ def test_quality_filter(spark, odd_docs):
     assert texts[0] == prose(100, 60) and texts[98].startswith(boiler) and 99 not in texts
 
 
+def test_copies_make_no_line_common(spark, tables):
+    clean, boiler, keys = prose(41, 90), prose(77, 24), "doc_id long, source string, text string"
+    rows = [(i, "h", clean) for i in range(60)] + [(100 + i, None, clean) for i in range(30)] + [(200 + i, "h", prose(200 + i, 60)) for i in range(20)]
+    docs = spark.createDataFrame(rows, keys).repartition(5)
+    assert Counter(map(tuple, quality.filter_quality(docs).collect())) == Counter(rows)
+    # a line that 25 different texts hold goes, from the copies of them, too
+    held = [(300 + i, "h", boiler + "\n" + prose(300 + i // 2, 60)) for i in range(50)]
+    texts = {r["doc_id"]: r["text"] for r in quality.filter_quality(docs.union(spark.createDataFrame(held, keys))).collect()}
+    assert texts == {i: t for i, _, t in rows} | {300 + i: prose(300 + i // 2, 60) for i in range(50)}
+    # the query counts as its SQL does
+    folder = tables(documents=docs)
+    want = duck(folder, ORACLES["op5_line_frequency"]).df()
+    assert Counter(map(tuple, QUERIES["op5_line_frequency"](spark, folder).select("doc_id", "kept", "n_removed_words").collect())) == Counter(zip(want["doc_id"], want["kept"], want["n_removed_words"]))
+
+
 @pytest.mark.parametrize("chunk, overlap", [(32_768, 2_048), (120, 40), (30, 10)])
 def test_bpe(spark, odd_docs, chunk, overlap):
     import public_tokenizers as P
