@@ -28,7 +28,7 @@ from .common import draw, table, written
 
 #: The sample that fits the trees (expected rows), trees, rows in a leaf, leaves in a tree at most, leaves that a query
 #: opens, and rows in a block.
-SAMPLE, TREES, LEAF, MOST_LEAVES, OPEN, BLOCK = 20_000, 16, 128, 1_024, 300, 4_096
+SAMPLE, TREES, LEAF, MOST_LEAVES, OPEN, BLOCK = 20_000, 16, 128, 1_024, 500, 4_096
 
 
 @dataclass

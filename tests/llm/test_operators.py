@@ -285,6 +285,25 @@ def test_nearest(spark):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_recall_of_many_rows():
+    """Production parameters on as many rows as the largest trees are for; a few leaves in a hundred are opened."""
+    rng, n = np.random.default_rng(3), 131_072
+    v = rng.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sample = v[rng.random(n) < ann.SAMPLE / n]
+    forest = [ann.fit_tree(sample, min(ann.MOST_LEAVES, n // ann.LEAF), np.random.default_rng(5 + t)) for t in range(ann.TREES)]
+    leaves, hit = [ann.leaf_of(t, v) for t in forest], 0
+    asked = rng.choice(n, 100, replace=False)
+    for q in asked:
+        found, opened = np.zeros(n, bool), ann.open_leaves(forest, v[q], ann.OPEN)
+        for t in range(ann.TREES):
+            found |= np.isin(leaves[t], [x for at, x in opened if at == t])
+        score = v @ v[q]
+        score[q] = -2
+        hit += found[np.argpartition(-score, 5)[:5]].sum()
+    assert ann.OPEN < 0.04 * ann.TREES * ann.MOST_LEAVES and hit >= 0.95 * 5 * len(asked)
+
+
 def plain_components(rows):
     sets = []
     for _, text in rows:
