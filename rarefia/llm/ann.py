@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import draw, table, written
+from .common import draw, ship, table, written
 
 #: The sample that fits the trees (expected rows), trees, rows in a leaf, leaves in a tree at most, leaves that a query
 #: opens, and rows in a block.
@@ -141,6 +141,7 @@ def nearest(
 ) -> DataFrame:
     """For each row of ``queries`` (same columns) the k nearest of ``vectors`` but its own id: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    ship(spark)
     rows = valid(vectors, id_col, vec_col).distinct()
     # the k + 1 smallest ids of equal vectors are all that can come into a result; the limit applies before the shuffle
     first = rows.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("i") <= k + 1)

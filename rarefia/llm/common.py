@@ -6,18 +6,21 @@ number of sampled keys, the number of ranges), never by the rows.
 
 from __future__ import annotations
 
-import functools
 import math
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..scratch import discard, discard_path, folders, recorded, scratch_dir, written
+
+__all__ = [
+    "OWN", "ROW", "SPACE", "WORD", "columns_or_null", "discard", "discard_path", "draw", "folders", "range_of", "recorded", "running_total", "scratch_dir", "ship", "splitters", "table", "with_row_id", "written",
+]
+
 #: White space between words: space and U+0009 to U+000D, nothing else.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -25,23 +28,17 @@ WORD = rf"[^{SPACE}]+"
 ROW, OWN = "_rarefia_row", "_rarefia_"
 
 
-def shipped(query):
-    """The query, after this package has been sent to the executors, which need not have it installed."""
-
-    @functools.wraps(query)
-    def run(spark: SparkSession, *args):
-        context = spark.sparkContext
-        if not getattr(context, "_rarefia_sent", False):
-            folder = Path(tempfile.mkdtemp(prefix="rarefia-code-"))
-            top = Path(__file__).resolve().parents[2]
-            with zipfile.ZipFile(folder / "rarefia_code.zip", "w") as z:
-                for f in sorted((top / "rarefia").rglob("*.py")):
-                    z.write(f, f.relative_to(top))
-            context.addPyFile(str(folder / "rarefia_code.zip"))
-            context._rarefia_sent = True
-        return query(spark, *args)
-
-    return run
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed; once for each session's context."""
+    context = spark.sparkContext
+    if not getattr(context, "_rarefia_sent", False):
+        folder = Path(tempfile.mkdtemp(prefix="rarefia-code-"))
+        top = Path(__file__).resolve().parents[2]
+        with zipfile.ZipFile(folder / "rarefia_code.zip", "w") as z:
+            for f in sorted((top / "rarefia").rglob("*.py")):
+                z.write(f, f.relative_to(top))
+        context.addPyFile(str(folder / "rarefia_code.zip"))
+        context._rarefia_sent = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,48 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for one written table, under ``spark.checkpoint.dir``, which all executors share.
-
-    Where that setting is missing (tests on one machine), the session gets a new temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        root = context._rarefia_folder = getattr(context, "_rarefia_folder", None) or tempfile.mkdtemp(prefix="rarefia-checkpoint-")
-    return f"{root.rstrip('/')}/rarefia-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends here, and a lost executor costs
-    no more than the tasks that follow."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
-
-
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove written tables that nothing reads any more."""
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            discard_path(df.sparkSession, folder)
-
-
-def discard_path(spark: SparkSession, folder: str) -> None:
-    """Remove a folder that ``scratch_dir`` named."""
-    if "/rarefia-" in folder:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Add an id to each row and write the table, so that the ids stay as they are. Rows are otherwise
-    told apart by nothing: doc_id may be null or repeat."""
-    return written(df.withColumn(name, F.monotonically_increasing_id()))
+def with_row_id(df: DataFrame, name: str, stored: bool = False) -> DataFrame:
+    """Add an id to each row, as doc_id may be null or repeat. The table is written, so that the ids stay as they are; one that is
+    ``stored``, read from files without a shuffle, has the same ids on each reading and isn't written again."""
+    named = df.withColumn(name, F.monotonically_increasing_id())
+    return named if stored else written(named)
 
 
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
@@ -104,18 +64,20 @@ def draw(*keys: Column | str, seed: int) -> Column:
     return (F.shiftrightunsigned(h, 11) + F.lit(1)).cast("double") / F.lit(float(2**53))
 
 
-def splitters(df: DataFrame, keys: list[str], weight: str, parts: int, per_part: int = 32, seed: int = 11) -> list:
+def splitters(df: DataFrame, keys: list[str], weight: str, parts: int, per_part: int = 32, seed: int = 11, unique: bool = False) -> list:
     """At most ``parts - 1`` ascending keys (rows of ``keys``) that cut the weight into near-equal ranges.
 
-    A row joins the sample with a probability in proportion to its weight (surely, where it weighs as much as
-    a sample's share); about ``parts * per_part`` keys are expected, whatever the table's size, and only they
-    reach the driver. The draw depends on the keys alone, so reruns give the same ranges.
+    The weights of a key are summed first, unless keys are ``unique``. A key joins the sample with a probability in proportion
+    to its weight, and surely where it weighs as much as a sample's share. So at most ``parts * per_part`` keys are sure
+    and as many more are expected, whatever the table's size and however often a key repeats; only they reach the driver. The
+    draw depends on the keys alone, so reruns give the same ranges.
     """
     if parts < 2:
         return []
+    weighed = df.select(*keys, F.col(weight).alias("_w")) if unique else df.groupBy(*keys).agg(F.sum(weight).alias("_w"))
     total = df.agg(F.sum(weight)).head()[0] or 0
     share = max(float(total) / (parts * per_part), 1e-9)
-    sample = df.where(draw(*keys, seed=seed) * share <= F.col(weight)).select(*keys, F.greatest(F.col(weight) / share, F.lit(1.0)).alias("_w"))
+    sample = weighed.where(draw(*keys, seed=seed) * share <= F.col("_w")).select(*keys, F.greatest(F.col("_w") / share, F.lit(1.0)).alias("_w"))
     rows = sorted((tuple((v is not None, v) for v in r[:-1]), r[-1]) for r in sample.collect())
     cut, seen, all_w = [], 0.0, sum(w for _, w in rows)
     for key, w in rows:
@@ -149,7 +111,7 @@ def running_total(df: DataFrame, keys: list[str], weight: str, name: str, parts:
     Sampled splitters cut the rows into ranges, each range is summed by a window of its own, and the totals of
     the earlier ranges (``parts`` numbers) are added. No task sees more than a range.
     """
-    ranged = df.withColumn("_range", range_of(df, keys, splitters(df, keys, weight, parts)))
+    ranged = df.withColumn("_range", range_of(df, keys, splitters(df, keys, weight, parts, unique=True)))
     sums = {r[0]: r[1] for r in ranged.groupBy("_range").agg(F.sum(weight)).collect()}
     start, before = 0, []
     for i in range(max(sums, default=-1) + 1):

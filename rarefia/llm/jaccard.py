@@ -3,12 +3,13 @@ similarity of 0.75 or more, and the components that these links make.
 
 1. Equal sets are one node. The nodes that share a band of min-hashes are checked against the band's leader; a node's
    group is that of its largest band's leader, so similar documents come together, linked or not.
-2. Token-group matrix: for every group, the union of its members' prefix tokens, as rows (token, group). A prefix holds
-   the rarest shingles of a set, so many that two linked sets share at least ``SHARED`` of them.
-3. A document's overlap with another group's union bounds its overlap with any member. Groups whose bound or sizes
-   rule out a link stay closed. An opened group is read in blocks, and a document passes by each block once; only links
-   to components that differ from its own come out. In its own group a document looks for links only if the leader's
-   component isn't its own.
+2. Token-group matrix: a document's overlap with the union of a group's tokens bounds its overlap with any member. The
+   matrix is asked twice. First over prefix tokens, as rows (token, group): a prefix holds the rarest shingles of a set, so
+   many that two linked sets share at least ``SHARED`` of them; groups that share fewer, or whose sizes rule out a link,
+   aren't asked at all. Then over all tokens: a group is dealt out in blocks, each of which stores the union of its
+   members' tokens, and only blocks whose overlap with the document reaches 75 hundredths of its set are opened.
+3. In an opened block the overlaps with all members are counted at once; only links to components that differ from the
+   document's own come out. In its own group a document looks for links only if the leader's component isn't its own.
 4. Checks are exact, on the whole texts.
 
 Pairs are listed only between a node and its bands' leaders. The table of frequent shingles decides the order of tokens alone, never a result.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_or_null, discard_path, scratch_dir, table, written
+from .common import columns_or_null, discard, discard_path, scratch_dir, ship, table, written
 from .components import connected_components
 
 #: Words in a shingle, similarity in hundredths, prefix tokens that linked sets share, min-hashes in a band and bands.
@@ -142,10 +143,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def _by_row(docs: DataFrame) -> tuple[DataFrame, str, str]:
+def _by_row(docs: DataFrame) -> tuple[DataFrame, str]:
     """The features with the texts (and with the struct ``rest``, if there is one), written in buckets of ``row``: the joins that
-    fetch texts move no text again."""
+    fetch texts move no text again. Also the folder of the files, which the table's name in the catalog doesn't outlive."""
     spark = docs.sparkSession
+    ship(spark)
     name, path, n = f"rarefia_{uuid.uuid4().hex}", scratch_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in ("rest",) if c in docs.columns]
     schema = T.StructType.fromDDL("row long, kind int, doc_id long, n long, k1 long, k2 long, bands array<long>, text string")
@@ -153,13 +155,15 @@ def _by_row(docs: DataFrame) -> tuple[DataFrame, str, str]:
         schema.add(c, docs.schema[c].dataType)
     made = docs.select("row", "doc_id", "text", *rest).mapInArrow(_features, schema)
     made.repartition(n, "row").write.bucketBy(n, "row").option("path", path).saveAsTable(name)
-    return spark.table(name), name, path
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out, path
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked ones of the pairs (a, b). For each b its text and then those of its a's stream by; a b with many a's has
     several streams."""
-    streams = pairs.groupBy("b").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams"))
+    streams = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams")))
     keyed = pairs.join(streams, "b").withColumn("s", F.pmod(F.xxhash64("a"), F.col("streams")).cast("int"))
     texts = texts.select(F.col("row").alias("a"), "text")
     heads = streams.select("b", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("s")).withColumn("a", F.col("b"))
@@ -188,7 +192,9 @@ def band_leaders(nodes: DataFrame) -> DataFrame:
     that text, and to all of them."""
     banded = nodes.where("n > 1").select("row", (F.col("common") / F.col("n")).alias("share"), F.explode("bands").alias("band"))
     leader = banded.groupBy("band").agg(F.max(F.struct("share", (-F.col("row")).alias("r"))).alias("m"), F.count("*").alias("c"))
-    return banded.join(leader.where("c > 1").select("band", (-F.col("m.r")).alias("b"), "c"), "band").select("row", "b", "c")
+    # written before the join, so that Spark can split a band that very many nodes share
+    leader = written(leader.where("c > 1").select("band", (-F.col("m.r")).alias("b"), "c"))
+    return banded.join(leader, "band").select("row", "b", "c")
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -210,18 +216,24 @@ def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.where("kind = 0").select("row", "text").join(wanted, "row", "left_semi").mapInArrow(cut, "row long, common long, tokens array<long>")
 
 
-def opened_groups(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, grp): the groups that the token-group matrix leaves open to a node of another group, and a node's own group where
+def group_table(nodes: DataFrame) -> DataFrame:
+    """(grp, least_n, most_n, members, blocks, main): what is known of a group as a whole; ``main`` is its leader's component.
+    Written, so that joins with it can split a group with very many members."""
+    wide = F.when(F.col("n") > 1, F.col("n"))
+    sums = nodes.groupBy("grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count("*").alias("members"), F.ceil(F.sum(wide) / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("row") == F.col("grp"), F.col("comp"))).alias("main"))
+    return written(sums)
+
+
+def opened_groups(tokens: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, grp): the groups that a node of another group may ask by the matrix over prefix tokens, and a node's own group where
     its component isn't the leader's."""
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)).cast("int")
     own = nodes.select("row", "grp", "n", least.alias("need"))
-    spread = tokens.select("row", F.explode("tokens").alias("token")).repartition("token")
-    twice = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    met = written(spread.join(twice, "token").join(own.select("row", "grp"), "row"))
-    shared = met.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    rows = written(met.join(shared, "token").select("token", "row", "grp"))
-    groups = nodes.groupBy("grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count("*").alias("members"))
-    matrix = rows.select("token", "grp").distinct().join(groups, "grp")
+    spread = written(tokens.select("row", F.explode("tokens").alias("token")).join(own.select("row", "grp"), "row"))
+    shared = spread.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
+    rows = written(spread.join(written(shared), "token").select("token", "row", "grp"))
+    discard(spread)
+    matrix = written(rows.select("token", "grp").distinct()).join(groups.drop("blocks", "main"), "grp")
     matrix = matrix.select("token", *[F.col(c).alias(f"g_{c}") for c in matrix.columns if c != "token"])
     asking = rows.join(own.drop("grp"), "row").join(groups.select("grp", "members"), "grp")
     # the group with fewer members asks, so either group of a pair is opened by one side alone
@@ -229,18 +241,20 @@ def opened_groups(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     fits = (100 * F.col("g_most_n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("g_least_n"))
     bounds = asking.join(matrix, "token").where(side & fits).groupBy("row", "g_grp").agg(F.count("*").alias("bound"), F.first("need").alias("need"))
     others = bounds.where("bound >= need").select(F.col("row").alias("a"), F.col("g_grp").alias("grp"))
-    main = nodes.select(F.col("row").alias("grp"), F.col("comp").alias("main"))
-    inside = nodes.where("n > 1").join(main, "grp").where("comp <> main").select(F.col("row").alias("a"), "grp")
-    return others.union(inside)
+    inside = nodes.where("n > 1").join(groups.select("grp", "main"), "grp").where("comp <> main").select(F.col("row").alias("a"), "grp")
+    out = written(others.union(inside))
+    discard(rows)
+    return out
 
 
-def links_in_groups(opened: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def links_in_groups(opened: DataFrame, nodes: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): for each opened group and component in it, a link of a to it where there is one. A group is dealt out in blocks
-    of about ``BLOCK`` shingles; the members of a block come first, then the nodes that ask."""
-    asked = opened.select("grp").distinct()
-    members = nodes.where("n > 1").join(asked, "grp", "left_semi")
-    blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("s"), "row", "comp", F.lit(0).alias("later"))
+    of about ``BLOCK`` shingles; the members of a block come first and give its token union, then come the nodes that ask. A
+    block is opened to a node only if the overlap with its union allows a link."""
+    asked = written(opened.select("grp").distinct())
+    blocks = groups.where("blocks > 0").select("grp", "blocks")
+    salt = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    own = nodes.where("n > 1").join(written(blocks.join(asked, "grp")), "grp").select("grp", salt.alias("s"), "row", "comp", F.lit(0).alias("later"))
     queries = opened.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), F.col("a").alias("row"))
     queries = queries.join(nodes.select("row", "comp"), "row").select("grp", "s", "row", "comp", F.lit(1).alias("later"))
     placed = own.union(queries).join(texts.select("row", "text"), "row").repartition("grp", "s").sortWithinPartitions("grp", "s", "later")
@@ -269,20 +283,25 @@ def links_in_groups(opened: DataFrame, nodes: DataFrame, texts: DataFrame) -> Da
 
 
 class _Block:
-    """The sets of a block by shingle, to count a set's overlap with all of them at once."""
+    """A block's token union, as one sorted column of the matrix, and which members have each token."""
 
     def __init__(self, members: list[tuple[int, int, np.ndarray]]):
         self.rows, self.comps = np.array([m[0] for m in members]), np.array([m[1] for m in members])
         self.sizes = np.array([len(m[2]) for m in members])
         tokens, who = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), self.sizes)
         order = np.argsort(tokens, kind="stable")
-        self.tokens, self.who = tokens[order], who[order]
+        self.who = who[order]
+        self.union, first = np.unique(tokens[order], return_index=True)
+        self.first = np.r_[first, len(tokens)]
 
     def links(self, own: np.ndarray, comp: int) -> list[int]:
-        lo, hi = np.searchsorted(self.tokens, own, "left"), np.searchsorted(self.tokens, own, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        both = np.bincount(self.who[at], minlength=len(self.rows))
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        at = at[self.union[at] == own]
+        if len(at) < need(len(own)):
+            return []
+        lo, n = self.first[at], self.first[at + 1] - self.first[at]
+        places = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(self.who[places], minlength=len(self.rows))
         hit = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (self.sizes + len(own) - both)) & (self.comps != comp))
         _, first = np.unique(self.comps[hit], return_index=True)
         return self.rows[hit[first]].tolist()
@@ -290,9 +309,8 @@ class _Block:
 
 def linked_groups(docs: DataFrame) -> DataFrame:
     """Rows of (row, doc_id, text) to (row, doc_id, n_shingles, root): root is equal for documents that links connect."""
-    texts, name, path = _by_row(docs)
+    texts, path = _by_row(docs)
     out = _grouped(texts)
-    texts.sparkSession.sql(f"DROP TABLE {name}")
     discard_path(texts.sparkSession, path)
     return out
 
@@ -309,11 +327,16 @@ def _grouped(texts: DataFrame) -> DataFrame:
     groups = led.groupBy("row").agg((-F.max(F.struct("c", (-F.col("b")).alias("r")))["r"]).alias("grp"))
     grouped = nodes.select("row", "n").join(groups, "row", "left").join(comps, "row", "left")
     grouped = written(grouped.select("row", "n", F.coalesce("grp", "row").alias("grp"), F.coalesce("comp", "row").alias("comp")))
-    opened = written(opened_groups(cut.select("row", "tokens"), grouped))
-    second = written(links_in_groups(opened, grouped, texts))
+    discard(led)
+    groups = group_table(grouped)
+    opened = opened_groups(cut.select("row", "tokens"), grouped, groups)
+    second = written(links_in_groups(opened, grouped, groups, texts))
+    discard(cut, opened, groups, nodes)
     final = connected_components(first.union(second))
-    placed = sets.join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
-    return written(feats.join(placed, ["k1", "k2", "n"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("root")))
+    placed = written(sets.join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root")))
+    out = written(feats.join(placed, ["k1", "k2", "n"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("root")))
+    discard(feats, sets, grouped, first, second, final, placed)
+    return out
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -328,7 +351,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The first document of every group, by doc_id and then by row; the columns of ``docs``."""
     text, others = F.col("text").cast("string").alias("text"), [n for n in docs.columns if n != "text"]
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text, F.struct(*[F.col(f"`{n}`") for n in others]).alias("rest"))
-    rows, _, _ = _by_row(base)
+    rows, _ = _by_row(base)
     first = _grouped(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")).alias("f"))
     kept = rows.where("kind = 0").join(first.select(F.col("f.row").alias("row")), "row", "left_semi")
     return kept.select(*[F.col("text") if n == "text" else F.col("rest")[n].alias(n) for n in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import OWN, ROW, WORD, columns_or_null, discard, running_total, table, with_row_id, written
+from .common import OWN, ROW, WORD, columns_or_null, discard, discard_path, folders, recorded, running_total, table, with_row_id, written
 from .quality import drop_lines
 
 #: Words that a repeated run of lines must have.
@@ -72,12 +72,24 @@ def later_copies(runs: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
     own = ranks.select("p", "rank")
     begin = mine.join(own.withColumnRenamed("rank", "a"), "p")
     whole = begin.withColumn("q", F.col("p") + F.col("m") - k).join(own.select(F.col("p").alias("q"), F.col("rank").alias("b")), "q")
-    first = whole.groupBy("m", "a", "b").agg(F.min("p").alias("first"))
+    whole = written(whole.select("p", "m", "a", "b"))
+    # written before the join, so that Spark can split a run that is very common
+    first = written(whole.groupBy("m", "a", "b").agg(F.min("p").alias("first")))
     return whole.join(first, ["m", "a", "b"]).where("p <> first").select("p", "m")
 
 
 def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, pos) of the lines to delete, of rows (row, doc_id, text)."""
+    """(row, pos) of the lines to delete, of rows (row, doc_id, text). What is written on the way is removed at the end."""
+    with recorded(rows.sparkSession) as names:
+        out = _repeated_lines(rows, min_words)
+    keep = folders(out)
+    for name in names:
+        if not any(f.endswith(name.rsplit("/", 1)[1]) for f in keep):
+            discard_path(rows.sparkSession, name)
+    return out
+
+
+def _repeated_lines(rows: DataFrame, min_words: int) -> DataFrame:
     lines = written(line_rows(rows))
     ranks = ranked(lines.select("p", "row", "pos", "left", "h1", "h2"), ["h1", "h2"])
     places = ranks.select("p", "row", "pos")
@@ -91,17 +103,17 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             discard(before)
         k *= 2
     if found is None:
-        return places.select("row", "pos").where("false")
+        return written(places.select("row", "pos").where("false"))
     ends = found.groupBy("p").agg((F.col("p") + F.max("m")).alias("end"))
     reach = F.max("end").over(Window.partitionBy("row").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
     return written(places.join(ends, "p", "left").withColumn("reach", reach).where("reach > p").select("row", "pos"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = True, stored: bool = False) -> DataFrame:
     """The texts without later copies of repeated runs; the columns of ``docs``. A text whose lines all go was a copy as a
-    whole: its row is dropped, unless told otherwise."""
+    whole: its row is dropped, unless told otherwise. ``stored`` as in ``with_row_id``."""
     names, full = docs.columns, f"{OWN}full"
-    rows = with_row_id(docs, ROW)
+    rows = with_row_id(docs, ROW, stored)
     base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", text="string").withColumnRenamed(ROW, "row")
     out = drop_lines(rows.withColumn(full, F.coalesce(F.octet_length("text"), F.lit(0)) > 0), repeated_lines(base, min_words))
     if drop_emptied:

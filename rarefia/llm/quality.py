@@ -110,15 +110,15 @@ def drop_lines(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
-def filter_quality(docs: DataFrame) -> DataFrame:
-    """The kept documents, without the lines above the limits; the columns of ``docs``."""
+def filter_quality(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """The kept documents, without the lines above the limits; the columns of ``docs``. ``stored`` as in ``with_row_id``."""
     names = docs.columns
-    rows = with_row_id(docs, ROW)
+    rows = with_row_id(docs, ROW, stored)
     base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", source="string", text="string").withColumnRenamed(ROW, "row")
     feats = written(base_features(base))
     marks = written(removed_lines(feats, written(common_lines(feats))))
     kept = judge(feats, marks).where("kept").select(F.col("row").alias(ROW))
-    return drop_lines(rows.join(kept, ROW, "left_semi"), marks).select(*[F.col(f"`{n}`") for n in names])
+    return drop_lines(rows.join(kept.hint("merge"), ROW, "left_semi"), marks).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from . import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable, suffix_dedup, toxicity
-from .common import shipped
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -17,7 +16,6 @@ QUERIES = {
     "op9_projection_forest": ann.op9,
     "op10_token_group_matrix": jaccard.op10,
 }
-QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,

@@ -39,7 +39,7 @@ def ranges(rows: DataFrame, parts: int, overfull: float = 1.5) -> tuple[DataFram
     inside = coarse.where(F.col("a").isin(full))
     keys = ["h", "doc_id", "row"]
     fine = max(2, round(sum(sums[a][0] for a in full) / limit * overfull))
-    cuts = splitters(inside, keys, "size", fine, seed=12)
+    cuts = splitters(inside, keys, "size", fine, seed=12, unique=True)
     split = written(coarse.withColumn("b", F.when(F.col("a").isin(full), range_of(coarse, keys, cuts)).otherwise(0)))
     got = split.groupBy("a", "b").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     return split, sorted(((r["a"], r["b"]), r["s"], r["n"]) for r in got)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_or_null, draw, table
+from .common import columns_or_null, draw, ship, table
 
 #: Hash buckets, labelled rows in the sample (expected), terms that the machine knows, length of their vectors.
 BUCKETS, SAMPLE, TERMS, FACTORS = 2**18, 16_384, 4_096, 4
@@ -120,6 +120,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """Fit on about ``sample`` labelled rows that aren't held out, chosen by a hash of their ids."""
+    ship(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("y")).where("doc_id is not null and y is not null")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = sample / max(marks.count(), 1)
