@@ -1,11 +1,24 @@
-"""A corpus pipeline of five stages; each one's table is written and read again before the next."""
+"""A corpus pipeline of five stages; each one's table is written and read again before the next.
+
+Defined results, by stage: null and empty texts fail the base filter of the quality rules and go there; a null source is a host
+(and a source of the mix) of its own; rows that repeat count as one text in the quality rules, lose their lines as later
+copies in line dedup, are one group in the join (which keeps the least doc_id, null last) and are taken each by itself in the
+mix; very long texts are worked on whole; extra columns are kept by all stages but the last, whatever their names; an
+empty table passes through as an empty table. The other results of each stage are those of its operator.
+
+What a stage writes on its way is removed when the next one begins, as its result has been written by then. What the next
+stage's ``docs`` reads is kept in any case.
+"""
 
 from __future__ import annotations
 
+import functools
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rarefia.llm.bpe import code_digests
-from rarefia.llm.common import shipped, table, written
+from rarefia.llm.common import discard, discard_path, folders, recorded, table, written
 from rarefia.llm.jaccard import keep_one_of_each
 from rarefia.llm.line_dedup import dedup_lines
 from rarefia.llm.mixing import mix_sources
@@ -14,12 +27,12 @@ from rarefia.llm.quality import filter_quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and so do lines above their host's limit."""
-    return filter_quality(docs)
+    return filter_quality(docs, stored=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go, and documents that were copies as a whole."""
-    return dedup_lines(docs)
+    return dedup_lines(docs, stored=True)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,23 +50,43 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return code_digests(docs)
 
 
+def _tidy(stage):
+    """The stage, after the tables that earlier stages wrote on their way have been removed."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        used = {f.rsplit("/", 1)[1] for f in folders(docs)}
+        left = getattr(context, "_rarefia_stages", [])
+        for folder in left:
+            if folder.rsplit("/", 1)[1] not in used:
+                discard_path(spark, folder)
+        with recorded(spark) as names:
+            out = stage(spark, docs, sf_dir)
+        context._rarefia_stages = [f for f in left if f.rsplit("/", 1)[1] in used] + names
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("n-gram Jaccard join", ngram_jaccard_join),
-    ("mixing sources", mix_to_weights),
-    ("byte-level BPE", byte_bpe),
+    ("quality rules", _tidy(quality_rules)),
+    ("line dedup", _tidy(line_dedup)),
+    ("n-gram Jaccard join", _tidy(ngram_jaccard_join)),
+    ("mixing sources", _tidy(mix_to_weights)),
+    ("byte-level BPE", _tidy(byte_bpe)),
 ]
 
-STAGES = [(name, shipped(stage)) for name, stage in STAGES]
-
 #: SQL can express neither the join at this size nor BPE.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's input is removed when its result has been written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else written(docs), sf_dir)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs, before = written(stage(spark, docs, sf_dir)), docs
+        if i:
+            discard(before)
+        gc.collect()  # plans that Python no longer holds: Spark's cleaner then removes their shuffle files
+    return STAGES[-1][1](spark, docs, sf_dir)
