@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_or_null, discard, table, written
+from .common import columns_or_null, discard, ship, table, written
 from .jaccard import mix
 
 #: Bytes of a repeated string and of an anchor; windows in a block; bytes that one suffix array sorts, and that the contexts
 #: of one anchor may have in a shard.
-WINDOW, ANCHOR, BLOCK, SORTED, SHARD = 200, 32, 1 << 19, 1 << 16, 1 << 18
+WINDOW, ANCHOR, BLOCK, SORTED, SHARD = 200, 32, 1 << 19, 1 << 19, 1 << 20
 #: Left shares by which contexts that can't repeat are told.
 SIDES = (24, 48, 72, 96, 120, 144)
 _PLACE = np.uint64((1 << 20) - 1)
@@ -112,10 +112,95 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- induced sorting ---
 
 
-def suffix_array(s: list[int], k: int) -> list[int]:
-    """The suffix array of s (numbers below k; its last is the only 0) by induced sorting."""
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of x, the values in it, where each value begins there, and how often it occurs."""
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
+    return order, x[order[first]], first, np.diff(np.r_[first, len(x)])
+
+
+def suffix_array(s: np.ndarray, k: int, single: int = 1) -> np.ndarray:
+    """The suffix array of s (numbers below k; its last is the only 0) by induced sorting.
+
+    The numbers below ``single`` occur once each, and none after another. Suffixes are classified and buckets induced
+    with numpy: all that one bucket induces at a time, which costs a few operations for each number there is. Where numbers
+    are nearly as many as places, as in the recursion, ``induced_list`` goes from place to place instead.
+    """
+    s = np.asarray(s, np.int32)
     n = len(s)
-    small = bytearray(n)  # 1: the suffix is less than the next one
+    if k * 24 > n:
+        return np.array(induced_list(s.tolist(), k), np.int64)
+    differ = np.flatnonzero(s[:-1] != s[1:])
+    after = differ[np.searchsorted(differ, np.arange(n - 1))]
+    small = np.r_[s[after] < s[after + 1], True]  # the suffix is less than the next one
+    leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    sizes = np.bincount(s, minlength=k)
+    tails = np.cumsum(sizes)
+    heads = tails - sizes
+    larger = np.bincount(s[~small], minlength=k)  # of each number, the suffixes that are greater than their next
+    begins = np.bincount(s[leftmost], minlength=k)
+    present = [c for c in np.flatnonzero(sizes).tolist() if c >= single]
+
+    def induce(order: np.ndarray) -> np.ndarray:
+        sa = np.full(n, -1, np.int64)
+        o, x, first, count = _groups(s[order])
+        sa[np.repeat(tails[x] - count - first, count) + np.arange(len(order))] = order[o]
+        head, tail = heads.copy(), tails.copy()
+
+        def rightwards(found: np.ndarray) -> None:
+            p = found[found > 0] - 1
+            p = p[~small[p]]
+            if len(p):
+                o, x, first, count = _groups(s[p])
+                sa[np.repeat(head[x] - first, count) + np.arange(len(p))] = p[o]
+                head[x] += count
+
+        def leftwards(found: np.ndarray) -> None:
+            p = found[found > 0] - 1
+            p = p[small[p]]
+            if len(p):
+                o, x, first, count = _groups(s[p])
+                sa[np.repeat(tail[x] - 1 + first, count) - np.arange(len(p))] = p[o]
+                tail[x] -= count
+
+        rightwards(sa[: tails[single - 1]])
+        for c in present:
+            at = heads[c]
+            while at < head[c]:  # a bucket adds to itself as long as its number repeats
+                at, part = head[c], sa[at : head[c]]
+                rightwards(part)
+            rightwards(sa[tails[c] - begins[c] : tails[c]])
+        for c in reversed(present):
+            at = tails[c]
+            while at > tail[c]:
+                at, part = tail[c], sa[tail[c] : at][::-1]
+                leftwards(part)
+            leftwards(sa[heads[c] : heads[c] + larger[c]][::-1])
+        return sa
+
+    # names of the substrings from one leftmost-smaller suffix to the next, in their order
+    end = np.zeros(n, np.int64)
+    end[leftmost] = np.r_[leftmost[1:], n - 1]
+    sa = induce(leftmost)
+    sub = sa[end[sa] > 0] if len(leftmost) else sa[:0]
+    long = end[sub] - sub
+    alike = np.flatnonzero(long[1:] == long[:-1]) + 1
+    reach = long[alike] + 1
+    step = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+    unlike = s[np.repeat(sub[alike], reach) + step] != s[np.repeat(sub[alike - 1], reach) + step]
+    same = np.zeros(len(sub), bool)
+    same[alike] = np.bincount(np.repeat(np.arange(len(alike)), reach), weights=unlike, minlength=len(alike)) == 0
+    name = np.zeros(n, np.int64)
+    name[sub] = np.cumsum(~same) - 1
+    names = int(name[sub[-1]]) + 1 if len(sub) else 0
+    order = leftmost[suffix_array(name[leftmost], names)] if names < len(leftmost) else sub
+    return induce(order)
+
+
+def induced_list(s: list[int], k: int) -> list[int]:
+    """The same, place by place."""
+    n = len(s)
+    small = bytearray(n)
     small[n - 1] = 1
     for i in range(n - 2, -1, -1):
         if s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1]):
@@ -154,7 +239,6 @@ def suffix_array(s: list[int], k: int) -> list[int]:
         return sa
 
     sa = induce(leftmost)
-    # names of the substrings from one leftmost-smaller suffix to the next, in their order
     end = {i: j for i, j in zip(leftmost, leftmost[1:] + [n - 1])}
     name, names, last = -1, {}, None
     for i in sa:
@@ -164,47 +248,58 @@ def suffix_array(s: list[int], k: int) -> list[int]:
                 name, last = name + 1, sub
             names[i] = name
     if name + 1 < len(leftmost):
-        reduced = [names[i] for i in leftmost]
-        order = [leftmost[i] for i in suffix_array(reduced, name + 1)]
+        order = [leftmost[i] for i in induced_list([names[i] for i in leftmost], name + 1)]
     else:
         order = sorted(leftmost, key=names.__getitem__)
     return induce(order)
 
 
-def common_prefixes(s: list[int], sa: list[int]) -> tuple[list[int], list[int]]:
-    """(before, plcp): by position, the suffix before it in the array and the length of their common prefix."""
+def common_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, plcp): by position, the suffix before it in the array (-1: none) and the length of their common prefix.
+
+    Where the letters before both are equal, the length is one less than at the position before; only the others are
+    compared, letter by letter and all at once.
+    """
+    s = np.asarray(s)
     n = len(s)
-    before = [-1] * n
-    for a, b in zip(sa, sa[1:]):
-        before[b] = a
-    plcp, same = [0] * n, 0
-    for i in range(n):
-        j = before[i]
-        if j < 0:
-            same = 0
-            continue
-        while i + same < n and j + same < n and s[i + same] == s[j + same]:
-            same += 1
-        plcp[i] = same
-        same = same - 1 if same else 0
-    return before, plcp
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    back = np.maximum(before - 1, 0)
+    least = (before <= 0) | (s[np.maximum(np.arange(n) - 1, 0)] != s[back])
+    least[0] = True
+    plcp = np.zeros(n, np.int64)
+    live = np.flatnonzero(least & (before >= 0))
+    length = 0
+    while len(live):
+        live = live[np.maximum(live, before[live]) + length < n]
+        live = live[s[live + length] == s[before[live] + length]]
+        length += 1
+        plcp[live] = length
+    source = np.maximum.accumulate(np.where(least, np.arange(n), 0))
+    return before, np.maximum(plcp[source] - (np.arange(n) - source), 0)
 
 
 def repeated_starts(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context the starts of its windows that occur elsewhere in the contexts."""
-    m = len(contexts)
-    s, starts = [], []
-    for i, c in enumerate(contexts):
-        starts.append(len(s))
-        s += [x + m + 1 for x in c]
-        s.append(m - i)  # its own separator, so no common prefix goes beyond a context
-    s.append(0)
-    before, plcp = common_prefixes(s, suffix_array(s, m + 257))
+    """For each context the starts of its windows that occur elsewhere in the contexts. Equal contexts repeat as a whole, and one of
+    them is sorted."""
+    times: dict[bytes, int] = {}
+    for c in contexts:
+        times[c] = times.get(c, 0) + 1
+    m, size = len(times), np.fromiter(map(len, times), np.int64, len(times))
+    starts = np.cumsum(size + 1) - size - 1
+    # each context ends with a separator of its own, so no common prefix goes beyond it; 0 ends all
+    s = np.zeros(int(size.sum()) + m + 1, np.int32)
+    inside = np.ones(len(s), bool)
+    inside[starts + size] = inside[-1] = False
+    s[inside] = np.frombuffer(b"".join(times), np.uint8).astype(np.int32) + m + 1
+    s[starts + size] = np.arange(m, 0, -1)
+    before, plcp = common_prefixes(s, suffix_array(s, m + 257, m + 1))
     found = np.zeros(len(s), bool)
-    hits = np.flatnonzero(np.array(plcp) >= WINDOW)
+    hits = np.flatnonzero(plcp >= WINDOW)
     found[hits] = True
-    found[np.array(before)[hits]] = True
-    return [np.flatnonzero(found[a : a + len(c)]) for a, c in zip(starts, contexts)]
+    found[before[hits]] = True
+    own = {c: np.arange(len(c) - WINDOW + 1) if times[c] > 1 else np.flatnonzero(found[a : a + len(c)]) for a, c in zip(starts.tolist(), times)}
+    return [own[c] for c in contexts]
 
 
 def spans(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -257,7 +352,7 @@ def shared_sides(cut: DataFrame) -> DataFrame:
     pairs = [(j, a, rest + 1 - a) for j, a in enumerate(SIDES)]
     sides = [F.struct(F.lit(j).alias("j"), F.lit(m).alias("m"), h.alias("h")) for j, a, b in pairs for m, h in ((a, left(a)), (-b, right(b)))]
     keys = cut.select("g", "c", F.inline(F.array(*sides))).where("h is not null")
-    often = keys.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h")
+    often = written(keys.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h"))
     alike = keys.join(often, ["g", "h"]).groupBy("g", "c").agg(F.count_distinct("j").alias("n"), F.greatest(F.max("m"), F.lit(0)).alias("l"), F.greatest(-F.min("m"), F.lit(0)).alias("r"))
 
     def below(shared, steps: list[int]):
@@ -275,36 +370,47 @@ def shared_sides(cut: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(k1, k2, a, b): bytes a to b (exclusive) of the texts that repeated windows cover; they may overlap."""
+    """(k1, k2, a, b): bytes a to b (exclusive) of the texts that repeated windows cover; they may overlap.
+
+    What is counted by an anchor is written before it is joined with, so that Spark can split an anchor with very many rows.
+    """
     runs = written(docs.where(F.octet_length("text") >= WINDOW).select("k1", "k2", "text").mapInArrow(_runs, "k1 long, k2 long, lo int, span int, q int, g long, c long"))
-    often = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    repeated = written(runs.join(often, "g"))
-    discard(runs)
-    contexts = written(repeated.groupBy("g", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("k1", "k2", "lo", "span", "q")]))
-    whole = repeated.join(contexts.where("n > 1").select("g", "c"), ["g", "c"]).select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + F.col("span") + WINDOW).alias("b")).distinct()
-    several = contexts.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = contexts.join(several.select("g"), "g").select("g", "c", "k1", "k2", "lo", "span", "q")
+    contexts = written(runs.groupBy("g", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("k1", "k2", "lo", "span", "q")]))
+    again = written(contexts.where("n > 1").select("g", "c"))
+    whole = written(runs.join(again, ["g", "c"]).select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + F.col("span") + WINDOW).alias("b")).distinct())
+    discard(runs, again)
+    several = written(contexts.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g"))
+    open_ = contexts.join(several, "g").select("g", "c", "k1", "k2", "lo", "span", "q")
     texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    cut = open_.join(texts, ["k1", "k2"]).withColumn("context", F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("span") + WINDOW)).drop("text")
-    cut = written(shared_sides(written(cut)))
-    size = cut.groupBy("g").agg(F.sum(F.col("span") + WINDOW).alias("bytes"))
-    cut = cut.join(size, "g")
-    shards = cut.where(F.col("bytes") <= SHARD).select("g", "k1", "k2", "lo", "context").repartition("g").sortWithinPartitions("g")
+    texts_cut = written(open_.join(texts, ["k1", "k2"]).withColumn("context", F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("span") + WINDOW)).drop("text"))
+    discard(contexts, several)
+    cut = written(shared_sides(texts_cut))
+    discard(texts_cut)
+    size = written(cut.groupBy("g").agg(F.sum(F.col("span") + WINDOW).alias("bytes")))
+    total = size.where(F.col("bytes") <= SHARD).agg(F.sum("bytes")).head()[0] or 0
+    sized = cut.join(size, "g")
+    # tasks by bytes of contexts, as sorting costs more than reading
+    shards = sized.where(F.col("bytes") <= SHARD).select("g", "k1", "k2", "lo", "context").repartition(max(1, -(-total // SHARD)), "g").sortWithinPartitions("g")
     sorted_ = shards.mapInArrow(_sorted_shard, "k1 long, k2 long, a int, b int")
     # the windows of an anchor with too many contexts: their hashes take the anchor's place
     piece = lambda i: F.substring(F.col("context"), i + 1, F.lit(WINDOW))
     windows = F.transform(F.sequence(F.lit(0), F.col("span")), lambda i: F.struct(i.alias("i"), F.xxhash64(piece(i)).alias("w1"), F.xxhash64(F.lit(1), piece(i)).alias("w2")))
-    large = cut.where(F.col("bytes") > SHARD).select("k1", "k2", "lo", F.inline(windows))
-    twice = large.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    large = written(sized.where(F.col("bytes") > SHARD).select("k1", "k2", "lo", F.inline(windows)))
+    twice = written(large.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
     hashed = large.join(twice, ["w1", "w2"]).select("k1", "k2", (F.col("lo") + F.col("i")).alias("a"), (F.col("lo") + F.col("i") + WINDOW).alias("b"))
-    return written(whole.union(sorted_).union(hashed))
+    out = written(whole.union(sorted_).union(hashed))
+    discard(whole, cut, size, large, twice)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes."""
+    ship(docs.sparkSession)
     rows = keyed(docs)
     # by text, each stretch once; then they are as many as one text has
-    by_text = covered(rows).distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone"))
+    gone = covered(rows)
+    by_text = written(gone.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone")))
+    discard(gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
