@@ -27,15 +27,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_or_null, scratch_dir, table, written
+from .common import columns_or_null, scratch_dir, ship, table, written
 
 MAGIC = b"SSTRUN01"
 #: Bytes of a block before compression, Bloom bits for each key and probes, and the id that ends a document.
 BLOCK, BITS, PROBES, END = 65_536, 10, 7, 2
 #: Words that a task remembers the ids of; then it starts anew.
 MEMO = 1_000_000
+#: Words that are encoded as one string, and the longest such word.
+JOINED, LONGEST = 2_000, 256
 #: A space that white space follows. Python's class holds all of the library's and U+001C to U+001F.
 SPACE_IN_RUN = re.compile(r" \s").search
+WHITE = re.compile(r"\s").search
 
 
 # --- the file format ---
@@ -165,6 +168,8 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size() < 2**16 else 4
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        alone = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_end = alone[0] if len(alone) == 1 else -1
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -175,24 +180,47 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember words. A line end between two other characters is a pre-token, so words are cut there; and many pieces
+        without white space (but a space before them) are encoded as one string, with line ends between them."""
+        known, short, other = self.known, [], []
+        lines = {w: w.split("\n") for w in words if "\n" in w}
+        several = {w: p for w, p in lines.items() if all(p) and p[0] != " " and not WHITE(w[1:].replace("\n", ""))}
+        pieces = (words - several.keys()).union(*several.values())
+        for w in pieces:
+            if w not in known:
+                (other if not w or w == " " or len(w) > LONGEST or WHITE(w, 1) else short).append(w)
+        size = self.width
+        for k in range(0, len(short), JOINED):
+            part = short[k : k + JOINED]
+            ids = self._library(["\n".join(part)])[0]
+            cuts = np.flatnonzero(np.frombuffer(ids, f"<u{size}") == self.line_end) * size
+            if len(cuts) == len(part) - 1:
+                cuts = cuts.tolist()
+                known.update(zip(part, [ids[a:b] for a, b in zip([0, *[c + size for c in cuts]], [*cuts, len(ids)])]))
+            else:  # a pattern or vocabulary that takes line ends otherwise
+                other += part
+        known.update((w, self._library([w])[0]) for w in other)
+        if several:
+            between = self._library(["\n"])[0]
+            known.update((w, between.join(map(known.__getitem__, p))) for w, p in several.items())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         runs = [SPACE_IN_RUN(t) or (t[-1:] == " " and t[-2:-1].isspace()) for t in texts]
         plain = [not r and "\0" not in t and not any(s in t for s in self.special) for t, r in zip(texts, runs)]
-        words = [t.replace(" ", "\0 ").split("\0") if p else [t] for t, p in zip(texts, plain)]
+        words = [t.replace(" ", "\0 ").split("\0") if p else [] for t, p in zip(texts, plain)]
         if len(self.known) > MEMO:
             self.known.clear()
-        known, whole = self.known, {}
-        fresh = [w for w in set().union(*[w for w, p in zip(words, plain) if p]) if w not in known]
-        for k in range(0, len(fresh), 20_000):
-            known.update(zip(fresh[k : k + 20_000], self._library(fresh[k : k + 20_000])))
-        whole = {w[0]: self._library(w)[0] for w, p in zip(words, plain) if not p}
-        joined = [b"".join(map(known.__getitem__, w)) if p else whole[w[0]] for w, p in zip(words, plain)]
+        known = self.known
+        self._learn(set().union(*words) - known.keys())
+        joined = [b"".join(map(known.__getitem__, w)) if p else self._library([t])[0] for t, w, p in zip(texts, words, plain)]
         return [np.frombuffer(j, dtype=f"<u{self.width}") for j in joined]
 
 
 def write_tables(docs: DataFrame, vocabulary: str, folder: str, tables: int | None = None, end: int = END) -> DataFrame:
     """Write (doc_id, text) as tables in ``folder``; returns one row per file: part, path, rows, tokens, first, last."""
     spark = docs.sparkSession
+    ship(spark)
     n = tables or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     placed = keyed.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
@@ -225,6 +253,7 @@ def write_tables(docs: DataFrame, vocabulary: str, folder: str, tables: int | No
 def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Scan the files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32. The starts of the files come
     from the manifest, whose rows are as many as the files."""
+    ship(spark)
     before, files = 0, []
     for r in manifest.orderBy("part").collect():
         files.append((r["path"], before))
@@ -252,6 +281,8 @@ def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the rows with the ids in ``wanted``: every file asks its filter and index, block by block."""
 
+    ship(manifest.sparkSession)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file: dict[str, Reader] = {}
         for b in batches:
