@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns_or_null, table, written
+from .common import columns_or_null, ship, table, written
 
 #: Characters in a chunk, those it shares with the next, and how far the pattern can look beyond a match.
 CHUNK, OVERLAP, AHEAD = 32_768, 2_048, 3
-#: Words that a task remembers the ids of; then it starts anew.
-MEMO = 200_000
 
 
 class Codec:
@@ -46,7 +44,6 @@ class Codec:
         self.raw: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
             self.raw[i] = token
-        self.memo: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -57,22 +54,9 @@ class Codec:
     def boundaries(self, text: str) -> list[int]:
         return [m.end() for m in self.pattern.finditer(text)]
 
-    def encode_word(self, word: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        ids = self.memo[word] = np.array(self.encoder.encode_ordinary(word), dtype="<u4").tobytes()
-        return ids
-
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of one piece.
-
-        Where no two spaces follow one another, a boundary lies before every space, so the text falls into words
-        (each with its space) that are remembered; else the piece is encoded as it is.
-        """
-        if "  " in text:
-            return np.array(self.encoder.encode_ordinary(text), dtype="<u4").tobytes()
-        known, fresh = self.memo.get, self.encode_word
-        return b"".join([known(w) or fresh(w) for w in text.replace(" ", "\0 ").split("\0")] if "\0" not in text else [fresh(text)]) if text else b""
+        """Little-endian 32-bit ids of one piece. The library is quicker than a memory of words would be."""
+        return np.array(self.encoder.encode_ordinary(text), dtype="<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -80,6 +64,7 @@ class Codec:
 
 def _mapped(df: DataFrame, source: str, schema: str, work) -> DataFrame:
     """Replace the column ``source`` by one that ``work`` makes of its values, batch by batch; keep the others."""
+    ship(df.sparkSession)
     names = [f.name for f in df.schema if f.name != source]
     name, kind = schema.split(" ", 1)
     arrow = {"binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[kind]
@@ -96,11 +81,29 @@ def _mapped(df: DataFrame, source: str, schema: str, work) -> DataFrame:
     return df.mapInArrow(run, f"{types}, {schema}" if names else schema)
 
 
+def _cut(df: DataFrame, others: list[str], names: str, places) -> DataFrame:
+    """A row for every stretch of every text: the columns ``others``, then ``names`` (two: a number and the stretch). ``places`` gives a
+    row's stretches as (from, to). Each text is gone through once, however many stretches it has."""
+    number, stretch = names.split(" ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, row in enumerate(b.to_pylist()):
+                text = row["text"]
+                found = places(row, len(text))
+                for k in range(0, len(found), 64):  # a few at a time: the stretches of a very long text don't pile up
+                    part = found[k : k + 64]
+                    same = [b.column(c).slice(i, 1).take(pa.array([0] * len(part))) for c in others]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(range(k, k + len(part)), pa.int32()), pa.array([text[x:y] for x, y in part], pa.string())], names=[*others, number, stretch])
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in others) + f"{number} int, {stretch} string")
+
+
 def cut_chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(row, n, c, text): a row for every chunk of every text; n is the text's length in characters."""
-    many = F.greatest(F.lit(0), F.ceil((F.length("text") - overlap) / (chunk - overlap)).cast("int") - 1)
-    df = docs.select("row", "text", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), many)).alias("c"))
-    return df.select("row", "n", "c", F.substr("text", F.col("c") * (chunk - overlap) + 1, F.lit(chunk)).alias("text"))
+    """(row, c, text): a row for every chunk of every text."""
+    step = chunk - overlap
+    return _cut(docs.select("row", "text"), ["row"], "c text", lambda row, n: [(a, a + chunk) for a in range(0, max(n - overlap, 1), step)])
 
 
 def agreed_boundaries(chunks: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -123,11 +126,10 @@ def agreed_boundaries(chunks: DataFrame, path: str, pattern: str, chunk: int, ov
 
 def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(row, ids) of the rows of (row, text) with more than a chunk, by chunks, stitching and pieces."""
-    cuts = agreed_boundaries(cut_chunks(docs, chunk, overlap).where(f"n > {chunk}"), path, pattern, chunk, overlap)
+    cuts = agreed_boundaries(cut_chunks(docs.where(F.length("text") > chunk), chunk, overlap), path, pattern, chunk, overlap)
     cuts = cuts.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("cuts"))
     whole = docs.join(cuts, "row", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
-    pieces = whole.select("row", "text", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0)), "cuts").alias("a"), F.concat("cuts", F.array(F.length("text"))).alias("b"))).alias("k", "p"))
-    pieces = pieces.select("row", "k", F.substr("text", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")).alias("piece")).repartition("row", "k")
+    pieces = _cut(whole, ["row"], "k piece", lambda row, n: list(zip([0, *row["cuts"]], [*row["cuts"], n]))).repartition("row", "k")
     coded = _mapped(pieces, "piece", "ids binary", lambda texts: list(map(Codec.load(path, pattern).encode, texts)))
     joined = coded.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
     # a text's pieces are put together as hex, as no built-in function concatenates an array of binaries
