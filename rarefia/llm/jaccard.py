@@ -37,8 +37,10 @@ from .components import connected_components
 WORDS, PERCENT, SHARED, ROWS, BANDS = 5, 75, 3, 2, 4
 #: Shingles counted together for the frequent ones, the count from which one is frequent there, and the longest table.
 WINDOW, FREQUENT, MOST_FREQUENT = 2_000_000, 4, 1_000_000
-#: Checks against one text that share a task's stream, and shingles in a block of a group.
+#: Checks against one text or block that share a task's stream, and shingles in a block of a group.
 STREAM, BLOCK = 1_000, 200_000
+#: The count from which a frequent shingle's rows aren't brought together to see whether it repeats.
+HOT = 1_000
 MEMO = 1_000_000
 
 
@@ -87,16 +89,18 @@ def need(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The rarest shingles, as many as make linked sets share ``SHARED`` of them (or all they must share), and how many of the
-    set are frequent."""
-    p, common = min(len(s), len(s) - need(len(s)) + SHARED), 0
+def prefix(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rarest shingles, as many as make linked sets share ``SHARED`` of them (or all they must share), in two parts: those
+    below ``HOT`` and the others; and how many of the set are frequent."""
+    p, common, hot = min(len(s), len(s) - need(len(s)) + SHARED), 0, 0
     if len(often):
         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
         known = often[at] == s
         common = int(known.sum())
-        s = s[np.argsort(np.where(known, counts[at], 0), kind="stable")]
-    return s[:p], common
+        times = np.where(known, counts[at], 0)
+        order = np.argsort(times, kind="stable")[:p]
+        s, hot = s[order], int((times[order] >= HOT).sum())
+    return s[: p - hot], s[p - hot : p], common
 
 
 _FEATURES = pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
@@ -198,7 +202,8 @@ def band_leaders(nodes: DataFrame) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(row, common, tokens) of the nodes with two shingles or more: how many of a set's shingles are frequent, and its prefix."""
+    """(row, common, tokens, hot) of the nodes with two shingles or more: how many of a set's shingles are frequent, and its
+    prefix in two parts."""
     spark = texts.sparkSession
     often = texts.where("kind = 1").groupBy("row").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "row").limit(MOST_FREQUENT).toPandas()
     values = often["row"].to_numpy(np.int64).view(np.uint64)
@@ -210,10 +215,10 @@ def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             for k in range(0, b.num_rows, 1_000):
                 part = b.slice(k, 1_000)
                 found = [prefix(shingles(t), *shared.value) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([c for _, c in found], pa.int64()), pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64()))], names=["row", "common", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([f[2] for f in found], pa.int64()), *[pa.array([f[i].view(np.int64) for f in found], pa.list_(pa.int64())) for i in (0, 1)]], names=["row", "common", "tokens", "hot"])
 
     wanted = nodes.where("n > 1").select("row")
-    return texts.where("kind = 0").select("row", "text").join(wanted, "row", "left_semi").mapInArrow(cut, "row long, common long, tokens array<long>")
+    return texts.where("kind = 0").select("row", "text").join(wanted, "row", "left_semi").mapInArrow(cut, "row long, common long, tokens array<long>, hot array<long>")
 
 
 def group_table(nodes: DataFrame) -> DataFrame:
@@ -229,7 +234,10 @@ def opened_groups(tokens: DataFrame, nodes: DataFrame, groups: DataFrame) -> Dat
     its component isn't the leader's."""
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)).cast("int")
     own = nodes.select("row", "grp", "n", least.alias("need"))
-    spread = written(tokens.select("row", F.explode("tokens").alias("token")).join(own.select("row", "grp"), "row"))
+    rare = tokens.select("row", F.explode("tokens").alias("token")).repartition("token")
+    twice = rare.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    often = tokens.select("row", F.explode("hot").alias("token"))
+    spread = written(rare.join(twice, "token").select("row", "token").union(often).join(own.select("row", "grp"), "row"))
     shared = spread.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     rows = written(spread.join(written(shared), "token").select("token", "row", "grp"))
     discard(spread)
@@ -251,21 +259,23 @@ def links_in_groups(opened: DataFrame, nodes: DataFrame, groups: DataFrame, text
     """(a, b): for each opened group and component in it, a link of a to it where there is one. A group is dealt out in blocks
     of about ``BLOCK`` shingles; the members of a block come first and give its token union, then come the nodes that ask. A
     block is opened to a node only if the overlap with its union allows a link."""
-    asked = written(opened.select("grp").distinct())
-    blocks = groups.where("blocks > 0").select("grp", "blocks")
-    salt = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    own = nodes.where("n > 1").join(written(blocks.join(asked, "grp")), "grp").select("grp", salt.alias("s"), "row", "comp", F.lit(0).alias("later"))
-    queries = opened.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), F.col("a").alias("row"))
-    queries = queries.join(nodes.select("row", "comp"), "row").select("grp", "s", "row", "comp", F.lit(1).alias("later"))
-    placed = own.union(queries).join(texts.select("row", "text"), "row").repartition("grp", "s").sortWithinPartitions("grp", "s", "later")
+    asked = written(opened.groupBy("grp").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams")))
+    shape = written(groups.where("blocks > 0").select("grp", "blocks").join(asked, "grp"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    own = nodes.where("n > 1").join(shape, "grp").select("grp", part("blocks").alias("s"), each("streams").alias("t"), "row", "comp", F.lit(0).alias("later"))
+    queries = opened.withColumnRenamed("a", "row").join(shape, "grp").select("grp", each("blocks").alias("s"), part("streams").alias("t"), "row")
+    queries = queries.join(nodes.select("row", "comp"), "row").select("grp", "s", "t", "row", "comp", F.lit(1).alias("later"))
+    # a block that very many nodes ask has several streams, each with the block's members
+    placed = own.union(queries).join(texts.select("row", "text"), "row").repartition("grp", "s", "t").sortWithinPartitions("grp", "s", "t", "later")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, index = None, [], None
         for batch in batches:
             a, b = [], []
-            for grp, s, row, comp, later, text in zip(*[batch.column(c).to_pylist() for c in ("grp", "s", "row", "comp", "later", "text")]):
-                if (grp, s) != now:
-                    now, held, index = (grp, s), [], None
+            for grp, s, t, row, comp, later, text in zip(*[batch.column(c).to_pylist() for c in ("grp", "s", "t", "row", "comp", "later", "text")]):
+                if (grp, s, t) != now:
+                    now, held, index = (grp, s, t), [], None
                 own = shingles(text)
                 if not later:
                     held.append((row, comp, own))
@@ -279,7 +289,7 @@ def links_in_groups(opened: DataFrame, nodes: DataFrame, groups: DataFrame, text
                     b.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return placed.select("grp", "s", "row", "comp", "later", "text").mapInArrow(check, "a long, b long")
+    return placed.select("grp", "s", "t", "row", "comp", "later", "text").mapInArrow(check, "a long, b long")
 
 
 class _Block:
@@ -329,7 +339,7 @@ def _grouped(texts: DataFrame) -> DataFrame:
     grouped = written(grouped.select("row", "n", F.coalesce("grp", "row").alias("grp"), F.coalesce("comp", "row").alias("comp")))
     discard(led)
     groups = group_table(grouped)
-    opened = opened_groups(cut.select("row", "tokens"), grouped, groups)
+    opened = opened_groups(cut.select("row", "tokens", "hot"), grouped, groups)
     second = written(links_in_groups(opened, grouped, groups, texts))
     discard(cut, opened, groups, nodes)
     final = connected_components(first.union(second))
