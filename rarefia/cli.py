@@ -31,7 +31,17 @@ def _full(values: DataFrame, stats: DataFrame, group: str, loci: list[str]) -> d
 
 def run(spark: SparkSession, params: Params) -> list[str]:
     """Run one analysis and return the files written."""
-    written, began = [], time.process_time()
+    written, phases, began = [], [], time.monotonic()
+
+    def phase(name: str) -> None:
+        """A part of the run has ended; its seconds by the clock go to the summary."""
+        nonlocal began
+        phases.append(f"{name} {time.monotonic() - began:.1f} s\n")
+        began = time.monotonic()
+
+    def summary() -> None:
+        with open(sinks.suffixed(params.R_OUT, "summary"), "a") as f:
+            f.write("\n# time\n" + "".join(phases))
 
     def write(path: str, text: str) -> None:
         Path(path).write_text(text)
@@ -39,30 +49,37 @@ def run(spark: SparkSession, params: Params) -> list[str]:
 
     calls, loci, order = read_structure_text(spark, params.DATA_FILE, params)
     ks = parse_k_range(params.K_RANGE, len(order)) if params.COMB else []
-    d = Diversity(calls, params.MAX_G, params.TOLERANCE, order=order)
+    phase("reading")
+    # compat: rows of combinations for a sample of 2 that no population allows, as the file format has them
+    d = Diversity(calls, params.MAX_G, params.TOLERANCE, order=order, compat=True)
     write(sinks.suffixed(params.R_OUT, "summary"), echo(params))
     if params.TOLERANCE < 1:
         gone = [r["locus"] for r in d.deleted_loci().collect()]
         write(sinks.suffixed(params.P_OUT, "deletedloci"), sinks.deleted_report(gone, loci, params.TOLERANCE))
+        phase("filtering")
         if params.TNC:
+            summary()
+            d.discard()
             return written
         loci = [x for x in loci if x not in gone]
     single = [[p] for p in order]
-    for path, values, stats, full in (
-        (params.R_OUT, d.richness_by_locus, d.richness, params.FULL_R),
-        (params.P_OUT, d.private_by_locus, d.private, params.FULL_P),
+    for name, path, values, stats, full in (
+        ("richness", params.R_OUT, d.richness_by_locus, d.richness, params.FULL_R),
+        ("private richness", params.P_OUT, d.private_by_locus, d.private, params.FULL_P),
     ):
         write(path, sinks.stat_rows(single, _by_group(stats(), "pop")))
         if full:
             write(sinks.suffixed(path, "fulldata"), sinks.full_rows(single, loci, _full(values(), stats(), "pop", loci)))
+        phase(name)
     for k in ks:
         groups = [list(c) for c in combinations(order, k)]
         write(sinks.suffixed(params.C_OUT, k), sinks.stat_rows(groups, _by_group(d.combinations(k), "combo")))
         if params.FULL_C:
             rows = _full(d.combinations_by_locus(k), d.combinations(k), "combo", loci)
             write(sinks.suffixed(params.C_OUT, k, "fulldata"), sinks.full_rows(groups, loci, rows, k))
-    with open(sinks.suffixed(params.R_OUT, "summary"), "a") as f:
-        f.write(f"CPU seconds {time.process_time() - began:.0f}\n")
+        phase(f"combinations of {k}")
+    summary()
+    d.discard()
     return written
 
 

@@ -6,24 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Sample sizes that are put together at a time.
+CHUNK = 32
+
+
 def absent_by_size(n: Column, size: Column, max_g: int) -> Column:
     """Array whose element g is the chance that a sample of g of ``size`` calls misses an allele with ``n`` of them.
 
     One pass by the recurrence q(g + 1) = q(g) * (size - n - g) / (size - g); elements beyond ``size`` are 0 and must
-    not be read. It stays exactly 0 once it is 0.
+    not be read. It stays exactly 0 once it is 0. Elements are appended to a chunk, and chunks to a list, so that what is
+    copied for a row grows with the sizes times their square root at most.
     """
-    steps = F.sequence(F.lit(0), F.lit(max_g - 1))
+    length = max(CHUNK, int(max_g**0.5))
 
     def further(q: Column, u: Column) -> Column:
         ratio = F.when(size > u, F.greatest(size - n - u, F.lit(0)).cast("double") / F.greatest(size - u, F.lit(1))).otherwise(0.0)
         return F.array_append(q, F.element_at(q, -1) * ratio)
 
-    return F.aggregate(steps, F.array(F.lit(1.0)), further)
-
+    def chunk(done: Column, c: Column) -> Column:
+        steps = F.sequence(c * length, F.least((c + 1) * length, F.lit(max_g)) - 1)
+        last = F.element_at(F.element_at(done, -1), -1)
+        return F.array_append(done, F.slice(F.aggregate(steps, F.array(last), further), 2, length))
 
-def product(values: Column) -> Column:
-    """Product of an array; 1 for an empty one."""
-    return F.aggregate(values, F.lit(1.0), lambda a, x: a * x)
+    if max_g <= length:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(max_g - 1)), F.array(F.lit(1.0)), further)
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.lit((max_g - 1) // length)), F.array(F.array(F.lit(1.0))), chunk))
 
 
 def mean_with_zeros(total: Column, loci: int) -> Column:

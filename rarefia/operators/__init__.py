@@ -7,12 +7,10 @@ in a product, so only the populations that have an allele are carried, and zeros
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import absent_by_size, mean_with_zeros, product, variance_with_zeros
+from ..functions import absent_by_size, mean_with_zeros, variance_with_zeros
 
 
 # --- quality ---
@@ -41,6 +39,17 @@ def allele_counts(calls: DataFrame) -> DataFrame:
     return calls.where("allele is not null").groupBy("locus", "allele", "pop").agg(F.count("*").alias("n"))
 
 
+def call_counts(calls: DataFrame) -> DataFrame:
+    """(locus, pop, allele, n), missing calls as a null allele: all that later work needs to know of the calls."""
+    return calls.groupBy("locus", "pop", "allele").agg(F.count("*").alias("n"))
+
+
+def sizes_of_counts(counts: DataFrame) -> DataFrame:
+    """(locus, pop, nj, calls) of call counts: calls that aren't missing, and all."""
+    present = F.coalesce(F.sum(F.when(F.col("allele").isNotNull(), F.col("n"))), F.lit(0))
+    return counts.groupBy("locus", "pop").agg(present.cast("long").alias("nj"), F.sum("n").alias("calls"))
+
+
 def sample_sizes(calls: DataFrame) -> DataFrame:
     """(locus, pop, nj): calls that aren't missing; 0 where all are."""
     return calls.groupBy("locus", "pop").agg(F.count("allele").alias("nj"))
@@ -92,22 +101,37 @@ def richness_by_locus(q: DataFrame, least: DataFrame, max_g: int) -> DataFrame:
     return sized.groupBy("pop", "g", "locus").agg(F.sum(1 - F.get("q", F.col("g"))).alias("value"))
 
 
+def names(pops: list[str]) -> Column:
+    return F.array(*[F.lit(p) for p in pops]).cast("array<string>")
+
+
+def choose(df: DataFrame, k: int) -> DataFrame:
+    """A row for every choice of ``k`` elements of the array ``held``, with their places ``at`` in ascending order."""
+    df = df.where(F.size("held") >= k).withColumn("at", F.array().cast("array<int>"))
+    for i in range(k):
+        after = F.coalesce(F.element_at("at", -1) + 1, F.lit(0)) if i else F.lit(0)
+        last = F.size("held") - (k - i)
+        df = df.where(after <= last).withColumn("_n", F.explode(F.sequence(after, last))).withColumn("at", F.array_append("at", F.col("_n"))).drop("_n")
+    return df
+
+
+def chosen() -> Column:
+    """The elements at the chosen places."""
+    return F.transform("at", lambda i: F.get("held", i))
+
+
 def private_terms(q: DataFrame, k: int, most: int) -> DataFrame:
     """(combo, g, locus, value): the positive parts of private richness of combinations of ``k`` populations.
 
     Per allele the populations that have it are gathered (as many as there are populations); its combinations are those
-    of these populations alone, all others would add 0.
+    of these populations alone, all others would add 0. The products are arrays over all sample sizes.
     """
-    held = q.groupBy("locus", "allele").agg(F.sort_array(F.collect_list(F.struct("pop", "q"))).alias("held")).where(F.size("held") >= k)
-    chosen = held.withColumn("at", F.array().cast("array<int>"))
-    for i in range(k):
-        after = F.coalesce(F.element_at("at", -1) + 1, F.lit(0)) if i else F.lit(0)
-        last = F.size("held") - (k - i)
-        chosen = chosen.where(after <= last).withColumn("_n", F.explode(F.sequence(after, last))).withColumn("at", F.array_append("at", F.col("_n"))).drop("_n")
-    sized = by_g(chosen, most)
-    factor = F.transform("held", lambda x, i: F.when(F.array_contains("at", i), 1 - F.get(x["q"], F.col("g"))).otherwise(F.get(x["q"], F.col("g"))))
-    combo = F.transform("at", lambda i: F.get("held", i)["pop"])
-    return sized.select(combo.alias("combo"), "g", "locus", product(factor).alias("x")).groupBy("combo", "g", "locus").agg(F.sum("x").alias("value"))
+    sizes = F.slice("q", 3, max(most - 1, 0)).alias("q")  # from 2
+    held = q.groupBy("locus", "allele").agg(F.sort_array(F.collect_list(F.struct("pop", sizes))).alias("held"))
+    factors = F.transform("held", lambda x, i: F.when(F.array_contains("at", i), F.transform(x["q"], lambda v: 1 - v)).otherwise(x["q"]))
+    products = F.aggregate(factors, F.array_repeat(F.lit(1.0), max(most - 1, 0)), lambda a, f: F.zip_with(a, f, lambda x, y: x * y))
+    terms = choose(held, k).select(F.transform(chosen(), lambda x: x["pop"]).alias("combo"), "locus", F.posexplode(products).alias("g", "x"))
+    return terms.groupBy("combo", (F.col("g") + 2).alias("g"), "locus").agg(F.sum("x").alias("value"))
 
 
 # --- statistics over loci ---
@@ -129,14 +153,9 @@ def summary_with_zeros(terms: DataFrame, grid: DataFrame, loci: int) -> DataFram
     return out.withColumn("std_err", F.sqrt(F.col("var") / F.lit(float(loci))))
 
 
-def combination_grid(spark, pops: list[str], k: int, most: int, limit: int = 1_000_000) -> DataFrame:
-    """(combo, g) of every combination of ``k`` populations in lexicographic order; these are the rows of the result."""
-    from math import comb
-
-    if comb(len(pops), k) > limit:
-        raise ValueError(f"{comb(len(pops), k)} combinations; the limit is {limit}")
-    combos = spark.createDataFrame([(list(c),) for c in combinations(pops, k)], "combo array<string>")
-    return by_g(combos, most)
+def combination_grid(spark, pops: list[str], k: int, most: int) -> DataFrame:
+    """(combo, g) of every combination of ``k`` populations; these are the rows of the result. Spark makes them from the names."""
+    return by_g(choose(spark.range(1).select(names(pops).alias("held")), k).select(chosen().alias("combo")), most)
 
 
 def full_wide(values: DataFrame, by: list[str], loci: list[str], stats: DataFrame) -> DataFrame:

@@ -8,19 +8,19 @@ from dataclasses import dataclass, fields
 # Labels of the parameter file, their flags and their types.
 FLAGS = {
     "MAX_G": "-g",
-    "DATA_LINES": "-d",
     "LOCI": "-l",
     "NON_DATA_ROWS": "-nr",
     "NON_DATA_COLS": "-nc",
+    "DATA_LINES": "-d",
     "GROUP_BY_COL": "-s",
+    "TOLERANCE": "-t",
+    "K_RANGE": "-k",
     "DATA_FILE": "-f",
     "R_OUT": "-r",
     "P_OUT": "-p",
     "C_OUT": "-o",
     "MISSING": "-m",
-    "TOLERANCE": "-t",
     "COMB": "-c",
-    "K_RANGE": "-k",
     "FULL_R": "-fr",
     "FULL_P": "-fp",
     "FULL_C": "-fc",
@@ -28,6 +28,38 @@ FLAGS = {
     "TNC": "-tnocalc",
     "SKIP_CHK": "-skipchk",
 }
+# Fixed value: what stands for a text that isn't set.
+NONE = "none"
+
+#: Sections of a parameter file and of a run's summary, and what each label means.
+SECTIONS = {
+    "main": {
+        "MAX_G": "largest sample size to rarefy to",
+        "DATA_LINES": "data lines in the file",
+        "LOCI": "loci in the file",
+        "NON_DATA_ROWS": "lines before the data, the line of locus names among them",
+        "NON_DATA_COLS": "columns before the first locus",
+        "GROUP_BY_COL": "which of these columns holds the population, from 1",
+        "DATA_FILE": "the file of genotypes",
+        "R_OUT": "where allelic richness goes",
+        "P_OUT": "where private allelic richness goes",
+    },
+    "combinations": {
+        "COMB": "1: private richness of combinations of populations, too",
+        "K_RANGE": "how many populations are combined, as 2 or 2,4-6",
+        "C_OUT": "where the combinations' private richness goes",
+    },
+    "advanced": {
+        "MISSING": "how a missing call is written",
+        "TOLERANCE": "loci go that miss a larger share of calls in any population",
+        "FULL_R": "1: richness of each locus, too",
+        "FULL_P": "1: private richness of each locus, too",
+        "FULL_C": "1: each locus for combinations, too",
+        "PRINT_PROGRESS": "has no effect: Spark's own pages show how far a run is",
+    },
+}
+#: These aren't echoed in the summary.
+CHECKS = {"checks": {"TNC": "1: stop after the report of deleted loci", "SKIP_CHK": "1: more columns and lines than stated are no error"}}
 
 
 class ParameterError(ValueError):
@@ -105,7 +137,7 @@ def _typed(label: str, text: str):
         if text and not re.fullmatch(r"\d+\.?\d*|\.\d+", text):
             raise ParameterError(f"{label} must be a number: {text!r}")
         return float(text) if text else default
-    return text or default
+    return default if text in ("", NONE) and label != "MISSING" else text or default
 
 
 def read_file(text: str) -> dict:
@@ -145,16 +177,24 @@ def load(file_text: str, args: list[str] = ()) -> Params:
     return Params(**{**read_file(file_text), **read_flags(list(args))}).validate()
 
 
+def _shown(value) -> str:
+    if isinstance(value, bool):
+        return str(int(value))
+    return NONE if value == "" else f"{value:g}" if isinstance(value, float) else str(value)
+
+
 def template() -> str:
-    """A parameter file to fill in."""
-    lines = []
-    for f in fields(Params):
-        value = "" if f.default in (-9, "") else int(f.default) if isinstance(f.default, bool) else f.default
-        lines.append(f"{f.name} {value}".rstrip())
-    return "\n".join(lines) + "\n"
+    """A parameter file to fill in. Numbers without a default are left empty."""
+    default = {f.name: f.default for f in fields(Params)}
+    out = ["# Parameters of one run. What follows a # is not read.\n"]
+    for section, labels in (SECTIONS | CHECKS).items():
+        out.append(f"\n# {section}\n")
+        out += [f"{n + ' ' + ('' if default[n] == -9 else _shown(default[n])):<20} # {what}\n" for n, what in labels.items()]
+    out.append("\n# Flags win over this file:\n")
+    out += [f"# {flag} {label}\n" for label, flag in FLAGS.items()]
+    return "".join(out)
 
 
 def echo(params: Params) -> str:
     """The parameters of a run, for its summary."""
-    names = [f.name for f in fields(Params) if f.name not in ("TNC", "SKIP_CHK")]
-    return "".join(f"{n} {int(v) if isinstance(v := getattr(params, n), bool) else v}\n" for n in names)
+    return "\n".join(f"# {section}\n" + "".join(f"{n} {_shown(getattr(params, n))}\n" for n in labels) for section, labels in SECTIONS.items())

@@ -8,29 +8,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import operators as ops
+from ..scratch import discard, written
 
 
 class Diversity:
     """Rarefied richness, private richness and private richness of combinations.
 
-    ``order`` gives the populations' order (lexicographic if left out). Loci above ``tolerance`` are dropped first. Only
-    the populations, the number of loci and the smallest samples (a row per population) reach the driver before a
-    result is computed.
+    ``order`` gives the populations' order (lexicographic if left out). Loci above ``tolerance`` are dropped first. The calls are
+    read once: their counts by locus, population and allele (missing calls, too) are written to the shared folder, and
+    every result comes from that table; ``discard`` removes it. Only the populations, the number of loci and the smallest samples
+    (a row per population) reach the driver before a result is computed. A call without a population belongs to none and is left out.
     """
 
     def __init__(self, calls: DataFrame, max_g: int, tolerance: float = 1.0, order: list[str] | None = None, compat: bool = False):
-        self.all_calls, self.max_g, self.tolerance, self.compat, self._order = calls, max_g, tolerance, compat, order
+        self.all_calls = calls.where("pop is not null")
+        self.max_g, self.tolerance, self.compat, self._order = max_g, tolerance, compat, order
+
+    @cached_property
+    def _counted(self) -> DataFrame:
+        return written(ops.call_counts(self.all_calls))
+
+    @cached_property
+    def _sized(self) -> DataFrame:
+        return written(ops.sizes_of_counts(self._counted))
+
+    def discard(self) -> None:
+        """Remove the tables that the results read."""
+        discard(self._counted, self._sized)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return df if self.tolerance >= 1 else ops.drop_loci(df, self.deleted_loci())
 
     @cached_property
     def calls(self) -> DataFrame:
-        return self.all_calls if self.tolerance >= 1 else ops.drop_loci(self.all_calls, self.deleted_loci())
+        return self._kept(self.all_calls)
 
     def deleted_loci(self) -> DataFrame:
-        return ops.bad_loci(self.all_calls, self.tolerance)
+        return self._sized.where(1 - F.col("nj") / F.col("calls") > self.tolerance).select("locus").distinct()
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return ops.sample_sizes(self.calls)
+        return self._kept(self._sized.select("locus", "pop", "nj"))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return self._kept(self._counted.where("allele is not null").select("locus", "allele", "pop", "n"))
 
     @cached_property
     def loci(self) -> int:
@@ -51,7 +73,7 @@ class Diversity:
 
     @cached_property
     def q(self) -> DataFrame:
-        return ops.q_table(ops.allele_counts(self.calls), self.sizes, self.max_g)
+        return ops.q_table(self.counts, self.sizes, self.max_g)
 
     def richness_by_locus(self) -> DataFrame:
         return ops.richness_by_locus(self.q, ops.least_sizes(self.sizes, self.loci), self.max_g)
@@ -62,12 +84,8 @@ class Diversity:
 
     def combinations_by_locus(self, k: int) -> DataFrame:
         """combo, g, locus, value for every combination, g and locus."""
-        grid = self._grid(k)
-        dense = self.sizes.select("locus").distinct()
-        cells = [r["combo"] for r in grid.select("combo").distinct().collect()]
-        if not cells or self.most_g < 2:
-            return ops.private_terms(self.q, k, 1)
-        each = ops.by_g(dense.withColumn("combo", F.explode(F.array(*[F.array(*[F.lit(p) for p in c]) for c in cells]))), self.most_g)
+        loci = self.sizes.select("locus").distinct().withColumn("held", ops.names(self.pops))
+        each = ops.by_g(ops.choose(loci, k).select("locus", ops.chosen().alias("combo")), self.most_g)
         terms = ops.private_terms(self.q, k, self.most_g)
         terms = terms.withColumn("combo", self._ordered(F.col("combo")))
         return each.join(terms, ["combo", "g", "locus"], "left").select("combo", "g", "locus", F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -78,7 +96,7 @@ class Diversity:
         out = ops.summary_with_zeros(terms.withColumn("combo", self._ordered(F.col("combo"))), self._grid(k), self.loci)
         if self.compat and self.most_g < 2 and self.loci:
             nan = F.lit(float("nan"))
-            grid = ops.combination_grid(self.calls.sparkSession, self.pops, k, 2)
+            grid = ops.combination_grid(self.all_calls.sparkSession, self.pops, k, 2)
             out = out.union(grid.select("combo", "g", F.lit(self.loci).cast("long"), nan, nan, nan))
         return out
 
@@ -90,11 +108,10 @@ class Diversity:
         return out.select(F.col("combo")[0].alias("pop"), *out.columns[1:])
 
     def _grid(self, k: int) -> DataFrame:
-        return ops.combination_grid(self.calls.sparkSession, self.pops, k, self.most_g)
+        return ops.combination_grid(self.all_calls.sparkSession, self.pops, k, self.most_g)
 
     def _ordered(self, combo):
         """A combination in the populations' order."""
         if self._order is None:
             return combo
-        names = F.array(*[F.lit(p) for p in self.pops])
-        return F.filter(names, lambda p: F.array_contains(combo, p))
+        return F.filter(ops.names(self.pops), lambda p: F.array_contains(combo, p))

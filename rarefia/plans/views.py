@@ -54,16 +54,19 @@ EVENT_SQL = """
 
 
 def supp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Populations are nations with a few suppliers each; one locus is the first digit of the balance, one the key's
-    remainder by 7."""
+    """Populations are nations with a few suppliers each, two at least; one locus is the first digit of the balance, one the
+    key's remainder by 7."""
     s, n = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "nation")
-    df = s.join(n, s.s_nationkey == n.n_nationkey).select("n_name", (F.col("s_suppkey") % 7).alias("s_mod"), F.floor(F.col("s_acctbal") / 1000).cast("long").alias("s_thousands"))
+    few = s.groupBy("s_nationkey").agg(F.count("*").alias("c")).where("c >= 2")
+    df = s.join(few, "s_nationkey").join(n, s.s_nationkey == n.n_nationkey).select("n_name", (F.col("s_suppkey") % 7).alias("s_mod"), F.floor(F.col("s_acctbal") / 1000).cast("long").alias("s_thousands"))
     return from_wide(df, "n_name", ["s_mod", "s_thousands"])
 
 
 SUPP_SQL = """
  select n_name as pop, 's_mod' as locus, (s_suppkey % 7)::varchar as allele from supplier join nation on s_nationkey = n_nationkey
- union all select n_name, 's_thousands', floor(s_acctbal / 1000)::bigint::varchar from supplier join nation on s_nationkey = n_nationkey"""
+ where s_nationkey in (select s_nationkey from supplier group by 1 having count(*) >= 2)
+ union all select n_name, 's_thousands', floor(s_acctbal / 1000)::bigint::varchar from supplier join nation on s_nationkey = n_nationkey
+ where s_nationkey in (select s_nationkey from supplier group by 1 having count(*) >= 2)"""
 
 
 def miss(spark: SparkSession, sf_dir: str) -> DataFrame:

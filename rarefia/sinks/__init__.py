@@ -38,9 +38,11 @@ def full_rows(groups: Iterable[list[str]], loci: list[str], rows: dict, k: int |
 
 def deleted_report(loci: list[str], order: list[str], tolerance: float) -> str:
     """How many loci were deleted and which, last in the file first."""
-    more = f" with more than {number(100 * tolerance)}% missing data" if tolerance > 0 else " with missing data"
-    names = sorted(loci, key=order.index, reverse=True)
-    return f"{len(names)} loci{more} deleted.\n" + "".join(f"{n}\n" for n in names)
+    place = {x: i for i, x in enumerate(order)}
+    names = sorted(loci, key=place.__getitem__, reverse=True)
+    more = f" more than {number(100 * tolerance)}%" if tolerance > 0 else ""
+    # fixed values: the sentence
+    return f"{len(names)} {'locus has' if len(names) == 1 else 'loci have'} at least one grouping with{more} missing data.\n" + "".join(f"{n}\n" for n in names)
 
 
 def suffixed(path: str, *parts: str | int) -> str:

@@ -16,9 +16,10 @@ class DataFileError(ValueError):
 
 
 def from_wide(df: DataFrame, pop: str, loci: list[str], missing: str | None = None) -> DataFrame:
-    """Calls of a table with a population column and one column per locus. Unpivoting is narrow: no shuffle."""
-    typed = df.select(F.col(pop).cast("string").alias("pop"), *[F.col(f"`{c}`").cast("string").alias(c) for c in loci])
-    calls = typed.unpivot(["pop"], loci, "locus", "allele")
+    """Calls of a table with a population column and one column per locus, whatever their names. Unpivoting is narrow: no shuffle."""
+    value = lambda c: F.col("`" + c.replace("`", "``") + "`").cast("string")
+    cells = F.array(*[F.struct(F.lit(c).alias("locus"), value(c).alias("allele")) for c in loci])
+    calls = df.select(value(pop).alias("pop"), F.inline(cells))
     return calls if missing is None else calls.withColumn("allele", F.nullif(F.col("allele"), F.lit(missing)))
 
 

@@ -165,7 +165,41 @@ def test_properties(spark, rows):
     check({c: v for c, v in combo.items() if len(c[0]) == 2}, d.combinations(2).collect() if len(d.pops) > 1 else [], lambda r: tuple(r["combo"]))
 
 
-def test_plan_has_few_exchanges(spark):
-    """One exchange each for counts, sizes, the values of a locus and the statistics, no Python."""
-    plan = tiny(spark).richness()._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") <= 6 and "Python" not in plan and "Cartesian" not in plan
+def test_one_scan(spark, tmp_path):
+    """The calls' files are read for the written counts alone; the results' plans hold no Python and few exchanges."""
+    path = str(tmp_path / "calls.parquet")
+    spark.createDataFrame(ROWS, ["pop", "L1", "L2"]).write.parquet(path)
+    for tolerance in (1.0, 0.2):
+        d = Diversity(from_wide(spark.read.parquet(path), "pop", ["L1", "L2"], "-9"), 4, tolerance)
+        for out in (d.richness(), d.private(), d.combinations(2), d.combinations_by_locus(2), d.deleted_loci()):
+            assert not any("calls.parquet" in f for f in out.inputFiles())
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= (6 if tolerance == 1 else 10) and "Python" not in plan and "Cartesian" not in plan
+        assert d._counted.count() and not d._counted.where("n < 1").count()
+        d.discard()
+
+
+def test_names_of_columns(spark):
+    df = spark.createDataFrame([("A", "1", "x", "u"), ("A", "2", "x", "u"), (None, "3", "x", "v"), ("B", "1", "y", None)], ["po.p", "a.b", "pop", "lo`cus"])
+    calls = from_wide(df, "po.p", ["a.b", "pop", "lo`cus"])
+    assert {tuple(r) for r in calls.collect()} == {("A", "a.b", "1"), ("A", "a.b", "2"), ("A", "pop", "x"), ("A", "lo`cus", "u"), (None, "a.b", "3"), (None, "pop", "x"), (None, "lo`cus", "v"), ("B", "a.b", "1"), ("B", "pop", "y"), ("B", "lo`cus", None)}
+
+
+def test_calls_without_population(spark):
+    rows = [*ROWS, (None, "9", "x"), (None, "1", "q")]
+    df = spark.createDataFrame(rows, ["pop", "L1", "L2"])
+    with_null, without = Diversity(from_wide(df, "pop", ["L1", "L2"], "-9"), 4), tiny(spark)
+    for f in (Diversity.richness, Diversity.private, lambda d: d.combinations(2)):
+        assert {tuple(map(str, r)) for r in f(with_null).collect()} == {tuple(map(str, r)) for r in f(without).collect()}
+
+
+def test_large_samples(spark):
+    from pyspark.sql import functions as F
+
+    from rarefia.functions import absent_by_size
+
+    got = spark.range(1).select(absent_by_size(F.lit(3), F.lit(200), 150)).head()[0]
+    want = [Q(1)]
+    for u in range(150):
+        want.append(want[-1] * Q(200 - 3 - u, 200 - u))
+    assert got == pytest.approx([float(x) for x in want], abs=1e-12)

@@ -46,7 +46,16 @@ def test_files_and_flags():
 
 def test_numbers_and_report():
     assert [number(x) for x in (1.75, 0.0138888889, None, 1e-7, 1234567.0)] == ["1.75", "0.0138889", "nan", "1e-07", "1.23457e+06"]
-    assert deleted_report(["a", "c"], ["a", "b", "c"], 0.2).splitlines()[1:] == ["c", "a"]
+    assert deleted_report(["a", "c"], ["a", "b", "c"], 0.2).splitlines() == ["2 loci have at least one grouping with more than 20% missing data.", "c", "a"]
+    assert deleted_report(["b"], ["a", "b", "c"], 0).splitlines()[0] == "1 locus has at least one grouping with missing data."
+
+
+def test_none_is_unset():
+    assert P.load(FILE + "P_OUT none\n" if "P_OUT" not in FILE else FILE.replace("K_RANGE 2-3", "K_RANGE none").replace("COMB 1", "COMB 0")).K_RANGE == ""
+    for label in ("DATA_FILE {0}/data.txt", "R_OUT {0}/r", "C_OUT {0}/c"):
+        with pytest.raises(P.ParameterError, match="is needed"):
+            P.load(FILE.replace(label, label.split()[0] + " none"))
+    assert P.load(FILE, ["-m", "none"]).MISSING == "none"
 
 
 def test_run(spark, tmp_path, monkeypatch):
@@ -57,6 +66,8 @@ def test_run(spark, tmp_path, monkeypatch):
     assert (tmp_path / "c_2").read_text().startswith("A B 2 2 0.520833 0.0703125 0.1875\n")
     assert (tmp_path / "c_2_fulldata").read_text().splitlines()[:2] == ["POP_GROUPING1 POP_GROUPING2 G NUM_LOCI L1 L2 MEAN VAR STD_ERR", "A B 2 2 0.708333 0.333333 0.520833 0.0703125 0.1875"]
     only = run(spark, P.load(FILE.format(tmp_path), ["-t", "0.2", "-tnocalc", "1"]))
+    summary = (tmp_path / "r_summary").read_text()
+    assert "# main\nMAX_G 3\n" in summary and "richness" not in summary and "reading" in summary
     assert len(only) == 2 and (tmp_path / "p_deletedloci").read_text().splitlines()[1:] == ["L2"]
     monkeypatch.chdir(tmp_path)
     assert main([]) == 1 and (tmp_path / "paramfile.txt").exists() and main(["-g"]) == 1 and main(["none"]) == 1
