@@ -7,6 +7,7 @@ number of sampled keys, the number of ranges), never by the rows.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from ..scratch import discard, discard_path, folders, recorded, scratch_dir, written
 
 __all__ = [
-    "OWN", "ROW", "SPACE", "WORD", "columns_or_null", "discard", "discard_path", "draw", "folders", "range_of", "recorded", "running_total", "scratch_dir", "ship", "splitters", "table", "with_row_id", "written",
+    "OWN", "ROW", "SPACE", "WORD", "columns_or_null", "discard", "discard_path", "draw", "folders", "plain_reading", "range_of", "recorded", "running_total", "scratch_dir", "ship", "splitters", "table", "with_row_id", "written",
 ]
 
 #: White space between words: space and U+0009 to U+000D, nothing else.
@@ -46,11 +47,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row_id(df: DataFrame, name: str, stored: bool = False) -> DataFrame:
-    """Add an id to each row, as doc_id may be null or repeat. The table is written, so that the ids stay as they are; one that is
-    ``stored``, read from files without a shuffle, has the same ids on each reading and isn't written again."""
+def plain_reading(df: DataFrame) -> bool:
+    """Whether the table is files as they are, with columns chosen or added at most; each reading then gives the same rows at the
+    same places."""
+    nodes = [re.sub(r"^[\s:+\-*]*", "", line) for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return bool(df.inputFiles()) and len(nodes) <= 2 and all(re.match(r"Relation ?\[|Project \[", n) for n in nodes)
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """Add an id to each row, as doc_id may be null or repeat. The table is written, so that the ids stay as they are; a plain
+    reading of files has the same ids each time and isn't written again."""
     named = df.withColumn(name, F.monotonically_increasing_id())
-    return named if stored else written(named)
+    return named if plain_reading(df) else written(named)
 
 
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:

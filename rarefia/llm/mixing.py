@@ -1,12 +1,14 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Sizes are summed per source, each source gets a target from its weight, and target / size is the rate at which
-its documents repeat: every document is emitted floor(rate) times, and once more if a draw seeded by its id falls
-below the fraction.
+its documents repeat: every document is emitted floor(rate) times, and once more if a draw seeded by its id, its text
+and an ordinal falls below the fraction.
 
 Defined results: a null or empty text has size 0 and is emitted like any other row (it adds no words); a null
-source is a source of its own; rows that repeat (same doc_id) share their draw; an empty table gives an empty
-table; a source without any words gets target 0 and rate 0.
+source is a source of its own; rows with one doc_id (or none) and different texts have draws of their own, and so have rows that
+repeat as a whole: the plan numbers them from 0 (it doesn't matter which is which), the mix tells them apart by their place
+in the table, which reading the same files again keeps; extra columns are kept by the mix; an empty table gives an
+empty table; a source without any words gets target 0 and rate 0.
 """
 
 from __future__ import annotations
@@ -25,9 +27,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit_draw(key: Column, seed: str) -> Column:
+def text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def unit_draw(doc_id: Column, hashed: Column, ordinal: Column, seed: str) -> Column:
     """A number in [0, 1) from the first 48 bits of an MD5; the same in any engine."""
-    text = F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))
+    text = F.concat_ws("/", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), hashed, ordinal.cast("string"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
@@ -66,7 +72,7 @@ def copies(rate: Column, draw: Column) -> Column:
 
 
 def with_copies(sized: DataFrame, goals: DataFrame, seed: str, most: float = MOST) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``copies`` to rows of (doc_id, source, size, ...).
+    """Add ``source_size``, ``target`` and ``copies`` to rows of (doc_id, source, size, hash, ordinal).
 
     The join is on the source; a source with a third of all rows is split by AQE's skew handling, as the rows
     are the streamed side. Nothing is broadcast unless its measured size is below Spark's own threshold.
@@ -74,24 +80,34 @@ def with_copies(sized: DataFrame, goals: DataFrame, seed: str, most: float = MOS
     goals = goals.select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
     joined = sized.join(goals, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return joined.withColumn("copies", copies(rate, unit_draw(F.col("doc_id"), seed)))
+    return joined.withColumn("copies", copies(rate, unit_draw(F.col("doc_id"), F.col("hash"), F.col("ordinal"), seed)))
 
 
 def mix_plan(docs: DataFrame, seed: str = "mix", most: float = MOST) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies."""
-    sized = written(columns_or_null(docs, doc_id="long", source="string", text="string").select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    rows = columns_or_null(docs, doc_id="long", source="string", text="string").select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash(F.col("text")).alias("hash"))
+    # rows that are equal in all of these are counted and dealt out again with ordinals
+    same = rows.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n"))
+    sized = written(same.select("doc_id", "source", "size", "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("ordinal")))
     sources = written(ranked_weights(written(source_sizes(sized))))
     return with_copies(sized, written(targets(sources, most)), seed, most)
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix", most: float = MOST) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of ``docs``."""
-    source, rate, often, copy = (f"{OWN}{x}" for x in ("source", "rate", "copies", "copy"))
+    source, rate, often, copy, again, hashed, place = (f"{OWN}{x}" for x in ("source", "rate", "copies", "copy", "again", "hash", "place"))
     summed = written(source_sizes(docs.select("source", word_count(F.col("text")).alias("size"))))
     goals = written(targets(written(ranked_weights(summed)), most))
     goals = goals.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0).alias(rate))
     joined = docs.join(goals, docs["source"].eqNullSafe(goals[source]), "left")
-    taken = joined.withColumn(often, copies(F.col(rate), unit_draw(F.col("doc_id"), seed))).where(F.col(often) > 0)
+    # ids that repeat with one text; few, so Spark sends them to all tasks if their measured size allows
+    key = [F.col("doc_id").cast("string").alias(again), text_hash(F.col("text")).alias(hashed)]
+    repeated = written(docs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    joined = joined.withColumns({hashed: text_hash(F.col("text")), place: F.monotonically_increasing_id()})
+    repeated = repeated.select(F.col(again), F.col(hashed).alias(f"{hashed}2"))
+    joined = joined.join(repeated, F.col("doc_id").cast("string").eqNullSafe(F.col(again)) & (F.col(hashed) == F.col(f"{hashed}2")), "left")
+    ordinal = F.when(F.col(f"{hashed}2").isNotNull(), F.col(place)).otherwise(F.lit(0).cast("long"))
+    taken = joined.withColumn(often, copies(F.col(rate), unit_draw(F.col("doc_id"), F.col(hashed), ordinal, seed))).where(F.col(often) > 0)
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
@@ -104,7 +120,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
+with e as (select doc_id, source, md5(coalesce(text, '')) as hash, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
+ d as (select *, row_number() over (partition by doc_id, source, hash) - 1 as ordinal from e),
  s as (select source, sum(size)::bigint as source_size from d group by source),
  w as (select *, 1.0 + (row_number() over (order by source is null, source) - 1) % 3 as weight from s),
  o as (select *, 3.0 * source_size as cap, sum(3.0 * source_size) over r - 3.0 * source_size as cap_before,
@@ -115,7 +132,7 @@ with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
  t as (select source, source_size, least(cap, weight * level)::double as target from o, l),
  r as (select d.doc_id, d.size::bigint as size, t.source_size, t.target,
         case when t.source_size > 0 then least(t.target / t.source_size, 3.0) else 0.0 end as rate,
-        ('0x' || substr(md5('mix' || coalesce(d.doc_id::varchar, 'null')), 1, 12))::bigint / 281474976710656.0::double as u
+        ('0x' || substr(md5('mix/' || coalesce(d.doc_id::varchar, 'null') || '/' || d.hash || '/' || d.ordinal), 1, 12))::bigint / 281474976710656.0::double as u
        from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, (size * copies)::bigint as taken, copies
 from (select *, (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end)::int as copies from r)

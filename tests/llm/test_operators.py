@@ -59,6 +59,18 @@ def test_shared_parts(spark):
         total += r["w"]
 
 
+def test_plain_reading(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rarefia.llm.common import plain_reading
+
+    spark.range(10).selectExpr("id", "id % 3 as k").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert plain_reading(df) and plain_reading(df.select("k")) and plain_reading(df.withColumn("x", F.col("k") + 1))
+    for other in (df.repartition(2), df.where("k > 1"), df.orderBy("k"), df.union(df), df.distinct(), df.limit(3), df.join(df.select("k"), "k"), spark.range(3).toDF("k"), df.sample(0.5)):
+        assert not plain_reading(other)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)]
@@ -85,7 +97,34 @@ def test_mixing(spark, odd_docs):
     want = Counter()
     for r in plan:
         want[r["doc_id"]] += r["copies"]
-    assert Counter(r["doc_id"] for r in emitted.collect()) == +want
+    repeated = {k for k, n in Counter((r["doc_id"], r["text"]) for r in odd_docs.collect()).items() if n > 1}
+    got = Counter(r["doc_id"] for r in emitted.collect())
+    assert repeated and all(got[x] == want[x] for x in want if x not in {k for k, _ in repeated})
+
+
+def test_mixing_without_ids(spark):
+    """Rows without an id, with one id, and rows that repeat as a whole have draws of their own."""
+    rows = [(None, "a", f"w{i} " * 10) for i in range(200)] + [(7, "b", f"v{i} " * 10) for i in range(200)] + [(None, "c", "same words here " * 5)] * 200
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, text string, _rarefia_extra string").repartition(3)
+    taken = Counter()
+    for r in mixing.mix_plan(docs).collect():
+        taken[r["source"], r["target"]] += r["size"] * r["copies"]
+    assert len(taken) == 3 and all(abs(n - target) < 0.2 * target for (_, target), n in taken.items())
+    mixed = mixing.mix_sources(docs)
+    words = Counter()
+    for r in mixed.collect():
+        words[r["source"]] += len(r["text"].split())
+    assert mixed.columns == docs.columns and all(abs(words[s] - target) < 0.2 * target for s, target in taken)
+    assert counted(mixing.mix_plan(docs).collect()) == counted(mixing.mix_plan(docs.repartition(5)).collect())
+
+
+def test_sample_of_splitters_is_bounded(spark, monkeypatch):
+    """One text in two thirds of the rows: its weight is one key of the sample."""
+    df = spark.range(60_000).selectExpr("if(id % 3 = 0, id, -1) as h", "1L as w")
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(out := collect(self)) or out)
+    cuts = splitters(df, ["h"], "w", 64)
+    assert len(seen[-1]) < 2 * 64 * 32 and 1 <= len(cuts) <= 63
 
 
 def test_tables_of_ids(spark, odd_docs):

@@ -15,3 +15,22 @@ def test_stages(spark, odd_docs, no_docs, tables):
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert Counter(map(str, corpus_pipeline.run(spark, folder).collect())) == Counter(map(str, docs.collect()))
     assert docs.count() > 5 and corpus_pipeline.run(spark, tables(documents=no_docs)).count() == 0
+
+
+def test_nothing_is_left(spark, odd_docs, tables):
+    """After a run only the files that its result reads are left of what the stages wrote, and no table in the catalog."""
+    import os
+
+    from rarefia.llm.common import folders, recorded
+
+    folder = tables(documents=odd_docs)
+    corpus_pipeline.run(spark, folder).collect()
+    with recorded(spark) as names:
+        out = corpus_pipeline.run(spark, folder)
+    ours = {n.rsplit("/", 1)[1] for n in [*names, *spark.sparkContext._rarefia_stages]}
+    root = spark.sparkContext._rarefia_folder if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    left = {n for n in ours if os.path.exists(f"{root}/{n}")}
+    used = {f.rsplit("/", 1)[1] for f in folders(out)}
+    assert left <= used | {n.rsplit("/", 1)[1] for n in spark.sparkContext._rarefia_stages} and used & left
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rarefia")]
+    assert out.count() > 5
