@@ -353,7 +353,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     d = columns_or_null(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
     out = linked_groups(d)
-    least = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = written(out.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # so that a very large component can be split
     return out.join(least, "root").select("doc_id", "n_shingles", "component_id")
 
 
