@@ -136,18 +136,37 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
     return joined.select("row", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row, doc_id, ids) of rows of (row, doc_id, text); ids are little-endian unsigned 32-bit integers.
-
-    A text of one chunk needs no stitching and is encoded where it is read.
-    """
+def _short_and_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, text) of the texts of one chunk, which need no stitching, and (row, doc_id, ids) of the others."""
     if overlap >= chunk // 2:
         raise ValueError("chunks must be over twice as long as their overlap")
     docs = docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = _mapped(docs.where(F.length("text") <= chunk), "text", "ids binary", lambda texts: list(map(Codec.load(path, pattern).encode, texts)))
     long = written(docs.where(F.length("text") > chunk))
     stitched = long.select("row", "doc_id").join(encode_long(long.select("row", "text"), path, pattern, chunk, overlap), "row")
-    return short.unionByName(stitched.select("row", "doc_id", "ids"))
+    return docs.where(F.length("text") <= chunk), stitched.select("row", "doc_id", "ids")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(row, doc_id, ids) of rows of (row, doc_id, text); ids are little-endian unsigned 32-bit integers."""
+    short, long = _short_and_long(docs, path, pattern, chunk, overlap)
+    return _mapped(short, "text", "ids binary", lambda texts: list(map(Codec.load(path, pattern).encode, texts))).unionByName(long)
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(row, doc_id, ids, decoded) of rows of (row, doc_id, text). A text of one chunk is encoded and its ids are decoded in one
+    visit to Python, so a task keeps one worker busy and no ids go there twice."""
+    short, long = _short_and_long(docs, path, pattern, chunk, overlap)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.load(path, pattern)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                ids = [codec.encode(t) for t in part.column("text").to_pylist()]
+                made = [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *made], names=["row", "doc_id", "ids", "decoded"])
+
+    return short.mapInArrow(both, "row long, doc_id long, ids binary, decoded binary").unionByName(decode(long, path, pattern))
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -166,7 +185,7 @@ def code_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers as P
 
     path = path or P.path("byte_bpe_multi_50k.tiktoken")
-    out = decode(encode(numbered(docs), path, P.PATTERN), path, P.PATTERN)
+    out = encode_and_decode(numbered(docs), path, P.PATTERN)
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

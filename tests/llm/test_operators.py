@@ -244,6 +244,8 @@ def test_bpe(spark, odd_docs, chunk, overlap):
     out = bpe.decode(bpe.encode(bpe.numbered(docs), path, P.PATTERN, chunk, overlap), path, P.PATTERN).collect()
     want = Counter((r["doc_id"], np.array(library.encode_ordinary(r["text"] or ""), "<u4").tobytes(), (r["text"] or "").encode()) for r in docs.collect())
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in out) == want
+    both = bpe.encode_and_decode(bpe.numbered(docs), path, P.PATTERN, chunk, overlap).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in both) == want
 
 
 def test_toxicity(spark, tables, no_docs):
