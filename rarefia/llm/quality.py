@@ -5,9 +5,9 @@ source). Lines in more documents than the host's limit are removed; a document t
 words so is depleted and rejected.
 
 Defined results: a null or empty text has no words and fails the base filter; a null source is a host of its own;
-lines without a word are neither counted nor removed; an empty table gives an empty table. ``filter_quality`` (the
-pipeline's stage) counts rows with one text as one document of their host, so copies alone make no line common and a later
-stage can keep one of them; the query counts every row, also one that repeats, as its SQL says.
+lines without a word are neither counted nor removed; an empty table gives an empty table. Rows of a host with one text
+(null and empty are one) count as one document, in its lines and in the host's size, so copies alone make no line common
+and a later stage can keep one of them; each of them gets the verdict of the others.
 """
 
 from __future__ import annotations
@@ -61,11 +61,10 @@ def base_features(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, copies: bool = False) -> DataFrame:
-    """(host, h) of the lines above their host's limit; each text counts once per host, with ``copies`` as often as it is
-    there. Counting combines within tasks first, so a line or a text in a third of all documents costs one row per task."""
-    if not copies:
-        feats = feats.groupBy("source", "content").agg(F.first("lines").alias("lines"))
+def common_lines(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, h) of the lines above their host's limit; each text counts once per host. Counting combines within tasks first,
+    so a line or a text in a third of all documents costs one row per task."""
+    feats = feats.groupBy("source", "content").agg(F.first("lines").alias("lines"))
     held = feats.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     hosts = feats.groupBy("source").agg(F.count("*").alias("docs"))
     often = held.groupBy("source", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
@@ -88,11 +87,11 @@ def judge(feats: DataFrame, removed: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("n_removed_words") <= int(100 * DEPLETED) * F.col("n_words")))
 
 
-def score_quality(docs: DataFrame, copies: bool = False) -> DataFrame:
-    """Per row of ``docs``: the features, the removed words and the verdict; ``copies`` as in ``common_lines``."""
+def score_quality(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: the features, the removed words and the verdict."""
     d = columns_or_null(docs, doc_id="long", source="string", text="string").withColumn("row", F.monotonically_increasing_id())
     feats = written(base_features(d))
-    return judge(feats, removed_lines(feats, written(common_lines(feats, copies=copies))))
+    return judge(feats, removed_lines(feats, written(common_lines(feats))))
 
 
 def drop_lines(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -123,7 +122,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """The query: features and verdict of every document."""
-    out = score_quality(table(spark, sf_dir, "documents"), copies=True)
+    out = score_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
@@ -136,8 +135,9 @@ with d as (select row_number() over () as r, doc_id, source, coalesce(text, '')
  p as (select r, count(distinct i + k) as n_repeat_words from t, (select unnest([0, 1, 2]) as k) where n >= 2 group by r),
  l as (select r, source, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) as line, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n
        from (select r, source, unnest(ls) as x from w)),
- h as (select source, count(*) as docs from d group by source),
- c as (select l.source, l.line from (select source, line, count(distinct r) as k from l where n > 0 group by source, line) l
+ o as (select source, min(r) as r from d group by source, text),
+ h as (select source, count(*) as docs from o group by source),
+ c as (select l.source, l.line from (select source, line, count(distinct r) as k from l where n > 0 and r in (select r from o) group by source, line) l
        join h on l.source is not distinct from h.source where k > {MIN_DOCS} and k > docs * {MAX_SHARE}),
  lost as (select r, sum(l.n) as lost from l join c on l.line = c.line and l.source is not distinct from c.source where l.n > 0 group by r),
  dup as (select r, count(*) - count(distinct x) as n_dup_lines from l where n > 0 group by r),
