@@ -1,34 +1,45 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are fitted on a bounded sample of the vectors: a node splits its points at the median of their projections on
-the difference of two of them, after a few rounds that move the two to the middle of their sides. Every row is then indexed, by the leaf it reaches in each tree. A query walks all trees
-through one priority queue, ordered by the least margin on the way, until it has opened enough leaves; the candidates
-in these leaves are ranked by their exact cosine in double precision.
+A node splits its points at the median of their projections on the difference of two of them, after a few rounds that move
+the two to the middle of their sides. The upper levels of each tree are fitted on a bounded sample of the vectors; where
+the table needs more leaves than one fit gives, each leaf's own rows (a bounded sample of them again) are fitted further, as
+often as it takes, so leaves stay small at any size of the table. Every row is then indexed, by the leaf it reaches in each
+tree. A query walks all trees through one priority queue, ordered by the largest margin that it is on the wrong side of,
+until it has opened enough leaves; below the upper levels the order goes on by the same margins. The candidates in the
+opened leaves are ranked by their exact cosine in double precision.
+
+How many leaves are enough is measured, not fixed: some of the queries are compared with all rows first, and the least number
+of leaves that holds the wanted share of their true neighbours is opened for all.
 
 Equal vectors are one class that carries its smallest ids, so a vector that fills a third of the table is one candidate;
-leaves with many rows are cut into blocks, so no task holds a whole leaf that has outgrown memory.
+leaves with many rows are cut into blocks, and so are the queries that open one leaf, so no task holds a whole leaf that has
+outgrown memory.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part, neither do rows with a null id; rows that repeat an id with another vector are candidates each; fewer than k
-candidates give fewer rows; an empty table gives no rows.
+candidates give fewer rows; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import draw, ship, table, written
 
-#: The sample that fits the trees (expected rows), trees, rows in a leaf, leaves in a tree at most, leaves that a query
-#: opens, and rows in a block.
-SAMPLE, TREES, LEAF, MOST_LEAVES, OPEN, BLOCK = 20_000, 16, 128, 1_024, 500, 4_096
+#: Trees, rows in a leaf, leaves that one fit gives at most, sampled rows for each of them, and rows or queries in a block.
+TREES, LEAF, SPLIT, PER_LEAF, BLOCK = 16, 64, 1_024, 20, 2_048
+#: Queries that are compared with all rows, and the share of their true neighbours that the opened leaves must hold.
+PILOTS, RECALL = 100, 0.96
 
 
 @dataclass
@@ -77,6 +88,10 @@ def fit_tree(points: np.ndarray, leaves: int, rng: np.random.Generator) -> Tree:
     return Tree(np.array(normals, np.float64).reshape(-1, points.shape[1]), np.array(cuts), np.array(children, int).reshape(-1, 2))
 
 
+def one_leaf(length: int) -> Tree:
+    return Tree(np.zeros((0, length)), np.zeros(0), np.zeros((0, 2), int))
+
+
 def leaf_of(tree: Tree, points: np.ndarray) -> np.ndarray:
     """The leaf of each point: level by level, all points at once."""
     at = np.full(len(points), 0 if len(tree.cuts) else ~0)
@@ -89,16 +104,18 @@ def leaf_of(tree: Tree, points: np.ndarray) -> np.ndarray:
     return ~at
 
 
-def open_leaves(forest: list[Tree], point: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(tree, leaf) of the ``most`` leaves that the shared queue gives first."""
-    queue = [(-np.inf, t, 0 if len(tree.cuts) else ~0) for t, tree in enumerate(forest)]
+def open_leaves(forest: list[Tree], point: np.ndarray, most: int, loss: float = 0.0, until: float = np.inf) -> list[tuple[int, int, float]]:
+    """(tree, leaf, loss) of the ``most`` leaves that the shared queue gives first, as far as their loss is not over ``until``."""
+    queue = [(loss, t, 0 if len(tree.cuts) else ~0) for t, tree in enumerate(forest)]
     sides = [tree.normals @ point - tree.cuts for tree in forest]
     heapq.heapify(queue)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, float]] = []
     while queue and len(out) < most:
         loss, t, node = heapq.heappop(queue)
+        if loss > until:
+            break
         if node < 0:
-            out.append((t, ~node))
+            out.append((t, ~node, loss))
             continue
         margin = sides[t][node]
         near, far = (1, 0) if margin >= 0 else (0, 1)
@@ -112,14 +129,15 @@ def unit(vectors) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row by row, so a pair's value doesn't depend on its block."""
-    return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
+def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Row by row (``queries`` one for each row, or one for all), so a pair's value doesn't depend on its block."""
+    return (rows * queries).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((queries * queries).sum(-1)))
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part; v as doubles."""
-    v = F.col(vec_col).cast("array<double>")
+    """(vec_id, v) of the rows that take part; floats stay floats, as they are half as wide, all else becomes doubles."""
+    kind = vectors.schema[vec_col].dataType
+    v = F.col(vec_col) if kind.elementType == T.FloatType() else F.col(vec_col).cast("array<double>")
     df = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     df = df.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
@@ -127,67 +145,184 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.where(F.size("v") == (length["d"] if length else 0))
 
 
-def fit_forest(classes: DataFrame, sample: int, trees: int, leaf: int, most_leaves: int, seed: int = 5) -> list[Tree]:
-    n = classes.count()
-    rows = classes.where(draw("cid", seed=seed) <= min(1.0, sample / max(n, 1))).orderBy("cid").limit(2 * sample).select("v").collect()
-    points = unit([r[0] for r in rows]) if rows else np.zeros((0, 1))
-    leaves = max(1, min(most_leaves, n // leaf))
-    return [fit_tree(points, leaves, np.random.default_rng(seed + t)) for t in range(trees)]
+class Forest:
+    """The trees, level by level, and the leaf that each row reaches in each of them.
+
+    ``upper`` is the first level (a list of trees); ``lower`` holds a table (tree, leaf, grown) for each further level, with
+    the tree that goes on from each leaf. ``index`` has a row for each tree and row of the table: (v, ids, tree, leaf).
+    """
+
+    def __init__(self, classes: DataFrame, trees: int, leaf: int, split: int, block: int, seed: int = 5):
+        self.spark, self.block = classes.sparkSession, block
+        self.kind = classes.schema["v"].dataType.simpleString()
+        n = classes.count()
+        levels = max(1, math.ceil(math.log(max(n / leaf, 1), split) - 1e-9))
+        share, want = PER_LEAF * split / max(n, 1), max(1, min(split, n // leaf))
+        rows = classes.where(draw("ids", seed=seed) <= share).select("ids", "v").collect()
+        points = unit([r[1] for r in sorted(rows)]) if rows else np.zeros((0, 1))
+        self.upper = self.spark.sparkContext.broadcast([fit_tree(points, want, np.random.default_rng(seed + t)) for t in range(trees)])
+        self.lower: list[DataFrame] = []
+        upper = self.upper
+
+        def place(parts):
+            for p in parts:
+                if len(p):
+                    points = unit(p["v"])
+                    for t, tree in enumerate(upper.value):
+                        yield p.assign(tree=np.int32(t), leaf=leaf_of(tree, points))
+
+        self.index = written(classes.select("v", "ids").mapInPandas(place, f"v {self.kind}, ids array<long>, tree int, leaf long"))
+        for level in range(1, levels):
+            self._grow(leaf, split, seed + 1000 * level)
+
+    def _grow(self, leaf: int, split: int, seed: int) -> None:
+        """One more level: a tree for each leaf, from its own rows."""
+        kind = self.kind
+        sizes = self.index.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+        sized = self.index.join(sizes, ["tree", "leaf"])
+        want = F.least(F.lit(split), F.greatest(F.lit(1), F.floor(F.col("n") / leaf)))
+        some = sized.withColumn("want", want.cast("int")).where(draw("ids", "tree", seed=seed) * F.col("n") <= F.col("want") * PER_LEAF)
+
+        def fit(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+            points = unit(x for _, x in sorted(zip(map(list, p["ids"]), map(list, p["v"]))))
+            tree = fit_tree(points, int(p["want"].iloc[0]), np.random.default_rng([seed, *key]))
+            return pd.DataFrame({"tree": [key[0]], "leaf": [key[1]], "grown": [pickle.dumps(tree)]})
+
+        grown = written(some.groupBy("tree", "leaf").applyInPandas(fit, "tree int, leaf long, grown binary"))
+
+        def place(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+            # a leaf whose rows weren't drawn stays one leaf
+            sub = leaf_of(pickle.loads(g["grown"].iloc[0]), unit(c["v"])) if len(g) and len(c) else 0
+            return c[["v", "ids", "tree"]].assign(leaf=c["leaf"] * split + sub)
+
+        blocks = sizes.select("tree", "leaf", F.ceil(F.col("n") / self.block).cast("int").alias("blocks"))
+        cut = self.index.join(blocks, ["tree", "leaf"]).withColumn("b", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")).drop("blocks")
+        each = grown.join(blocks, ["tree", "leaf"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        key = ["tree", "leaf", "b"]
+        placed = cut.groupBy(*key).cogroup(each.groupBy(*key)).applyInPandas(place, f"v {kind}, ids array<long>, tree int, leaf long")
+        self.index, self.split = written(placed), split
+        self.lower.append(grown)
+
+    def search(self, asked: DataFrame, most: int) -> DataFrame:
+        """The ``most`` leaves that the queue gives each query (qid, v) first: (qid, tree, leaf, place), place from 1."""
+        upper, kind = self.upper, self.kind
+        shape = f"qid long, v {kind}, tree int, leaf long, loss double"
+
+        def first(parts):
+            for p in parts:
+                if len(p):
+                    found = [open_leaves(upper.value, x, most) for x in unit(p["v"])]
+                    t, leaf, loss = zip(*[x for f in found for x in f])
+                    at = np.repeat(np.arange(len(p)), [len(f) for f in found])
+                    yield p.iloc[at].assign(tree=np.array(t, np.int32), leaf=np.array(leaf, np.int64), loss=np.array(loss, float))
+
+        # more tasks than one file of few queries would give: a query costs thousands of steps in the queue
+        spread = asked.select("qid", "v").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        hunts = spread.mapInPandas(first, shape)
+        order = Window.partitionBy("qid").orderBy("loss", "tree", "leaf")
+        for grown in self.lower:
+            # leaves below have no smaller loss, so what the queue gives next lies below those that it gave up to now
+            hunts = written(hunts.withColumn("until", F.max("loss").over(Window.partitionBy("qid"))))
+            split = self.split
+
+            def go_on(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+                if not len(q):
+                    return pd.DataFrame({c: [] for c in ("qid", "v", "tree", "leaf", "loss")})
+                points = unit(q["v"])
+                tree = pickle.loads(g["grown"].iloc[0]) if len(g) else one_leaf(points.shape[1])
+                found = [open_leaves([tree], *x) for x in zip(points, [most] * len(q), q["loss"], q["until"])]
+                at = np.repeat(np.arange(len(q)), [len(f) for f in found])
+                _, leaf, loss = zip(*[x for f in found for x in f])
+                return q.iloc[at][["qid", "v", "tree"]].assign(leaf=q["leaf"].to_numpy()[at] * split + np.array(leaf, np.int64), loss=loss)
+
+            asks = hunts.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / self.block).cast("int").alias("asks"))
+            cut = hunts.join(asks, ["tree", "leaf"]).withColumn("b", F.pmod(F.xxhash64("qid"), F.col("asks")).cast("int")).drop("asks")
+            each = grown.join(asks, ["tree", "leaf"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).drop("asks")
+            key = ["tree", "leaf", "b"]
+            further = cut.groupBy(*key).cogroup(each.groupBy(*key)).applyInPandas(go_on, shape)
+            hunts = further.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+        return hunts.withColumn("place", F.row_number().over(order)).select("qid", "tree", "leaf", "place")
+
+    def enough(self, classes: DataFrame, asked: DataFrame, k: int, pilots: int, recall: float) -> int:
+        """The least number of leaves that holds ``recall`` of the k true neighbours of some queries, found by comparing these with
+        all rows. Only they (``pilots``) and their neighbours reach the driver."""
+        some = asked.orderBy(draw("qid", seed=13), "qid").limit(pilots)
+        rows = some.collect()
+        if not rows:
+            return 1
+        x, qids = unit([r["v"] for r in rows]), np.array([r["qid"] for r in rows])
+        kind = self.kind
+
+        def best(parts):
+            for p in parts:
+                if len(p):
+                    s = unit(p["v"]) @ x.T
+                    at = np.argsort(-s, axis=0)[: k + 1].T
+                    q = np.repeat(np.arange(len(qids)), at.shape[1])
+                    yield pd.DataFrame({"qid": qids[q], "ids": p["ids"].to_numpy()[at.ravel()], "score": s[at.ravel(), q]})
+
+        found = classes.select("v", "ids").mapInPandas(best, "qid long, ids array<long>, score double")
+        # a query's own class is where it is itself: its leaf is the first that is opened
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), "ids")
+        near = found.where(~F.array_contains("ids", F.col("qid"))).withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
+        near = written(near.select("qid", "ids"))
+        pairs = near.count()
+        at = written(self.index.join(F.broadcast(near), "ids").select("qid", "ids", "tree", "leaf"))
+        most = 256
+        while True:
+            hunts = self.search(some, most)
+            places = at.join(hunts, ["qid", "tree", "leaf"]).groupBy("qid", "ids").agg(F.min("place").alias("place"))
+            got = sorted(r[0] for r in places.select("place").collect())
+            need = math.ceil(recall * pairs)
+            if len(got) >= need:
+                return max([1, *got[need - 1 : need]])
+            most *= 2
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-    sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, most_leaves: int = MOST_LEAVES, opened: int = OPEN, block: int = BLOCK,
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES,
+    leaf: int = LEAF, split: int = SPLIT, block: int = BLOCK, pilots: int = PILOTS, recall: float = RECALL, opened: int | None = None,
 ) -> DataFrame:
-    """For each row of ``queries`` (same columns) the k nearest of ``vectors`` but its own id: query_id, rank, vec_id, score."""
+    """For each row of ``queries`` (same columns) the k nearest of ``vectors`` but its own id: query_id, rank, vec_id, score.
+
+    ``opened`` leaves are searched for each query; where it isn't given, as many as ``recall`` needs.
+    """
     spark = vectors.sparkSession
     ship(spark)
     rows = valid(vectors, id_col, vec_col).distinct()
     # the k + 1 smallest ids of equal vectors are all that can come into a result; the limit applies before the shuffle
     first = rows.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("i") <= k + 1)
-    classes = written(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]))
+    classes = written(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     # equal query vectors are searched once, under their smallest id
-    askers = written(valid(queries, id_col, vec_col).distinct())
+    askers = written(valid(queries, id_col, vec_col).withColumn("v", F.col("v").cast(classes.schema["v"].dataType)).distinct())
     asked = written(askers.groupBy("v").agg(F.min("vec_id").alias("qid")))
-    forest = spark.sparkContext.broadcast(fit_forest(classes, sample, trees, leaf, most_leaves))
-
-    def place(parts):
-        for p in parts:
-            if len(p):
-                points = unit(p["v"])
-                for t, tree in enumerate(forest.value):
-                    yield p.assign(tree=np.int32(t), leaf=leaf_of(tree, points).astype(np.int32))
-
-    def search(parts):
-        for p in parts:
-            if len(p):
-                found = [open_leaves(forest.value, x, opened) for x in unit(p["v"])]
-                at = np.repeat(np.arange(len(p)), [len(f) for f in found])
-                both = np.array([x for f in found for x in f], dtype=np.int32)
-                yield p.iloc[at].assign(tree=both[:, 0], leaf=both[:, 1])
-
-    indexed = classes.select("v", "ids").mapInPandas(place, "v array<double>, ids array<long>, tree int, leaf int")
-    indexed = written(indexed)
-    # a row for each leaf of each tree: trees * most_leaves at most
-    sizes = indexed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    indexed = indexed.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("b", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")).drop("blocks")
-    hunts = asked.select("qid", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(search, "qid long, v array<double>, tree int, leaf int")
-    hunts = hunts.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    forest = Forest(classes, trees, leaf, split, block)
+    most = opened or forest.enough(classes, asked, k, pilots, recall)
+    hunts = written(forest.search(asked, most).drop("place"))
+    key = ["tree", "leaf", "b", "c"]
+    sizes = forest.index.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    meet = written(sizes.join(hunts.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("asks")), ["tree", "leaf"]))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    held = forest.index.join(meet, ["tree", "leaf"]).withColumn("b", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")).withColumn("c", every("asks")).drop("blocks", "asks")
+    hunts = hunts.join(meet, ["tree", "leaf"]).join(asked, "qid").withColumn("c", F.pmod(F.xxhash64("qid"), F.col("asks")).cast("int")).withColumn("b", every("blocks")).drop("blocks", "asks")
 
     def rerank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(c):
-            v = np.array(list(c["v"]), dtype=np.float64)
-            count = c["ids"].map(len).to_numpy()
-            ids, row = np.concatenate(list(c["ids"])), np.repeat(np.arange(len(c)), count)
-            for qid, x in zip(q["qid"], q["v"]):
-                score = cosines(v, np.asarray(x, np.float64))[row]
-                best = np.lexsort((ids, -score))[: k + 1]
-                out.append(pd.DataFrame({"qid": qid, "vec_id": ids[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-
-    key = ["tree", "leaf", "b"]
-    ranked = hunts.groupBy(*key).cogroup(indexed.groupBy(*key)).applyInPandas(rerank, "qid long, vec_id long, score double")
+        if not len(q) or not len(c):
+            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
+        v, x = (np.array(list(f["v"]), dtype=np.float64) for f in (c, q))
+        # all pairs of the block roughly, then those that can be among the k + 1 first exactly
+        rough = unit(x) @ unit(v).T
+        last = max(rough.shape[1] - k - 1, 0)
+        at, row = np.nonzero(rough >= np.partition(rough, last, axis=1)[:, [last]] - 1e-9)
+        score = cosines(v[row], x[at])
+        count = c["ids"].map(len).to_numpy()[row]
+        ids = np.concatenate([np.asarray(i) for i in c["ids"].to_numpy()[row]])
+        return pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy()[at], count), "vec_id": ids, "score": np.repeat(score, count)})
+
+    ranked = hunts.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(rerank, "qid long, vec_id long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     top = ranked.distinct().withColumn("i", F.row_number().over(best)).where(F.col("i") <= k + 1).select("qid", "vec_id", "score")
     own = askers.join(asked, "v").select(F.col("vec_id").alias("query_id"), "qid")

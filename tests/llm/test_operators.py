@@ -1,6 +1,7 @@
 """Each operator against a plain version of it, on rows with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rarefia.llm import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable, suffix_dedup, toxicity
 from rarefia.llm.common import range_of, running_total, splitters
@@ -305,13 +307,15 @@ def test_suffix_dedup(spark, odd_docs, shard, monkeypatch):
     assert Counter(map(tuple, got)) == want
 
 
-def test_nearest(spark):
+# one level and measured leaves; three levels of four each, in small blocks; the same with fixed leaves
+@pytest.mark.parametrize("few", [{"trees": 8, "leaf": 32}, {"trees": 8, "leaf": 20, "split": 4, "block": 10}, {"trees": 8, "leaf": 32, "split": 16, "opened": 150}])
+def test_nearest(spark, few):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1500, 16)).astype(np.float32)
     v[::3] = v[0]  # one vector fills a third of the table
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0] * 3), (2200, [None] + [1.0] * 15), (None, v[1].tolist()), (50, v[50].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.nearest(df, df.where("vec_id % 50 = 0"), sample=600, trees=8, leaf=32, opened=60).collect()
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), **few).collect()
     hit = 0
     for q in range(0, 1500, 50):
         s = ann.cosines(v.astype(float), v[q].astype(float))
@@ -323,28 +327,40 @@ def test_nearest(spark):
             assert [r[1] for r in mine] == [i for i in range(0, 18, 3) if i != q][:5]
         hit += len({r[1] for r in mine} & set(best))
     assert {r["query_id"] for r in got} == set(range(0, 1500, 50)) and hit >= 0.9 * 150
-    few = ann.nearest(df.where("vec_id in (1, 50)"), df.where("vec_id = 50")).collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(50, 1, 1)]
+    two = ann.nearest(df.where("vec_id in (1, 50)"), df.where("vec_id = 50")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in two] == [(50, 1, 1)]
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
 
 
-def test_recall_of_many_rows():
-    """Production parameters on as many rows as the largest trees are for; a few leaves in a hundred are opened."""
-    rng, n = np.random.default_rng(3), 131_072
-    v = rng.standard_normal((n, 64))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    sample = v[rng.random(n) < ann.SAMPLE / n]
-    forest = [ann.fit_tree(sample, min(ann.MOST_LEAVES, n // ann.LEAF), np.random.default_rng(5 + t)) for t in range(ann.TREES)]
-    leaves, hit = [ann.leaf_of(t, v) for t in forest], 0
-    asked = rng.choice(n, 100, replace=False)
-    for q in asked:
-        found, opened = np.zeros(n, bool), ann.open_leaves(forest, v[q], ann.OPEN)
-        for t in range(ann.TREES):
-            found |= np.isin(leaves[t], [x for at, x in opened if at == t])
-        score = v @ v[q]
+def test_nearest_leaves(spark):
+    """Leaves stay small however many levels it takes, and part of the rows is enough for the measured recall."""
+    rng = np.random.default_rng(3)
+    middle = rng.standard_normal((60, 32))
+    v = (middle[rng.integers(0, 60, 6000)] + 0.4 * rng.standard_normal((6000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<float>")
+    classes = df.select("v", F.array("vec_id").alias("ids"))
+    forest = ann.Forest(classes, 4, 20, 8, 2048)  # 300 leaves wanted: 8 x 8 x 8 at most
+    sizes = forest.index.groupBy("tree", "leaf").count().collect()
+    assert len(forest.lower) == 2 and sum(r["count"] for r in sizes) == 4 * 6000 and max(r["count"] for r in sizes) < 250
+    asked = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid")
+    most = forest.enough(classes, asked, 5, 100, 0.96)
+    opened = forest.search(asked, most).join(forest.index, ["tree", "leaf"]).selectExpr("qid", "ids[0] as vec_id").distinct().collect()
+    seen = Counter(r["qid"] for r in opened)
+    u, hit, held = v / np.linalg.norm(v, axis=1, keepdims=True), 0, {(r["qid"], r["vec_id"]) for r in opened}
+    for q in range(0, 6000, 50):
+        score = u @ u[q]
         score[q] = -2
-        hit += found[np.argpartition(-score, 5)[:5]].sum()
-    assert ann.OPEN < 0.04 * ann.TREES * ann.MOST_LEAVES and hit >= 0.95 * 5 * len(asked)
+        hit += sum((q, int(i)) in held for i in np.argsort(-score)[:5])
+    assert hit >= 0.9 * 5 * 120 and np.mean(list(seen.values())) < 0.2 * 6000
+
+
+def test_nearest_columns(spark):
+    """Doubles, other names, and extra columns named as the operator's own."""
+    rows = [(i, [math.cos(i), math.sin(i)], 1, "x", 2.0, 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, tree int, leaf string, score double, qid int")
+    got = ann.nearest(df, df.where("id = 50"), 2, "id", "v").collect()
+    want = sorted((i for i in range(200) if i != 50), key=lambda i: -math.cos(i - 50))[:2]
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == want
 
 
 def plain_components(rows):
