@@ -279,6 +279,58 @@ class Forest:
             most *= 2
 
 
+def rerank(index: DataFrame, hunts: DataFrame, asked: DataFrame, k: int, block: int, leaf: int) -> DataFrame:
+    """The exact cosine (qid, vec_id, score) of the rows in the leaves that each query opened: of each group of leaves that lie
+    side by side, the k + 1 best rows (and what ties with them) as far as they reach the query's ``floor``.
+
+    A group of leaves with more than ``block`` rows is cut, and so are the queries that meet in one.
+    """
+    index = index.withColumn("g", F.floor(F.col("leaf") / max(1, block // leaf)))
+    hunts = hunts.groupBy("qid", "tree", "g").agg(F.collect_set("leaf").alias("leaves"))
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("tree", "g").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    def every(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    meet = written(count(index, "blocks").join(count(hunts, "asks"), ["tree", "g"]))
+    rows = index.join(meet, ["tree", "g"]).withColumn("b", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")).withColumn("c", every("asks"))
+    searches = hunts.join(meet, ["tree", "g"]).withColumn("c", F.pmod(F.xxhash64("qid"), F.col("asks")).cast("int")).withColumn("b", every("blocks"))
+    searches = searches.drop("blocks", "asks").join(asked.select("qid", "v", "floor"), "qid")
+
+    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"qid": [], "vec_id": [], "score": []})
+        if not len(q) or not len(c):
+            return nothing
+        v, x = (np.array(list(f["v"]), dtype=np.float64) for f in (c, q))
+        uv, ux, floor = unit(v), unit(x), q["floor"].to_numpy()
+        asks, opened = np.repeat(np.arange(len(q)), q["leaves"].map(len)), np.concatenate(list(q["leaves"]))
+        leaves, found = c["leaf"].to_numpy(), []
+        # all pairs of a leaf roughly, then those that can be among the k + 1 first exactly
+        for at_leaf in np.unique(opened):
+            rows, who = np.flatnonzero(leaves == at_leaf), asks[opened == at_leaf]
+            if len(rows):
+                rough = ux[who] @ uv[rows].T
+                least = np.partition(rough, max(len(rows) - k - 1, 0), axis=1)[:, max(len(rows) - k - 1, 0)]
+                at, row = np.nonzero(rough >= np.maximum(least, floor[who])[:, None] - 1e-9)
+                found.append((who[at], rows[row], rough[at, row]))
+        if not sum(len(f[0]) for f in found):
+            return nothing
+        at, row, near = (np.concatenate(f) for f in zip(*found))
+        order = np.lexsort((-near, at))
+        at, row, near = at[order], row[order], near[order]
+        first, end = np.searchsorted(at, at), np.searchsorted(at, at, side="right")
+        keep = near >= near[np.minimum(first + k, end - 1)] - 1e-9
+        at, row = at[keep], row[keep]
+        exact, times = cosines(v[row], x[at]), c["ids"].map(len).to_numpy()[row]
+        ids = np.concatenate([np.asarray(i) for i in c["ids"].to_numpy()[row]])
+        return pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy()[at], times), "vec_id": ids, "score": np.repeat(exact, times)})
+
+    key = ["tree", "g", "b", "c"]
+    return searches.groupBy(*key).cogroup(rows.drop("blocks", "asks").groupBy(*key)).applyInPandas(score, "qid long, vec_id long, score double")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES,
     leaf: int = LEAF, split: int = SPLIT, block: int = BLOCK, pilots: int = PILOTS, recall: float = RECALL, opened: int | None = None,
@@ -298,35 +350,21 @@ def nearest(
     asked = written(askers.groupBy("v").agg(F.min("vec_id").alias("qid")))
     forest = Forest(classes, trees, leaf, split, block)
     most = opened or forest.enough(classes, asked, k, pilots, recall)
-    hunts = written(forest.search(asked, most).drop("place"))
-    key = ["tree", "leaf", "b", "c"]
-    sizes = forest.index.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    meet = written(sizes.join(hunts.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("asks")), ["tree", "leaf"]))
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    held = forest.index.join(meet, ["tree", "leaf"]).withColumn("b", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")).withColumn("c", every("asks")).drop("blocks", "asks")
-    hunts = hunts.join(meet, ["tree", "leaf"]).join(asked, "qid").withColumn("c", F.pmod(F.xxhash64("qid"), F.col("asks")).cast("int")).withColumn("b", every("blocks")).drop("blocks", "asks")
-
-    def rerank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-        v, x = (np.array(list(f["v"]), dtype=np.float64) for f in (c, q))
-        # all pairs of the block roughly, then those that can be among the k + 1 first exactly
-        rough = unit(x) @ unit(v).T
-        last = max(rough.shape[1] - k - 1, 0)
-        at, row = np.nonzero(rough >= np.partition(rough, last, axis=1)[:, [last]] - 1e-9)
-        score = cosines(v[row], x[at])
-        count = c["ids"].map(len).to_numpy()[row]
-        ids = np.concatenate([np.asarray(i) for i in c["ids"].to_numpy()[row]])
-        return pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy()[at], count), "vec_id": ids, "score": np.repeat(score, count)})
-
-    ranked = hunts.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(rerank, "qid long, vec_id long, score double")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    top = ranked.distinct().withColumn("i", F.row_number().over(best)).where(F.col("i") <= k + 1).select("qid", "vec_id", "score")
+    hunts = written(forest.search(asked, most).withColumn("g", F.floor(F.col("leaf") / max(1, block // leaf))))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+
+    def top(found: DataFrame) -> DataFrame:
+        return written(found.distinct().withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).drop("i"))
+
+    # the nearest leaf or two of each tree first: what is further than the k + 1 best of these need not leave its leaf
+    asked = asked.withColumn("floor", F.lit(-2.0))
+    head = top(rerank(forest.index, hunts.where(F.col("place") <= trees), asked, k, block, leaf))
+    least = head.groupBy("qid").agg(F.when(F.count("*") > k, F.min("score")).otherwise(-2.0).alias("floor"))
+    floored = asked.drop("floor").join(least, "qid", "left").fillna(-2.0, ["floor"])
+    others = rerank(forest.index, hunts.where(F.col("place") > trees), floored, k, block, leaf)
+    best = top(head.unionByName(others))
     own = askers.join(asked, "v").select(F.col("vec_id").alias("query_id"), "qid")
-    rest = own.join(written(top), "qid").where("vec_id <> query_id")
+    rest = own.join(best, "qid").where("vec_id <> query_id")
     order = Window.partitionBy("query_id", "qid").orderBy(F.desc("score"), "vec_id")
     return rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
