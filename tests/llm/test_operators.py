@@ -276,6 +276,62 @@ def test_toxicity(spark, tables, no_docs):
     assert {r["score"] for r in toxicity.score_toxicity(docs, labels.where("false")).collect()} == {0.0}
 
 
+def plain_logit(bias, w, v, found):
+    """The factorization machine as it is defined: a weight for each term, an inner product for each pair."""
+    out = bias + sum(w[i] for i in found)
+    for x, i in enumerate(found):
+        for j in found[x + 1 :]:
+            out += sum(v[i][f] * v[j][f] for f in range(len(v[i])))
+    return out
+
+
+def test_factorization_machine():
+    """Scores and one step of the fit against sums over all pairs."""
+    rng = np.random.default_rng(4)
+    docs = [np.unique(rng.choice(40, rng.integers(0, 9))).astype(np.int32) for _ in range(300)]
+    labels = np.array([float(3 in d and 5 in d or 7 in d) for d in docs])
+    known = [int(b) for b in toxicity.associated(docs, labels, 6)]
+    p = labels.mean()
+    for b in {3, 5, 7}:  # the z-score of a term, counted out
+        has = [y for d, y in zip(docs, labels) if b in d]
+        z = abs(sum(has) - len(has) * p) / math.sqrt(len(has) * p * (1 - p))
+        assert (b in known) == (z >= toxicity.MIN_Z)
+    assert 7 in known
+    start = toxicity.fit(docs, labels, epochs=0)
+    for d in docs[:60]:
+        want = plain_logit(start.bias, start.weights, start.vectors, [int(start.place[b]) for b in d if start.place[b] >= 0])
+        assert start.score(d) == pytest.approx(1 / (1 + math.exp(-want)), abs=1e-12)
+    one = toxicity.fit(docs, labels, epochs=1, batch=len(docs), decay=0.0)
+    n, k = start.vectors.shape
+    gb, gw, gv = 0.0, np.zeros(n), np.zeros((n, k))
+    for d, y in zip(docs, labels):
+        at = [int(start.place[b]) for b in d if start.place[b] >= 0]
+        g = (1 / (1 + math.exp(-plain_logit(start.bias, start.weights, start.vectors, at))) - y) / len(docs)
+        gb += g
+        for i in at:
+            gw[i] += g
+            for j in at:
+                if i != j:
+                    gv[i] += g * start.vectors[j]
+    step = lambda old, g: old - 0.1 * g / np.sqrt(1e-2 + g**2)
+    assert one.bias == pytest.approx(step(start.bias, gb), abs=1e-9)
+    assert np.allclose(one.weights, step(start.weights, gw), atol=1e-9) and np.allclose(one.vectors, step(start.vectors, gv), atol=1e-9)
+
+
+def test_toxicity_edges(spark):
+    """Rows that repeat score alike, long texts are read to the end, extra columns named as the results are not read."""
+    insult = "you scoundrel"
+    rows = [(i, f"{prose(i, 20)} {insult if i % 3 == 0 else 'good day'}", "x", 0.5, 1, True) for i in range(400)]
+    rows += [(1000, f"{prose(5, 20)} {insult}", "y", 0.1, 0, False)] * 2 + [(1001, prose(6, 30_000) + " " + insult, None, None, None, None), (1002, prose(6, 30_000), None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, terms string, score double, y int, held_out boolean")
+    labels = spark.createDataFrame([(i, i % 3 == 0, 7) for i in range(400)], "doc_id long, toxic boolean, text int").selectExpr("doc_id", "cast(toxic as int) toxic", "text")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "held_out", "score", "predicted"]
+    by = {r["doc_id"]: r for r in got}
+    assert len({(r["score"], r["predicted"]) for r in got if r["doc_id"] == 1000}) == 1 and by[1000]["predicted"] == 1
+    assert by[1001]["score"] > by[1002]["score"]
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for i in range(90):  # long ones by whole buckets, short ones (and what the long ones recur to) place by place
