@@ -7,7 +7,6 @@ number of sampled keys, the number of ranges), never by the rows.
 from __future__ import annotations
 
 import math
-import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..scratch import discard, discard_path, folders, recorded, scratch_dir, written
+from ..scratch import Scratch, discard, discard_path, folders, scratch_dir, written
 
 __all__ = [
-    "OWN", "ROW", "SPACE", "WORD", "columns_or_null", "discard", "discard_path", "draw", "folders", "plain_reading", "range_of", "recorded", "running_total", "scratch_dir", "ship", "splitters", "table", "with_row_id", "written",
+    "OWN", "ROW", "SPACE", "WORD", "Scratch", "columns_or_null", "discard", "discard_path", "draw", "folders", "range_of", "read_of_files", "running_total", "scratch_dir", "ship", "splitters", "table", "with_row_id", "written",
 ]
 
 #: White space between words: space and U+0009 to U+000D, nothing else.
@@ -47,18 +46,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain_reading(df: DataFrame) -> bool:
-    """Whether the table is files as they are, with columns chosen or added at most; each reading then gives the same rows at the
-    same places."""
-    nodes = [re.sub(r"^[\s:+\-*]*", "", line) for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
-    return bool(df.inputFiles()) and len(nodes) <= 2 and all(re.match(r"Relation ?\[|Project \[", n) for n in nodes)
+#: The place of a row in its file takes so many bits of a row's id, the file's number those above.
+PLACE = 40
+
+
+def read_of_files(df: DataFrame) -> bool:
+    """Whether the table is Parquet files as they are, so that Spark can tell each row's file and place in it."""
+    return "_metadata" not in df.columns and df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles())
+
+
+def _place_in_files(df: DataFrame) -> Column:
+    """The number of a row's file, among the files' hashes in ascending order, and its place in the file. Neither depends on how
+    files are split into tasks, so every reading gives a row the same id. A file that came later is an error."""
+    spark, paths = df.sparkSession, df.inputFiles()
+    hashed = lambda path: F.xxhash64(F.regexp_replace(path, "^file:/+", "file:/"))  # noqa: E731  the two name local files differently
+    hashes = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(hashed("p").alias("h")).distinct().orderBy("h").collect()]
+    if len(hashes) < len(set(paths)):
+        raise ValueError("two files have paths with one hash")
+    known, own = F.split(F.lit(",".join(map(str, hashes))), ",").cast("array<long>"), hashed("_metadata.file_path")
+
+    def half(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        low = (F.get(known, mid) < own) & (a["lo"] < a["hi"])
+        return F.struct(F.when(low, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(low | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(hashes).bit_length()))
+    number = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(hashes) - 1).alias("hi")), half, lambda a: a["lo"]) if len(hashes) > 1 else F.lit(0)
+    found = F.when(F.get(known, number) == own, number.cast("long")).otherwise(F.raise_error(F.lit("a file isn't among those that were listed")).cast("long"))
+    return F.shiftleft(found, PLACE) + F.col("_metadata.row_index")
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Add an id to each row, as doc_id may be null or repeat. The table is written, so that the ids stay as they are; a plain
-    reading of files has the same ids each time and isn't written again."""
-    named = df.withColumn(name, F.monotonically_increasing_id())
-    return named if plain_reading(df) else written(named)
+    """Add an id to each row, as doc_id may be null or repeat; every reading of the result has the same ids. Parquet files as
+    they are give a row its file and place; any other table is written with its ids."""
+    return df.withColumn(name, _place_in_files(df)) if read_of_files(df) else written(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:

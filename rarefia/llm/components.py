@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import Scratch, discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("m"))
+    # written before the join, so that Spark can split a node with very many neighbours
+    least = written(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("m")))
     joined = both.join(least, both["a"] == least["_a"])
     out = joined.where(F.col("b") > F.col("a") if large else F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -26,14 +27,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the component's least node.
 
     Each round is two aggregations and joins over the edges and ends in a written table; the number of rounds grows
-    with the logarithm of the longest path. Only a count and a checksum reach the driver.
+    with the logarithm of the longest path. Only a count and a checksum reach the driver. Repeated edges and edges from a node to
+    itself change nothing (a node with the latter alone isn't in the result), nor do edges with a null; no edges give no rows.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    with Scratch(edges.sparkSession) as scope:
+        out = _rounds(edges)
+        scope.keep(out)
+    return out
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b and a is not null and b is not null").distinct())
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen, before = mark, now
-        now = written(_star(_star(now, True), False))
+        now = written(_star(written(_star(now, True)), False))
         discard(before)

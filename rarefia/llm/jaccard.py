@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_or_null, discard, discard_path, scratch_dir, ship, table, written
+from .common import Scratch, columns_or_null, discard, scratch_dir, ship, table, written
 from .components import connected_components
 
 #: Words in a shingle, similarity in hundredths, prefix tokens that linked sets share, min-hashes in a band and bands.
@@ -79,14 +79,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def need(n: int) -> int:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    both = overlap(a, b)
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def need(n: int, percent: int = PERCENT) -> int:
     """The least overlap of a set of n with any set that it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
 def prefix(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -147,8 +151,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def _by_row(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The features with the texts (and with the struct ``rest``, if there is one), written in buckets of ``row``: the joins that
+def by_row(docs: DataFrame, features=None) -> tuple[DataFrame, str]:
+    """The features (those of this module, unless others of the same columns are given) with the texts (and with the struct ``rest``, if there is one), written in buckets of ``row``: the joins that
     fetch texts move no text again. Also the folder of the files, which the table's name in the catalog doesn't outlive."""
     spark = docs.sparkSession
     ship(spark)
@@ -157,15 +161,27 @@ def _by_row(docs: DataFrame) -> tuple[DataFrame, str]:
     schema = T.StructType.fromDDL("row long, kind int, doc_id long, n long, k1 long, k2 long, bands array<long>, text string")
     for c in rest:
         schema.add(c, docs.schema[c].dataType)
-    made = docs.select("row", "doc_id", "text", *rest).mapInArrow(_features, schema)
-    made.repartition(n, "row").write.bucketBy(n, "row").option("path", path).saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
+    made = docs.select("row", "doc_id", "text", *rest).mapInArrow(features or _features, schema)
+    try:
+        made.repartition(n, "row").write.bucketBy(n, "row").option("path", path).saveAsTable(name)
+        out = spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out, path
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (a, b). For each b its text and then those of its a's stream by; a b with many a's has
+    """The linked ones of the pairs (a, b)."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, _ in compared(batches, lambda own, head: similar(own, head) or None):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return placed_pairs(pairs, texts).mapInArrow(linked, "a long, b long")
+
+
+def placed_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, later, text) as ``compared`` reads it. For each b its text and then those of its a's stream by; a b with many a's has
     several streams."""
     streams = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams")))
     keyed = pairs.join(streams, "b").withColumn("s", F.pmod(F.xxhash64("a"), F.col("streams")).cast("int"))
@@ -174,20 +190,23 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = keyed.select("b", "s", "a", F.lit(1).alias("later")).union(heads.select("b", "s", "a", F.lit(0)))
     placed = both.join(texts, "a").repartition("b", "s").sortWithinPartitions("b", "s", "later")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for x, y, later, text in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "later", "text")]):
-                s = shingles(text)
-                if not later:
-                    head, own = y, s
-                elif y == head and similar(s, own):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return placed.select("a", "b", "later", "text")
+
 
-    return placed.select("a", "b", "later", "text").mapInArrow(check, "a long, b long")
+def compared(batches: Iterator[pa.RecordBatch], judge) -> Iterator[tuple[list, list, list]]:
+    """The pairs (a, b) and what ``judge`` says of their sets of shingles, without those of which it says None; a batch at a time."""
+    head, own = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        a, b, said = [], [], []
+        for x, y, later, text in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "later", "text")]):
+            s = shingles(text)
+            if not later:
+                head, own = y, s
+            elif y == head and (v := judge(s, own)) is not None:
+                a.append(x)
+                b.append(y)
+                said.append(v)
+        yield a, b, said
 
 
 def band_leaders(nodes: DataFrame) -> DataFrame:
@@ -255,7 +274,7 @@ def opened_groups(tokens: DataFrame, nodes: DataFrame, groups: DataFrame) -> Dat
     return out
 
 
-def links_in_groups(opened: DataFrame, nodes: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+def links_in_groups(opened: DataFrame, nodes: DataFrame, groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): for each opened group and component in it, a link of a to it where there is one. A group is dealt out in blocks
     of about ``BLOCK`` shingles; the members of a block come first and give its token union, then come the nodes that ask. A
     block is opened to a node only if the overlap with its union allows a link."""
@@ -284,7 +303,7 @@ def links_in_groups(opened: DataFrame, nodes: DataFrame, groups: DataFrame, text
                     continue
                 if index is None:
                     index = _Block(held)
-                for x in index.links(own, comp):
+                for x in index.links(own, comp, percent):
                     a.append(row)
                     b.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -304,24 +323,24 @@ class _Block:
         self.union, first = np.unique(tokens[order], return_index=True)
         self.first = np.r_[first, len(tokens)]
 
-    def links(self, own: np.ndarray, comp: int) -> list[int]:
+    def links(self, own: np.ndarray, comp: int, percent: int = PERCENT) -> list[int]:
         at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
         at = at[self.union[at] == own]
-        if len(at) < need(len(own)):
+        if len(at) < need(len(own), percent):
             return []
         lo, n = self.first[at], self.first[at + 1] - self.first[at]
         places = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         both = np.bincount(self.who[places], minlength=len(self.rows))
-        hit = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (self.sizes + len(own) - both)) & (self.comps != comp))
+        hit = np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(own) - both)) & (self.comps != comp))
         _, first = np.unique(self.comps[hit], return_index=True)
         return self.rows[hit[first]].tolist()
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
     """Rows of (row, doc_id, text) to (row, doc_id, n_shingles, root): root is equal for documents that links connect."""
-    texts, path = _by_row(docs)
-    out = _grouped(texts)
-    discard_path(texts.sparkSession, path)
+    with Scratch(docs.sparkSession) as scope:
+        out = _grouped(by_row(docs)[0])
+        scope.keep(out)
     return out
 
 
@@ -361,10 +380,13 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The first document of every group, by doc_id and then by row; the columns of ``docs``."""
     text, others = F.col("text").cast("string").alias("text"), [n for n in docs.columns if n != "text"]
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text, F.struct(*[F.col(f"`{n}`") for n in others]).alias("rest"))
-    rows, _ = _by_row(base)
-    first = _grouped(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")).alias("f"))
-    kept = rows.where("kind = 0").join(first.select(F.col("f.row").alias("row")), "row", "left_semi")
-    return kept.select(*[F.col("text") if n == "text" else F.col("rest")[n].alias(n) for n in docs.columns])
+    with Scratch(docs.sparkSession) as scope:
+        rows, _ = by_row(base)
+        first = _grouped(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "row")).alias("f"))
+        kept = rows.where("kind = 0").join(written(first.select(F.col("f.row").alias("row"))), "row", "left_semi")
+        out = kept.select(*[F.col("text") if n == "text" else F.col("rest")[n].alias(n) for n in docs.columns])
+        scope.keep(out)
+    return out
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

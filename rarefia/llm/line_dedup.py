@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import OWN, ROW, WORD, columns_or_null, discard, discard_path, folders, recorded, running_total, table, with_row_id, written
+from .common import OWN, ROW, WORD, Scratch, columns_or_null, discard, running_total, table, with_row_id, written
 from .quality import drop_lines
 
 #: Words that a repeated run of lines must have.
@@ -80,12 +80,9 @@ def later_copies(runs: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
 
 def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, pos) of the lines to delete, of rows (row, doc_id, text). What is written on the way is removed at the end."""
-    with recorded(rows.sparkSession) as names:
+    with Scratch(rows.sparkSession) as scope:
         out = _repeated_lines(rows, min_words)
-    keep = folders(out)
-    for name in names:
-        if not any(f.endswith(name.rsplit("/", 1)[1]) for f in keep):
-            discard_path(rows.sparkSession, name)
+        scope.keep(out)
     return out
 
 
@@ -109,13 +106,18 @@ def _repeated_lines(rows: DataFrame, min_words: int) -> DataFrame:
     return written(places.join(ends, "p", "left").withColumn("reach", reach).where("reach > p").select("row", "pos"))
 
 
+def drop_repeated(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The texts of ``rows``, which ``ROW`` tells apart, without later copies of repeated runs."""
+    base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", text="string").withColumnRenamed(ROW, "row")
+    return drop_lines(rows, repeated_lines(base, min_words))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = True) -> DataFrame:
     """The texts without later copies of repeated runs; the columns of ``docs``. A text whose lines all go was a copy as a
     whole: its row is dropped, unless told otherwise."""
     names, full = docs.columns, f"{OWN}full"
     rows = with_row_id(docs, ROW)
-    base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", text="string").withColumnRenamed(ROW, "row")
-    out = drop_lines(rows.withColumn(full, F.coalesce(F.octet_length("text"), F.lit(0)) > 0), repeated_lines(base, min_words))
+    out = drop_repeated(rows.withColumn(full, F.coalesce(F.octet_length("text"), F.lit(0)) > 0), min_words)
     if drop_emptied:
         out = out.where(~F.col(full) | (F.octet_length("text") > 0))
     return out.select(*[F.col(f"`{n}`") for n in names])
@@ -123,9 +125,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """The query: what stays of every document."""
-    docs = columns_or_null(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    docs = with_row_id(table(spark, sf_dir, "documents"), ROW).select("doc_id", "text", ROW)
     n = F.when(F.octet_length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
-    out = dedup_lines(docs.withColumn("n_lines", n), drop_emptied=False)
+    out = drop_repeated(docs.withColumn("n_lines", n))
     return out.select("doc_id", "n_lines", F.octet_length("text").cast("long").alias("n_kept_bytes"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 

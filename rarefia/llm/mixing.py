@@ -6,8 +6,9 @@ and an ordinal falls below the fraction.
 
 Defined results: a null or empty text has size 0 and is emitted like any other row (it adds no words); a null
 source is a source of its own; rows with one doc_id (or none) and different texts have draws of their own, and so have rows that
-repeat as a whole: the plan numbers them from 0 (it doesn't matter which is which), the mix tells them apart by their place
-in the table, which reading the same files again keeps; extra columns are kept by the mix; an empty table gives an
+repeat as a whole: the plan numbers them from 0 (it doesn't matter which is which), the mix tells them apart by their file
+and their place in it, or by an id that is written first where the table isn't files as they are; very long texts are counted and hashed
+whole; extra columns are kept by the mix; an empty table gives an
 empty table; a source without any words gets target 0 and rate 0.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, WORD, columns_or_null, running_total, written
+from .common import OWN, WORD, columns_or_null, running_total, with_row_id, written
 
 #: A source repeats at most this often.
 MOST = 3.0
@@ -99,11 +100,12 @@ def mix_sources(docs: DataFrame, seed: str = "mix", most: float = MOST) -> DataF
     summed = written(source_sizes(docs.select("source", word_count(F.col("text")).alias("size"))))
     goals = written(targets(written(ranked_weights(summed)), most))
     goals = goals.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0).alias(rate))
-    joined = docs.join(goals, docs["source"].eqNullSafe(goals[source]), "left")
+    rows = with_row_id(docs, place)
+    joined = rows.join(goals, rows["source"].eqNullSafe(goals[source]), "left")
     # ids that repeat with one text; few, so Spark sends them to all tasks if their measured size allows
     key = [F.col("doc_id").cast("string").alias(again), text_hash(F.col("text")).alias(hashed)]
     repeated = written(docs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    joined = joined.withColumns({hashed: text_hash(F.col("text")), place: F.monotonically_increasing_id()})
+    joined = joined.withColumn(hashed, text_hash(F.col("text")))
     repeated = repeated.select(F.col(again), F.col(hashed).alias(f"{hashed}2"))
     joined = joined.join(repeated, F.col("doc_id").cast("string").eqNullSafe(F.col(again)) & (F.col(hashed) == F.col(f"{hashed}2")), "left")
     ordinal = F.when(F.col(f"{hashed}2").isNotNull(), F.col(place)).otherwise(F.lit(0).cast("long"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, ROW, SPACE, WORD, columns_or_null, table, with_row_id, written
+from .common import OWN, ROW, SPACE, WORD, Scratch, columns_or_null, table, with_row_id, written
 
 #: A line is above its host's limit in more documents than this, and than this share of the host's documents.
 MIN_DOCS, MAX_SHARE = 20, 0.02
@@ -112,12 +112,15 @@ def drop_lines(docs: DataFrame, marks: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The kept documents, without the lines above the limits; the columns of ``docs``."""
     names = docs.columns
-    rows = with_row_id(docs, ROW)
-    base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", source="string", text="string").withColumnRenamed(ROW, "row")
-    feats = written(base_features(base))
-    marks = written(removed_lines(feats, written(common_lines(feats))))
-    kept = judge(feats, marks).where("kept").select(F.col("row").alias(ROW))
-    return drop_lines(rows.join(kept.hint("merge"), ROW, "left_semi"), marks).select(*[F.col(f"`{n}`") for n in names])
+    with Scratch(docs.sparkSession) as scope:
+        rows = with_row_id(docs, ROW)
+        base = columns_or_null(rows, **{ROW: "long"}, doc_id="long", source="string", text="string").withColumnRenamed(ROW, "row")
+        feats = written(base_features(base))
+        marks = written(removed_lines(feats, written(common_lines(feats))))
+        kept = written(judge(feats, marks).where("kept").select(F.col("row").alias(ROW)))
+        out = drop_lines(rows.join(kept.hint("merge"), ROW, "left_semi"), marks).select(*[F.col(f"`{n}`") for n in names])
+        scope.keep(out)
+    return out
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns_or_null, range_of, splitters, table, with_row_id, written
+from .common import columns_or_null, range_of, splitters, table, written
 
 
 def keyed_sizes(docs: DataFrame) -> DataFrame:
     """The small table that all planning reads: a row's key, size and checksum, without its text."""
     d = columns_or_null(docs, doc_id="long", text="string")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return with_row_id(d.select("doc_id", F.octet_length(raw).cast("long").alias("_n"), F.crc32(raw).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).select("doc_id", (F.col("_n") + 1).alias("size"), "text_crc32", "h"), "row")
+    sized = d.select("doc_id", F.octet_length(raw).cast("long").alias("_n"), F.crc32(raw).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    # the ids hold from the first written table of rows on; the splitters before it don't read them
+    return sized.select("doc_id", (F.col("_n") + 1).alias("size"), "text_crc32", "h", F.monotonically_increasing_id().alias("row"))
 
 
 def ranges(rows: DataFrame, parts: int, overfull: float = 1.5) -> tuple[DataFrame, list[tuple]]:

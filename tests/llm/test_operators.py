@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rarefia.llm import ann, bpe, jaccard, line_dedup, mixing, quality, sharding, sstable, suffix_dedup, toxicity
-from rarefia.llm.common import range_of, running_total, splitters
+from rarefia.llm.common import Scratch, range_of, read_of_files, running_total, splitters, with_row_id, written
 from rarefia.llm.components import connected_components
 from rarefia.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import prose
@@ -61,16 +61,54 @@ def test_shared_parts(spark):
         total += r["w"]
 
 
-def test_plain_reading(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from rarefia.llm.common import plain_reading
-
-    spark.range(10).selectExpr("id", "id % 3 as k").write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    assert plain_reading(df) and plain_reading(df.select("k")) and plain_reading(df.withColumn("x", F.col("k") + 1))
-    for other in (df.repartition(2), df.where("k > 1"), df.orderBy("k"), df.union(df), df.distinct(), df.limit(3), df.join(df.select("k"), "k"), spark.range(3).toDF("k"), df.sample(0.5)):
-        assert not plain_reading(other)
+def test_row_ids_stay(spark, odd_docs, tmp_path):
+    """A row's id is the same in every reading, however the files are split, and whether the table is files or made."""
+    path = str(tmp_path / "a folder")
+    odd_docs.repartition(5).write.parquet(path)
+    for df in (spark.read.parquet(path), spark.read.parquet(path).where("lang is not null"), odd_docs):
+        rows, seen = with_row_id(df, "_id"), []
+        for parallel in (1, 4, 64):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallel)
+            try:
+                seen.append(sorted(str((r["_id"], r["doc_id"], r["text"])) for r in rows.collect()))
+            finally:
+                spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        assert seen[0] == seen[1] == seen[2] and len({r["_id"] for r in rows.collect()}) == df.count()
+    assert with_row_id(spark.read.parquet(path), "_id").inputFiles() and read_of_files(spark.read.parquet(path))
+    assert not read_of_files(spark.read.parquet(path).limit(3)) and not read_of_files(odd_docs) and not read_of_files(spark.read.parquet(path).select(F.lit(1).alias("_metadata")))
+
+
+def test_other_parallelism_at_the_action(spark, odd_docs, tmp_path):
+    """Results don't change when tasks are cut otherwise between an operator's own jobs and the reading of its result."""
+    path = str(tmp_path / "docs")
+    odd_docs.repartition(8).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for f in (quality.filter_quality, line_dedup.dedup_lines, mixing.mix_sources):
+        found = []
+        for first, then in ((1, 64), (64, 4)):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", first)
+            try:
+                out = f(docs)
+                spark.conf.set("spark.sql.leafNodeDefaultParallelism", then)
+                found.append(counted(out.collect()))
+            finally:
+                spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        assert found[0] == found[1] and sum(found[0].values()) > 5
+
+
+def test_two_runs_at_once(spark, odd_docs):
+    """Scopes of threads know nothing of each other; one that raises leaves nothing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    want = counted(line_dedup.dedup_lines(odd_docs).collect())
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(lambda _: counted(line_dedup.dedup_lines(odd_docs).collect()), range(2)))
+    assert found == [want] * 2
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as scope:
+        written(spark.range(3))
+        assert os.path.exists(scope.folder.removeprefix("file:"))
+        raise ZeroDivisionError
+    assert not os.path.exists(scope.folder.removeprefix("file:"))
 
 
 def test_components(spark):

@@ -2,6 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 from rarefia.llm import bpe, jaccard, line_dedup, mixing, quality
+from rarefia.llm.common import Scratch, folders
 
 
 def test_stages(spark, odd_docs, no_docs, tables):
@@ -18,19 +19,25 @@ def test_stages(spark, odd_docs, no_docs, tables):
 
 
 def test_nothing_is_left(spark, odd_docs, tables):
-    """After a run only the files that its result reads are left of what the stages wrote, and no table in the catalog."""
+    """After a run only what its result reads is left of what the stages wrote, and no table in the catalog."""
     import os
 
-    from rarefia.llm.common import folders, recorded
-
     folder = tables(documents=odd_docs)
     corpus_pipeline.run(spark, folder).collect()
-    with recorded(spark) as names:
+    with Scratch(spark) as scope:
         out = corpus_pipeline.run(spark, folder)
-    ours = {n.rsplit("/", 1)[1] for n in [*names, *spark.sparkContext._rarefia_stages]}
-    root = spark.sparkContext._rarefia_folder if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
-    left = {n for n in ours if os.path.exists(f"{root}/{n}")}
+    holds = {d.rsplit("/", 1)[1] for d, _, names in os.walk(scope.folder.removeprefix("file:")) if any(n.endswith(".parquet") for n in names)}
     used = {f.rsplit("/", 1)[1] for f in folders(out)}
-    assert left <= used | {n.rsplit("/", 1)[1] for n in spark.sparkContext._rarefia_stages} and used & left
+    assert holds == used and len(used) <= 2
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("rarefia")]
     assert out.count() > 5
+    scope.close()
+    assert not os.path.exists(scope.folder.removeprefix("file:"))
+
+
+def test_stages_share_no_state(spark, odd_docs):
+    """A stage that was called for another table meanwhile leaves the first result whole."""
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        want = Counter(map(str, stage(spark, odd_docs, "").collect()))
+        first, second = stage(spark, odd_docs, ""), stage(spark, odd_docs.where("doc_id < 20"), "")
+        assert Counter(map(str, first.collect())) == want and second.count() <= sum(want.values())
