@@ -6,8 +6,8 @@ copies in line dedup, are one group in the join (which keeps the least doc_id, n
 mix; very long texts are worked on whole; extra columns are kept by all stages but the last, whatever their names; an
 empty table passes through as an empty table. The other results of each stage are those of its operator.
 
-What a stage writes on its way is removed when the next one begins, as its result has been written by then. What the next
-stage's ``docs`` reads is kept in any case.
+A stage removes what it wrote on its way before it returns, but for the tables that its result reads: those of row numbers and,
+after the join, of the rows themselves. ``run`` removes these, too, when the stage's result has been written. Stages share no state.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 
 from rarefia.llm.bpe import code_digests
-from rarefia.llm.common import discard, discard_path, folders, recorded, table, written
+from rarefia.llm.common import Scratch, discard, table, written
 from rarefia.llm.jaccard import keep_one_of_each
 from rarefia.llm.line_dedup import dedup_lines
 from rarefia.llm.mixing import mix_sources
@@ -50,31 +50,25 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return code_digests(docs)
 
 
-def _tidy(stage):
-    """The stage, after the tables that earlier stages wrote on their way have been removed."""
+def _scoped(stage):
+    """The stage in a scope of its own: what its result doesn't read is removed when it returns."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        context = spark.sparkContext
-        used = {f.rsplit("/", 1)[1] for f in folders(docs)}
-        left = getattr(context, "_rarefia_stages", [])
-        for folder in left:
-            if folder.rsplit("/", 1)[1] not in used:
-                discard_path(spark, folder)
-        with recorded(spark) as names:
+        with Scratch(spark) as scope:
             out = stage(spark, docs, sf_dir)
-        context._rarefia_stages = [f for f in left if f.rsplit("/", 1)[1] in used] + names
+            scope.keep(out)
         return out
 
     return run_stage
 
 
 STAGES = [
-    ("quality rules", _tidy(quality_rules)),
-    ("line dedup", _tidy(line_dedup)),
-    ("n-gram Jaccard join", _tidy(ngram_jaccard_join)),
-    ("mixing sources", _tidy(mix_to_weights)),
-    ("byte-level BPE", _tidy(byte_bpe)),
+    ("quality rules", _scoped(quality_rules)),
+    ("line dedup", _scoped(line_dedup)),
+    ("n-gram Jaccard join", _scoped(ngram_jaccard_join)),
+    ("mixing sources", _scoped(mix_to_weights)),
+    ("byte-level BPE", _scoped(byte_bpe)),
 ]
 
 #: SQL can express neither the join at this size nor BPE.
@@ -82,11 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. A stage's input is removed when its result has been written."""
+    """All stages over ``documents``. A stage's tables and its input are removed when its result has been written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs, before = written(stage(spark, docs, sf_dir)), docs
-        if i:
-            discard(before)
-        gc.collect()  # plans that Python no longer holds: Spark's cleaner then removes their shuffle files
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark):
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            with Scratch(spark) as scope:
+                out = stage(spark, docs, sf_dir)
+            docs, before = written(out), docs
+            scope.close()
+            if i:
+                discard(before)
+            gc.collect()  # plans that Python no longer holds: Spark's cleaner then removes their shuffle files
+        return STAGES[-1][1](spark, docs, sf_dir)
