@@ -37,8 +37,8 @@ from .components import connected_components
 WORDS, PERCENT, SHARED, ROWS, BANDS = 5, 75, 3, 2, 4
 #: Shingles counted together for the frequent ones, the count from which one is frequent there, and the longest table.
 WINDOW, FREQUENT, MOST_FREQUENT = 2_000_000, 4, 1_000_000
-#: Checks against one text or block that share a task's stream, and shingles in a block of a group.
-STREAM, BLOCK = 1_000, 200_000
+#: Checks against one text or block that share a task's stream, and shingles and sets in a block of a group.
+STREAM, BLOCK, MEMBERS = 1_000, 200_000, 500
 #: The count from which a frequent shingle's rows aren't brought together to see whether it repeats.
 HOT = 1_000
 MEMO = 1_000_000
@@ -244,7 +244,7 @@ def group_table(nodes: DataFrame) -> DataFrame:
     """(grp, least_n, most_n, members, blocks, main): what is known of a group as a whole; ``main`` is its leader's component.
     Written, so that joins with it can split a group with very many members."""
     wide = F.when(F.col("n") > 1, F.col("n"))
-    sums = nodes.groupBy("grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count("*").alias("members"), F.ceil(F.sum(wide) / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("row") == F.col("grp"), F.col("comp"))).alias("main"))
+    sums = nodes.groupBy("grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count("*").alias("members"), F.ceil(F.greatest(F.sum(wide) / BLOCK, F.count(wide) / MEMBERS)).cast("int").alias("blocks"), F.max(F.when(F.col("row") == F.col("grp"), F.col("comp"))).alias("main"))
     return written(sums)
 
 
@@ -276,7 +276,7 @@ def opened_groups(tokens: DataFrame, nodes: DataFrame, groups: DataFrame) -> Dat
 
 def links_in_groups(opened: DataFrame, nodes: DataFrame, groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): for each opened group and component in it, a link of a to it where there is one. A group is dealt out in blocks
-    of about ``BLOCK`` shingles; the members of a block come first and give its token union, then come the nodes that ask. A
+    of about ``BLOCK`` shingles and ``MEMBERS`` sets at most; the members of a block come first and give its token union, then come the nodes that ask. A
     block is opened to a node only if the overlap with its union allows a link."""
     asked = written(opened.groupBy("grp").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams")))
     shape = written(groups.where("blocks > 0").select("grp", "blocks").join(asked, "grp"))
