@@ -21,15 +21,22 @@ from rarefia.plans import Diversity, views  # noqa: E402
 
 
 def cases(spark: SparkSession, sf_dir: str) -> dict:
-    out = {"counts_line": lambda: ops.allele_counts(views.line(spark, sf_dir))}
+    """Each case makes a result and what to do when it has been read: an analysis removes its tables."""
+    out = {"counts_line": lambda: (ops.allele_counts(views.line(spark, sf_dir)), lambda: None)}
     for g in (8, 32):
-        make = lambda view, g=g: Diversity(view(spark, sf_dir), g)
-        out[f"richness_line_g{g}"] = lambda make=make: make(views.line).richness()
-        out[f"private_line_g{g}"] = lambda make=make: make(views.line).private()
-        out[f"comb2_line_g{g}"] = lambda make=make: make(views.line).combinations(2)
-        out[f"richness_part_g{g}"] = lambda make=make: make(views.part).richness()
-        out[f"private_part_g{g}"] = lambda make=make: make(views.part).private()
-        out[f"comb3_part_g{g}"] = lambda make=make: make(views.part).combinations(3)
+        def case(view, result, g=g):
+            def make():
+                d = Diversity(view(spark, sf_dir), g)
+                return result(d), d.close
+
+            return make
+
+        out[f"richness_line_g{g}"] = case(views.line, Diversity.richness)
+        out[f"private_line_g{g}"] = case(views.line, Diversity.private)
+        out[f"comb2_line_g{g}"] = case(views.line, lambda d: d.combinations(2))
+        out[f"richness_part_g{g}"] = case(views.part, Diversity.richness)
+        out[f"private_part_g{g}"] = case(views.part, Diversity.private)
+        out[f"comb3_part_g{g}"] = case(views.part, lambda d: d.combinations(3))
     return out
 
 
@@ -45,8 +52,10 @@ def main() -> None:
         times = []
         for _ in range(4):
             began = time.perf_counter()
-            make().write.format("noop").mode("overwrite").save()
+            df, done = make()
+            df.write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
+            done()
         seconds[name] = round(median(times[1:]), 3)
     spark.stop()
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")

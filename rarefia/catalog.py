@@ -55,19 +55,12 @@ def diversity(view, **options):
 
 
 def _every_k(d: Diversity) -> DataFrame:
-    out = None
-    for k in range(1, len(d.pops) + 1):
-        one = named(d.combinations(k)).withColumn("k", F.lit(k).cast("long"))
-        out = one if out is None else out.union(one)
-    return rounded(out)
+    return rounded(named(d.every_combination(range(1, len(d.pops) + 1))))
 
 
 def _identity(d: Diversity) -> DataFrame:
     """A population's richness against the sum of the private richness of all combinations that hold it."""
-    parts = None
-    for k in range(1, len(d.pops) + 1):
-        one = d.combinations(k).select(F.explode("combo").alias("pop"), "g", "mean")
-        parts = one if parts is None else parts.union(one)
+    parts = d.every_combination(range(1, len(d.pops) + 1), zeros=False).select(F.explode("combo").alias("pop"), "g", "mean")
     total = parts.groupBy("pop", "g").agg(F.sum("mean").alias("total"))
     both = d.richness().select("pop", "g", "mean").join(total, ["pop", "g"])
     return both.select("pop", "g", (F.abs(F.col("mean") - F.col("total")) < 1e-6).alias("equal"))
@@ -83,6 +76,10 @@ def _q_rows(calls: DataFrame) -> DataFrame:
     return sized.select("locus", "allele", "pop", "g", F.round(F.get("q", F.col("g")), 6).alias("q"))
 
 
+def _grid(spark, pops: list[str]) -> DataFrame:
+    return named(ops.combination_grid(spark, pops, 2, G).withColumn("combo", ops.named("combo", pops)))
+
+
 def _wide(spark, sf_dir: str) -> DataFrame:
     d = diversity(views.part)(spark, sf_dir)
     loci = ["p_brand", "p_size", "p_word"]
@@ -100,6 +97,7 @@ def queries() -> dict:
         "distinct_alleles": lambda s, d: ops.distinct_alleles(views.miss(s, d)),
         "missingness": lambda s, d: rounded(ops.missingness(views.miss(s, d))),
         "bad_loci": lambda s, d: kept(s, d).deleted_loci(),
+        "loci_at_tolerance": lambda s, d: diversity(views.equal, tolerance=0.3)(s, d).calls.groupBy("locus", "pop").agg(F.count("allele").alias("present"), F.count_if(F.col("allele").isNull()).alias("missing")),
         "calls_filtered": lambda s, d: kept(s, d).calls.groupBy("pop", "locus").agg(F.count("*").alias("calls"), F.count("allele").alias("present")),
         "allele_counts": lambda s, d: ops.allele_counts(views.miss(s, d)),
         "allele_counts_dense": lambda s, d: ops.dense_counts(calls(s, d), part(s, d).pops),
@@ -117,12 +115,13 @@ def queries() -> dict:
         "private_line": lambda s, d: rounded(line(s, d).private()),
         "private_supp": lambda s, d: rounded(supp(s, d).private()),
         "private_filtered": lambda s, d: rounded(kept(s, d).private()),
-        "pop_combinations": lambda s, d: named(ops.combination_grid(s, part(s, d).pops, 2, G)),
+        "pop_combinations": lambda s, d: _grid(s, part(s, d).pops),
         "comb2_locus": lambda s, d: rounded(named(part(s, d).combinations_by_locus(2))),
         "comb2": lambda s, d: rounded(named(part(s, d).combinations(2))),
         "comb3_line": lambda s, d: rounded(named(line(s, d).combinations(3))),
         "comb_all_k": lambda s, d: _every_k(part(s, d)),
-        "stats_mean_var_se": lambda s, d: rounded(ops.summary(part(s, d).richness_by_locus(), ["pop"])),
+        # over the populations of each locus, so that other values meet than in richness
+        "stats_mean_var_se": lambda s, d: rounded(ops.summary(event(s, d).richness_by_locus(), ["locus"])),
         "subset_sum_identity": lambda s, d: _identity(part(s, d)),
     }
 
@@ -145,6 +144,9 @@ def oracles() -> dict:
         "distinct_alleles": f"select locus, count(distinct allele) as alleles from ({miss}) group by locus",
         "missingness": f"select locus, pop, round(avg((allele is null)::int), 6) as missing_fraction from ({miss}) group by all",
         "bad_loci": bad,
+        # whole numbers, so that 3 of 10 isn't above 0.3
+        "loci_at_tolerance": f"""with c as ({views.EQUAL_SQL}), f as (select locus, pop, count(allele) as present, count(*) - count(allele) as missing from c group by all)
+          select locus, pop, present, missing from f where locus not in (select locus from f where 10 * missing > 3 * (present + missing))""",
         "calls_filtered": f"select pop, locus, count(*) as calls, count(allele) as present from ({kept}) group by all",
         "allele_counts": f"select locus, allele, pop, count(*) as n from ({miss}) where allele is not null group by all",
         "allele_counts_dense": head(part, ks="none") + "select locus, allele, pop, n from d",
@@ -168,7 +170,7 @@ def oracles() -> dict:
         "comb2": head(part, ks="c.k = 2") + combos,
         "comb3_line": head(line, ks="c.k = 3") + combos,
         "comb_all_k": head(part) + f"select combo, k::bigint as k, g, {STATS} from cl group by combo, k, g",
-        "stats_mean_var_se": rich(part),
+        "stats_mean_var_se": head(event, ks="none") + f"select locus, g, {STATS} from rl group by locus, g",
         "subset_sum_identity": head(part) + """select r.pop, r.g, abs(r.m - s.m) < 1e-6 as equal from (select pop, g, avg(v) as m from rl group by all) r
           join (select pop, g, sum(m) as m from (select ps.pop, x.g, x.m from (select c.mask, cl.g, avg(v) as m from cl join c on c.combo = cl.combo group by all) x join ps on (x.mask >> ps.pi) & 1 = 1) group by all) s
           on r.pop = s.pop and r.g = s.g""",

@@ -59,7 +59,7 @@ def run(spark: SparkSession, params: Params) -> list[str]:
         phase("filtering")
         if params.TNC:
             summary()
-            d.discard()
+            d.close()
             return written
         loci = [x for x in loci if x not in gone]
     single = [[p] for p in order]
@@ -79,7 +79,7 @@ def run(spark: SparkSession, params: Params) -> list[str]:
             write(sinks.suffixed(params.C_OUT, k, "fulldata"), sinks.full_rows(groups, loci, rows, k))
         phase(f"combinations of {k}")
     summary()
-    d.discard()
+    d.close()
     return written
 
 

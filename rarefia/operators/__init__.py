@@ -7,23 +7,32 @@ in a product, so only the populations that have an allele are carried, and zeros
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import absent_by_size, mean_with_zeros, variance_with_zeros
+from ..functions import CHUNK, absent_by_size, mean_with_zeros, variance_with_zeros
 
 
 # --- quality ---
 
 
 def missingness(calls: DataFrame) -> DataFrame:
-    """(locus, pop, missing_fraction)."""
-    return calls.groupBy("locus", "pop").agg(F.avg(F.col("allele").isNull().cast("double")).alias("missing_fraction"))
+    """(locus, pop, missing_fraction): missing calls by all calls, one division of two whole numbers."""
+    missing = F.count_if(F.col("allele").isNull())
+    return calls.groupBy("locus", "pop").agg((missing / F.count("*")).alias("missing_fraction"))
+
+
+def above_tolerance(sizes: DataFrame, tolerance: float) -> DataFrame:
+    """(locus) of rows (locus, pop, nj, calls) with a missing fraction above ``tolerance``; one that equals it stays. The fraction is
+    the same division as in ``missingness``, so 3 of 10 is the number that 0.3 is."""
+    return sizes.where((F.col("calls") - F.col("nj")) / F.col("calls") > tolerance).select("locus").distinct()
 
 
 def bad_loci(calls: DataFrame, tolerance: float) -> DataFrame:
     """(locus) of those with a missing fraction above ``tolerance`` in any population; none at tolerance 1."""
-    return missingness(calls).where(F.col("missing_fraction") > tolerance).select("locus").distinct()
+    return above_tolerance(calls.groupBy("locus", "pop").agg(F.count("allele").alias("nj"), F.count("*").alias("calls")), tolerance)
 
 
 def drop_loci(calls: DataFrame, loci: DataFrame) -> DataFrame:
@@ -95,45 +104,153 @@ def by_g(df: DataFrame, most) -> DataFrame:
     return df.where(top >= 2).withColumn("g", F.explode(F.sequence(F.lit(2), top.cast("int"))))
 
 
-def richness_by_locus(q: DataFrame, least: DataFrame, max_g: int) -> DataFrame:
+def spectrum(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(locus, pop, n, nj, alleles): how many alleles of a population have ``n`` of its ``nj`` calls. The chance to miss an allele
+    depends on these two alone, so it is computed for each such row and not for each allele."""
+    return counts.groupBy("locus", "pop", "n").agg(F.count("*").alias("alleles")).join(sizes, ["locus", "pop"])
+
+
+def richness_by_locus(spectra: DataFrame, least: DataFrame, max_g: int) -> DataFrame:
     """(pop, g, locus, value) for every g up to the population's own smallest sample."""
-    sized = by_g(q.join(least, "pop"), F.least(F.col("least"), F.lit(max_g)))
-    return sized.groupBy("pop", "g", "locus").agg(F.sum(1 - F.get("q", F.col("g"))).alias("value"))
+    sized = spectra.join(least, "pop").withColumn("q", absent_by_size(F.col("n"), F.col("nj"), max_g))
+    sized = by_g(sized, F.least(F.col("least"), F.lit(max_g)))
+    return sized.groupBy("pop", "g", "locus").agg(F.sum(F.col("alleles") * (1 - F.get("q", F.col("g")))).alias("value"))
 
 
 def names(pops: list[str]) -> Column:
     return F.array(*[F.lit(p) for p in pops]).cast("array<string>")
 
 
-def choose(df: DataFrame, k: int) -> DataFrame:
-    """A row for every choice of ``k`` elements of the array ``held``, with their places ``at`` in ascending order."""
-    df = df.where(F.size("held") >= k).withColumn("at", F.array().cast("array<int>"))
-    for i in range(k):
-        after = F.coalesce(F.element_at("at", -1) + 1, F.lit(0)) if i else F.lit(0)
-        last = F.size("held") - (k - i)
-        df = df.where(after <= last).withColumn("_n", F.explode(F.sequence(after, last))).withColumn("at", F.array_append("at", F.col("_n"))).drop("_n")
-    return df
+def allele_classes(counts: DataFrame, sizes: DataFrame, pops: list[str]) -> DataFrame:
+    """(locus, held, alleles): ``held`` has the places in ``pops`` of the populations that have an allele, ascending, with its counts and
+    their sample sizes; alleles of a locus that agree in all of these are one row."""
+    place = counts.sparkSession.createDataFrame(list(enumerate(pops)), "i int, pop string")  # a row per population; Spark broadcasts it if it is small
+    all_ = counts.join(sizes, ["locus", "pop"]).join(place, "pop")
+    held = all_.groupBy("locus", "allele").agg(F.sort_array(F.collect_list(F.struct("i", "n", "nj"))).alias("held"))
+    # dealt out to as many tasks as shuffles have, however few bytes these are: each row is much work for what follows
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held.repartition(tasks, "locus", "held").groupBy("locus", "held").agg(F.count("*").alias("alleles"))
+
+
+def _times(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is made once. Without it the optimizer may write what makes an array into the function that reads it,
+    once for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def products_before(factors: Column, first: Column) -> Column:
+    """For an array of arrays the array of ``first`` times the product of all before each place and, last, of all. Products are
+    appended to a chunk and chunks to a list, so that what is copied grows with the places times the chunk's length."""
+
+    def more(a: Column, f: Column) -> Column:
+        return F.array_append(a, _times(F.element_at(a, -1), f))
+
+    def chunk(done: Column, c: Column) -> Column:
+        last = F.element_at(F.element_at(done, -1), -1)
+        return F.array_append(done, F.slice(F.aggregate(F.slice(factors, c * CHUNK + 1, CHUNK), F.array(last), more), 2, CHUNK))
+
+    chunks = F.filter(F.sequence(F.lit(0), F.floor(F.size(factors) / CHUNK).cast("int")), lambda c: c * CHUNK < F.size(factors))
+    return F.flatten(F.aggregate(chunks, F.array(F.array(first)), chunk))
+
+
+def _extended(level: int, ks: list[int], wanted: int):
+    """The subsets with one later holder more: closed if their size is wanted, open if larger ones are."""
+
+    def subsets(h: Column) -> Column:
+        # a later place must leave room for as many holders as the smallest wanted size still needs
+        later = F.slice(h["q"], h["last"] + 2, F.greatest(F.size(h["who"]) - (wanted - level) - h["last"] - 1, F.lit(0)))
+
+        def with_one(x: Column, i: Column) -> Column:
+            j = h["last"] + 1 + i
+            combo, w = F.array_append(h["combo"], F.get(h["who"], j)), _times(x["passed"], F.transform(x["q"], lambda v: 1 - v))
+            made = []
+            if level in ks:
+                made.append(F.struct(combo.alias("combo"), j.alias("last"), _times(w, F.get(h["after"], j + 1)).alias("w"), F.lit(True).alias("closed")))
+            if level < max(ks):
+                made.append(F.struct(combo.alias("combo"), j.alias("last"), w.alias("w"), F.lit(False).alias("closed")))
+            return F.array(*made)
 
+        pairs = lambda q: F.zip_with(F.slice(products_before(q, h["w"]), 1, F.size(q)), q, lambda p, f: F.struct(p.alias("passed"), f.alias("q")))
+        return F.flatten(F.transform(_bound(later, pairs), with_one))
 
-def chosen() -> Column:
-    """The elements at the chosen places."""
-    return F.transform("at", lambda i: F.get("held", i))
+    return subsets
 
 
-def private_terms(q: DataFrame, k: int, most: int) -> DataFrame:
-    """(combo, g, locus, value): the positive parts of private richness of combinations of ``k`` populations.
+def subset_terms(classes: DataFrame, ks: list[int], most: int) -> DataFrame:
+    """(combo, g, locus, value): the positive parts of private richness of combinations of ``k`` populations for all ``ks`` at once.
 
-    Per allele the populations that have it are gathered (as many as there are populations); its combinations are those
-    of these populations alone, all others would add 0. The products are arrays over all sample sizes.
+    Only subsets of an allele's holders have positive parts. They are made in one traversal, a level per size: a subset carries the
+    product w of its members' chances to be seen and of the passed holders' chances to be missed, by sample size. It is extended by
+    every later holder in a single pass that goes on multiplying what is passed, and closed with the product of the chances to
+    miss all holders after its last, which is known for every place. So a subset costs a few multiplications per sample size, however many
+    holders there are, and nothing is divided (chances may be 0). For k = 1 this is the product of all before and all after.
+    ``combo`` has the places of the populations, ascending.
     """
-    sizes = F.slice("q", 3, max(most - 1, 0)).alias("q")  # from 2
-    held = q.groupBy("locus", "allele").agg(F.sort_array(F.collect_list(F.struct("pop", sizes))).alias("held"))
-    factors = F.transform("held", lambda x, i: F.when(F.array_contains("at", i), F.transform(x["q"], lambda v: 1 - v)).otherwise(x["q"]))
-    products = F.aggregate(factors, F.array_repeat(F.lit(1.0), max(most - 1, 0)), lambda a, f: F.zip_with(a, f, lambda x, y: x * y))
-    terms = choose(held, k).select(F.transform(chosen(), lambda x: x["pop"]).alias("combo"), "locus", F.posexplode(products).alias("g", "x"))
+    width, deepest = max(most - 1, 0), max(ks)
+    misses = F.transform("held", lambda h: F.slice(absent_by_size(h["n"], h["nj"], most), 3, width))  # from 2
+    ones = F.array_repeat(F.lit(1.0), width)
+    df = classes.where(F.size("held") >= min(ks)).select("locus", "alleles", F.transform("held", lambda h: h["i"]).alias("who"), misses.alias("q"))
+    # after[i]: the product over all holders from the i-th on; the last is of none
+    after = F.reverse(_bound(F.reverse("q"), lambda q: products_before(q, ones)))
+    df = df.select("locus", "who", "q", after.alias("after"), F.array().cast("array<int>").alias("combo"), F.lit(-1).alias("last"), F.transform(ones, lambda x: x * F.col("alleles")).alias("w"), F.lit(False).alias("closed"))
+    for level in range(1, deepest + 1):
+        wanted = min(k for k in ks if k >= level)
+        grown = _bound(F.struct("who", "q", "after", "combo", "last", "w"), _extended(level, ks, wanted))
+        kept = F.array(F.struct("combo", "last", "w", "closed"))
+        df = df.withColumn("next", F.explode(grown if level == 1 else F.when(F.col("closed"), kept).otherwise(grown)))
+        if level < deepest:  # closed subsets drop what only extensions read
+            still = lambda c: F.when(~F.col("next.closed"), F.col(c)).alias(c)
+            df = df.select("locus", still("who"), still("q"), still("after"), "next.*")
+    terms = df.select("locus", "next.combo", F.posexplode("next.w").alias("g", "x"))
     return terms.groupBy("combo", (F.col("g") + 2).alias("g"), "locus").agg(F.sum("x").alias("value"))
 
 
+# --- combinations by number ---
+
+
+def binomial(n: Column, k: int) -> Column:
+    """C(n, k) as a long; 0 where n < k. Every step of the product is a whole number."""
+    steps = F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))
+    full = F.aggregate(steps, F.lit(1).cast("long"), lambda a, i: F.call_function("div", a * (n - k + i), i)) if k else F.lit(1).cast("long")
+    return F.when(n < k, F.lit(0).cast("long")).otherwise(full)
+
+
+def unranked(rank: Column, among: int, k: int) -> Column:
+    """The ``rank``-th combination of ``k`` of the numbers below ``among``, in lexicographic order from 0, as an ascending array.
+
+    Counted from the last combination, rank is a sum of binomials C(c, k) + C(c', k - 1) + ... with descending c; each c is
+    found by binary search, and stands for the number among - 1 - c.
+    """
+    total = comb(among, k)
+    if total * max(among, 1) >= 2**63:
+        raise ValueError(f"too many combinations of {k} of {among} to number")
+    state = F.struct(F.array().cast("array<int>").alias("out"), (F.lit(total - 1).cast("long") - rank).alias("left"))
+    for t in range(k, 0, -1):
+        # held in an array of one, so that each search is written once in the expression
+        state = F.get(F.transform(F.array(state), _next_number(among, t)), F.lit(0))
+    return state["out"]
+
+
+def _next_number(among: int, t: int):
+    """The step of ``unranked`` that finds the number with ``t - 1`` more to come."""
+
+    def found(state: Column) -> Column:
+        def half(a: Column, _: Column) -> Column:
+            mid = F.shiftright(a["lo"] + a["hi"] + 1, 1)
+            fits = binomial(mid, t) <= state["left"]
+            return F.struct(F.when(fits, mid).otherwise(a["lo"]).alias("lo"), F.when(fits, a["hi"]).otherwise(mid - 1).alias("hi"))
+
+        ends = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(among - 1).cast("long").alias("hi"))
+        c = F.aggregate(F.sequence(F.lit(0), F.lit(among.bit_length())), ends, half, lambda a: a["lo"])
+        return F.get(F.transform(F.array(c), lambda c: F.struct(F.array_append(state["out"], (F.lit(among - 1) - c).cast("int")).alias("out"), (state["left"] - binomial(c, t)).alias("left"))), F.lit(0))
+
+    return found
+
+
 # --- statistics over loci ---
 
 
@@ -143,19 +260,33 @@ def summary(values: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("std_err", F.sqrt(F.col("var") / F.col("num_loci")))
 
 
-def summary_with_zeros(terms: DataFrame, grid: DataFrame, loci: int) -> DataFrame:
-    """The same over ``loci`` loci where loci without a row are 0, for every (combo, g) of the grid."""
+def summary_of_terms(terms: DataFrame, loci: int) -> DataFrame:
+    """The same over ``loci`` loci where loci without a row are 0, for every (combo, g) that has a row; all others have mean and variance 0."""
     some = terms.groupBy("combo", "g").agg(F.sum("value").alias("s"), F.count("*").cast("double").alias("c"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("*")).alias("m2"))
-    out = grid.join(some, ["combo", "g"], "left").select(
-        "combo", "g", F.lit(loci).cast("long").alias("num_loci"), mean_with_zeros(F.col("s"), loci).alias("mean"),
-        variance_with_zeros(F.col("c"), F.col("m"), F.col("m2"), loci).alias("var"),
-    )
-    return out.withColumn("std_err", F.sqrt(F.col("var") / F.lit(float(loci))))
+    mean, var = mean_with_zeros(F.col("s"), loci), variance_with_zeros(F.col("c"), F.col("m"), F.col("m2"), loci)
+    return some.select("combo", "g", F.lit(loci).cast("long").alias("num_loci"), mean.alias("mean"), var.alias("var"), F.sqrt(var / F.lit(float(loci))).alias("std_err"))
+
+
+def with_zeros(stats: DataFrame, grid: DataFrame, loci: int) -> DataFrame:
+    """The statistics with a row for every (combo, g) of the grid."""
+    zero = F.lit(0.0 if loci > 1 else None).cast("double")
+    found = grid.join(stats, ["combo", "g"], "left")
+    none = F.col("num_loci").isNull()
+    fill = lambda c, v: F.when(none, v).otherwise(F.col(c)).alias(c)
+    return found.select("combo", "g", fill("num_loci", F.lit(loci).cast("long")), fill("mean", F.lit(0.0)), fill("var", zero), fill("std_err", zero))
 
 
 def combination_grid(spark, pops: list[str], k: int, most: int) -> DataFrame:
-    """(combo, g) of every combination of ``k`` populations; these are the rows of the result. Spark makes them from the names."""
-    return by_g(choose(spark.range(1).select(names(pops).alias("held")), k).select(chosen().alias("combo")), most)
+    """(combo, g) of every combination of ``k`` populations by their places; these are the rows of the result. Every task makes the
+    combinations of a range of numbers."""
+    total = comb(len(pops), k)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism * 4, total // 1_000))
+    return by_g(spark.range(0, total, 1, tasks).select(unranked(F.col("id"), len(pops), k).alias("combo")), most)
+
+
+def named(combo: Column | str, pops: list[str]) -> Column:
+    """Places as names."""
+    return F.transform(combo, lambda i: F.get(names(pops), i))
 
 
 def full_wide(values: DataFrame, by: list[str], loci: list[str], stats: DataFrame) -> DataFrame:

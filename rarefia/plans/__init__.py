@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import operators as ops
-from ..scratch import discard, written
+from ..scratch import Scratch, written
 
 
 class Diversity:
@@ -16,25 +17,35 @@ class Diversity:
 
     ``order`` gives the populations' order (lexicographic if left out). Loci above ``tolerance`` are dropped first. The calls are
     read once: their counts by locus, population and allele (missing calls, too) are written to the shared folder, and
-    every result comes from that table; ``discard`` removes it. Only the populations, the number of loci and the smallest samples
+    every result comes from that table; ``close``, or leaving the object as a context, removes it. Only the populations, the number of loci and the smallest samples
     (a row per population) reach the driver before a result is computed. A call without a population belongs to none and is left out.
     """
 
     def __init__(self, calls: DataFrame, max_g: int, tolerance: float = 1.0, order: list[str] | None = None, compat: bool = False):
         self.all_calls = calls.where("pop is not null")
         self.max_g, self.tolerance, self.compat, self._order = max_g, tolerance, compat, order
+        self._scratch = Scratch(calls.sparkSession)
 
     @cached_property
     def _counted(self) -> DataFrame:
-        return written(ops.call_counts(self.all_calls))
+        with self._scratch:
+            return written(ops.call_counts(self.all_calls))
 
     @cached_property
     def _sized(self) -> DataFrame:
-        return written(ops.sizes_of_counts(self._counted))
+        counted = self._counted
+        with self._scratch:
+            return written(ops.sizes_of_counts(counted))
 
-    def discard(self) -> None:
-        """Remove the tables that the results read."""
-        discard(self._counted, self._sized)
+    def __enter__(self) -> Diversity:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove the tables that the results read; none can be computed any more. Without it they go when the session's JVM ends."""
+        self._scratch.close()
 
     def _kept(self, df: DataFrame) -> DataFrame:
         return df if self.tolerance >= 1 else ops.drop_loci(df, self.deleted_loci())
@@ -44,7 +55,7 @@ class Diversity:
         return self._kept(self.all_calls)
 
     def deleted_loci(self) -> DataFrame:
-        return self._sized.where(1 - F.col("nj") / F.col("calls") > self.tolerance).select("locus").distinct()
+        return ops.above_tolerance(self._sized, self.tolerance)
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -72,33 +83,50 @@ class Diversity:
         return min(self.max_g, min(self._least.values(), default=0))
 
     @cached_property
-    def q(self) -> DataFrame:
-        return ops.q_table(self.counts, self.sizes, self.max_g)
+    def spectrum(self) -> DataFrame:
+        return ops.spectrum(self.counts, self.sizes)
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        return ops.allele_classes(self.counts, self.sizes, self.pops)
 
     def richness_by_locus(self) -> DataFrame:
-        return ops.richness_by_locus(self.q, ops.least_sizes(self.sizes, self.loci), self.max_g)
+        return ops.richness_by_locus(self.spectrum, ops.least_sizes(self.sizes, self.loci), self.max_g)
 
     def richness(self) -> DataFrame:
         """pop, g, num_loci, mean, var, std_err."""
         return ops.summary(self.richness_by_locus(), ["pop"])
 
+    def _terms(self, ks: list[int]) -> DataFrame:
+        return ops.subset_terms(self.classes, ks, max(self.most_g, 1))
+
     def combinations_by_locus(self, k: int) -> DataFrame:
         """combo, g, locus, value for every combination, g and locus."""
-        loci = self.sizes.select("locus").distinct().withColumn("held", ops.names(self.pops))
-        each = ops.by_g(ops.choose(loci, k).select("locus", ops.chosen().alias("combo")), self.most_g)
-        terms = ops.private_terms(self.q, k, self.most_g)
-        terms = terms.withColumn("combo", self._ordered(F.col("combo")))
-        return each.join(terms, ["combo", "g", "locus"], "left").select("combo", "g", "locus", F.coalesce("value", F.lit(0.0)).alias("value"))
-
-    def combinations(self, k: int) -> DataFrame:
-        """combo, g, num_loci, mean, var, std_err for every combination of k populations."""
-        terms = ops.private_terms(self.q, k, max(self.most_g, 1))
-        out = ops.summary_with_zeros(terms.withColumn("combo", self._ordered(F.col("combo"))), self._grid(k), self.loci)
+        total, place = comb(len(self.pops), k), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(comb(len(self.pops), k), 1) - 1).cast("long")))
+        loci = self.sizes.select("locus").distinct().where(F.lit(total > 0)).select("locus", place.alias("rank"))
+        each = ops.by_g(loci.select("locus", ops.unranked(F.col("rank"), len(self.pops), k).alias("combo")), self.most_g)
+        found = each.join(self._terms([k]), ["combo", "g", "locus"], "left")
+        return found.select(self._names(), "g", "locus", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+    def every_combination(self, ks: list[int], zeros: bool = True) -> DataFrame:
+        """k, combo, g, num_loci, mean, var, std_err for every combination of each of ``ks`` populations, from one reading of the counts and one
+        traversal of each allele's holders. Without ``zeros`` only combinations with a part above 0 have rows, and C(J, k) rows are never
+        made: all others have mean, variance and standard error 0 (null for the latter two where there is one locus)."""
+        spark, ks = self.all_calls.sparkSession, sorted(set(ks))
+        out = ops.summary_of_terms(self._terms(ks), self.loci)
+        if zeros:
+            grid = reduce(DataFrame.union, [ops.combination_grid(spark, self.pops, k, self.most_g) for k in ks])
+            out = ops.with_zeros(out, grid, self.loci)
         if self.compat and self.most_g < 2 and self.loci:
             nan = F.lit(float("nan"))
-            grid = ops.combination_grid(self.all_calls.sparkSession, self.pops, k, 2)
-            out = out.union(grid.select("combo", "g", F.lit(self.loci).cast("long"), nan, nan, nan))
-        return out
+            for k in ks:
+                grid = ops.combination_grid(spark, self.pops, k, 2)
+                out = out.union(grid.select("combo", "g", F.lit(self.loci).cast("long"), nan, nan, nan))
+        return out.select(F.size("combo").cast("long").alias("k"), self._names(), *out.columns[1:])
+
+    def combinations(self, k: int, zeros: bool = True) -> DataFrame:
+        """combo, g, num_loci, mean, var, std_err for every combination of k populations."""
+        return self.every_combination([k], zeros).drop("k")
 
     def private_by_locus(self) -> DataFrame:
         return self.combinations_by_locus(1).select(F.col("combo")[0].alias("pop"), "g", "locus", "value")
@@ -107,11 +135,6 @@ class Diversity:
         out = self.combinations(1)
         return out.select(F.col("combo")[0].alias("pop"), *out.columns[1:])
 
-    def _grid(self, k: int) -> DataFrame:
-        return ops.combination_grid(self.all_calls.sparkSession, self.pops, k, self.most_g)
-
-    def _ordered(self, combo):
-        """A combination in the populations' order."""
-        if self._order is None:
-            return combo
-        return F.filter(ops.names(self.pops), lambda p: F.array_contains(combo, p))
+    def _names(self):
+        """A combination by names, in the populations' order."""
+        return ops.named("combo", self.pops).alias("combo")

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from ..sources import from_wide
 
 
+def equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Populations are the parts' keys by remainder; one locus misses 3 of 10 calls in each, the next 4 of 10, the last none."""
+    df = _read(spark, sf_dir, "part").withColumn("tenth", F.floor(F.col("p_partkey") / 4) % 10)
+    some = lambda n, c: F.when(F.col("tenth") >= n, F.col(c))
+    rows = df.select((F.col("p_partkey") % 4).alias("pop"), some(3, "p_brand").alias("three"), some(4, "p_brand").alias("four"), F.col("p_size").alias("none"))
+    return from_wide(rows, "pop", ["three", "four", "none"])
+
+
+EQUAL_SQL = """
+ select (p_partkey % 4)::varchar as pop, 'three' as locus, case when (p_partkey // 4) % 10 >= 3 then p_brand end as allele from part
+ union all select (p_partkey % 4)::varchar, 'four', case when (p_partkey // 4) % 10 >= 4 then p_brand end from part
+ union all select (p_partkey % 4)::varchar, 'none', p_size::varchar from part"""
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,11 +1,14 @@
 """The exact fixture of FIXTURES.md, its edges, and properties."""
 
+import random
 from fractions import Fraction as Q
 from itertools import combinations
+from math import comb
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rarefia import operators as ops
 from rarefia.params import Params
@@ -113,6 +116,87 @@ def test_counts_and_missing(spark):
     assert all(r["num_loci"] == 1 and r["var"] is None and r["std_err"] is None for r in one.richness().collect() + one.private().collect())
 
 
+def test_fractions_that_equal_the_tolerance(spark):
+    """A locus stays where its missing fraction m / n equals the tolerance, for every m / n up to n = 50, and goes where it's above."""
+    pairs = [(m, n) for n in range(1, 51) for m in range(n)]
+    sizes = spark.createDataFrame([(f"{m}/{n}", "A", n - m, n) for m, n in pairs], "locus string, pop string, nj long, calls long").cache()
+    for m, n in pairs[:: len(pairs) // 40] + [(3, 10), (1, 3), (2, 3), (3, 7), (0, 9)]:
+        gone = {r["locus"] for r in ops.above_tolerance(sizes, m / n).collect()}
+        assert gone == {f"{a}/{b}" for a, b in pairs if Q(a, b) > Q(m, n)}
+    calls = spark.createDataFrame([("A", "L1", None if i < 3 else "x") for i in range(10)], "pop string, locus string, allele string")
+    assert Diversity(calls, 4, 0.3).deleted_loci().count() == ops.bad_loci(calls, 0.3).count() == 0
+    assert Diversity(calls, 4, 0.29).deleted_loci().count() == ops.bad_loci(calls, 0.29).count() == 1
+    sizes.unpersist()
+
+
+def test_numbered_combinations(spark):
+    for among, k in ((1, 1), (6, 1), (7, 3), (6, 6), (30, 4), (40, 2), (5, 6)):
+        want = list(combinations(range(among), k))
+        got = [tuple(r["c"]) for r in spark.range(len(want)).select(ops.unranked(F.col("id"), among, k).alias("c")).collect()]
+        assert got == want
+    grid = ops.combination_grid(spark, [f"p{i}" for i in range(30)], 4, 8)
+    rows = grid.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) > 8 and max(r["count"] for r in rows) <= 1.01 * min(r["count"] for r in rows) and grid.count() == comb(30, 4) * 7
+    with pytest.raises(ValueError):
+        ops.unranked(F.col("id"), 10**6, 5)
+
+
+def test_one_row_for_alleles_alike(spark):
+    """The kernels get a row for each distinct count and each distinct vector of counts, not for each allele."""
+    rows = [(p, f"{x}{i}") for p, often in (("A", 2), ("B", 3)) for x in "st" for i in range(50) for _ in range(often)]
+    rows += [("C", "s0"), ("C", "s1"), ("C", "only"), ("C", "only"), ("C", "only")]
+    d = tiny(spark, rows)
+    assert d.counts.count() == 203
+    spectrum = {(r["pop"], r["n"], r["nj"], r["alleles"]) for r in d.spectrum.collect()}
+    assert spectrum == {("A", 2, 200, 100), ("B", 3, 300, 100), ("C", 1, 5, 2), ("C", 3, 5, 1)}
+    classes = {(tuple(map(tuple, r["held"])), r["alleles"]) for r in d.classes.collect()}
+    assert classes == {(((0, 2, 200), (1, 3, 300)), 98), (((0, 2, 200), (1, 3, 300), (2, 1, 5)), 2), (((2, 3, 5),), 1)}
+    rich, combo = exact(rows, 4)
+    check(rich, d.richness().collect(), lambda r: r["pop"])
+    check(combo, d.every_combination([1, 2, 3]).collect(), lambda r: tuple(r["combo"]))
+
+
+@pytest.mark.parametrize("ks", [[1], [1, 3], [2, 5], [4], [1, 2, 3, 4, 5, 6]])
+def test_many_sizes_in_one_traversal(spark, ks):
+    """Any set of sizes gives what each size gives, with populations that hold all calls of a locus (chances of 0), and none at all."""
+    rng = random.Random(4)
+    rows = [(p, *[rng.choice(["a", "b", "c", "d", "-9"] if p != "P5" else ["a"]) for _ in range(3)]) for p in ("P1", "P2", "P3", "P4", "P5", "P6") for _ in range(7)]
+    _, combo = exact(rows, 3)
+    want = {c: v for c, v in combo.items() if len(c[0]) in ks}
+    d = tiny(spark, rows, max_g=3)
+    got = d.every_combination(ks).collect()
+    check(want, got, lambda r: tuple(r["combo"]))
+    assert {(len(r["combo"]), r["k"]) for r in got} == {(k, k) for k in ks if want}
+    some = {(tuple(r["combo"]), r["g"]): r["mean"] for r in d.every_combination(ks, zeros=False).collect()}
+    assert all(r["mean"] == some.get((tuple(r["combo"]), r["g"]), 0) for r in got) and set(some) <= set(want)
+
+
+def test_products_of_many_holders(spark):
+    """More holders than a chunk of products has places."""
+    rows = [(f"p{i:03d}", a) for i in range(75) for a in ["x"] * (1 + i % 3) + ["y"] * 2 + [f"own{i}"]]
+    pops = sorted({r[0] for r in rows})
+    counts = {p: {a: sum(r == (p, a) for r in rows) for a in {r[1] for r in rows if r[0] == p}} for p in pops}
+    miss = lambda p, a, g: Q(comb(sum(counts[p].values()) - counts[p].get(a, 0), g), comb(sum(counts[p].values()), g))
+    got = {(r["pop"], r["g"]): r["value"] for r in tiny(spark, rows, max_g=3).private_by_locus().collect()}
+    for p in pops[::9]:
+        for g in (2, 3):
+            want = Q(0)
+            for a in counts[p]:
+                term = 1 - miss(p, a, g)
+                for o in pops:
+                    term *= miss(o, a, g) if o != p else 1
+                want += term
+            assert got[p, g] == pytest.approx(float(want), rel=1e-12)
+
+
+def test_tables_go_with_the_analysis(spark):
+    import os
+
+    with tiny(spark) as d:
+        assert d.richness().count() and any(files for _, _, files in os.walk(d._scratch.folder.removeprefix("file:")))
+    assert not os.path.exists(d._scratch.folder.removeprefix("file:"))
+
+
 def test_text_source(spark, tmp_path):
     path = tmp_path / "data.txt"
     path.write_text(TINY.replace("B 2 x\nA 2 x", "B 2 x\n\n  A\t2   x"))
@@ -176,7 +260,7 @@ def test_one_scan(spark, tmp_path):
             plan = out._jdf.queryExecution().executedPlan().toString()
             assert plan.count("Exchange hashpartitioning") <= (6 if tolerance == 1 else 10) and "Python" not in plan and "Cartesian" not in plan
         assert d._counted.count() and not d._counted.where("n < 1").count()
-        d.discard()
+        d.close()
 
 
 def test_names_of_columns(spark):
