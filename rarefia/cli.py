@@ -5,14 +5,18 @@ from __future__ import annotations
 import sys
 import time
 from itertools import combinations
+from math import comb
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sinks
 from .operators import full_wide
 from .params import ParameterError, Params, echo, load, parse_k_range, template
 from .plans import Diversity
+from .scratch import Scratch
+from .scratch import written as written_table
 from .sources import DataFileError, read_structure_text
 
 
@@ -29,8 +33,24 @@ def _full(values: DataFrame, stats: DataFrame, group: str, loci: list[str]) -> d
     return _by_group(full_wide(values, [group], loci, stats), group)
 
 
+#: Rows of combinations that a text result has at most: they pass through the driver.
+MOST_ROWS = 5_000_000
+
+
 def run(spark: SparkSession, params: Params) -> list[str]:
-    """Run one analysis and return the files written."""
+    """Run one analysis and return the files written. What it writes on its way is removed at its end, whichever that is.
+
+    A text result with over ``MOST_ROWS`` rows of combinations is an error; ``Diversity.every_combination`` writes any number as a
+    table, or, without zeros, those alone that aren't 0."""
+    scope = Scratch(spark)
+    try:
+        with scope:
+            return _run(spark, params)
+    finally:
+        scope.close()
+
+
+def _run(spark: SparkSession, params: Params) -> list[str]:
     written, phases, began = [], [], time.monotonic()
 
     def phase(name: str) -> None:
@@ -49,6 +69,9 @@ def run(spark: SparkSession, params: Params) -> list[str]:
 
     calls, loci, order = read_structure_text(spark, params.DATA_FILE, params)
     ks = parse_k_range(params.K_RANGE, len(order)) if params.COMB else []
+    rows = sum(comb(len(order), k) for k in ks) * max(params.MAX_G - 1, 1)
+    if rows > MOST_ROWS:
+        raise ParameterError(f"{rows} rows of combinations are more than a text result takes ({MOST_ROWS})")
     phase("reading")
     # compat: rows of combinations for a sample of 2 that no population allows, as the file format has them
     d = Diversity(calls, params.MAX_G, params.TOLERANCE, order=order, compat=True)
@@ -59,7 +82,6 @@ def run(spark: SparkSession, params: Params) -> list[str]:
         phase("filtering")
         if params.TNC:
             summary()
-            d.close()
             return written
         loci = [x for x in loci if x not in gone]
     single = [[p] for p in order]
@@ -71,15 +93,16 @@ def run(spark: SparkSession, params: Params) -> list[str]:
         if full:
             write(sinks.suffixed(path, "fulldata"), sinks.full_rows(single, loci, _full(values(), stats(), "pop", loci)))
         phase(name)
+    # all sizes come from one traversal, whose result is written once
+    every = written_table(d.every_combination(ks)) if ks else None
     for k in ks:
         groups = [list(c) for c in combinations(order, k)]
-        write(sinks.suffixed(params.C_OUT, k), sinks.stat_rows(groups, _by_group(d.combinations(k), "combo")))
+        write(sinks.suffixed(params.C_OUT, k), sinks.stat_rows(groups, _by_group(every.where(F.col("k") == k), "combo")))
         if params.FULL_C:
-            rows = _full(d.combinations_by_locus(k), d.combinations(k), "combo", loci)
+            rows = _full(d.combinations_by_locus(k), every.where(F.col("k") == k).drop("k"), "combo", loci)
             write(sinks.suffixed(params.C_OUT, k, "fulldata"), sinks.full_rows(groups, loci, rows, k))
         phase(f"combinations of {k}")
     summary()
-    d.close()
     return written
 
 

@@ -143,7 +143,7 @@ def _typed(label: str, text: str):
 def read_file(text: str) -> dict:
     """Values by label from a parameter file: ``LABEL value # comment`` on each line."""
     out: dict = {}
-    for line in text.splitlines():
+    for line in text.replace("\r", "\n").split("\n"):
         label, _, value = line.partition("#")[0].strip().partition(" ")
         label, tab, rest = label.partition("\t")
         value = (rest + " " + value if tab else value).strip()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rarefia import operators as ops
 from rarefia.params import Params
 from rarefia.plans import Diversity
-from rarefia.sources import DataFileError, from_long, from_wide, read_structure_text
+from rarefia.sources import DataFileError, from_long, from_wide, read_structure_text, text_lines
 
 TINY = """L1 L2
 A 1 x
@@ -215,6 +215,52 @@ def test_text_source(spark, tmp_path):
         read_structure_text(spark, str(path), skip)
 
 
+def test_line_numbers(spark, tmp_path):
+    """Numbers follow files by name and lines in them, however the files are cut; the cut at DATA_LINES and the order of populations with them."""
+    body = [f"p{i // 37:02d} a{i % 5} b{i % 3}" for i in range(900)]
+    for f, part in (("1", ["L1 L2", *body[:300]]), ("2", body[300:310]), ("3", body[310:])):
+        (tmp_path / f"part{f}.txt").write_text("\n".join(part) + "\n")
+    params, found = Params(**{**PARAMS.__dict__, "DATA_LINES": 500, "SKIP_CHK": True}), []
+    for size, cores in (("128m", 1), ("600b", 4), ("150b", 64)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        try:
+            lines = text_lines(spark, str(tmp_path))
+            assert [r["value"] for r in lines.orderBy("id").collect()] == ["L1 L2", *body] and [r["id"] for r in lines.select("id").orderBy("id").collect()] == list(range(901))
+            calls, loci, order = read_structure_text(spark, str(tmp_path), params)
+            found.append((loci, order, sorted(map(tuple, calls.groupBy("pop", "locus", "allele").count().collect()))))
+        finally:
+            for name in ("files.maxPartitionBytes", "files.openCostInBytes", "leafNodeDefaultParallelism"):
+                spark.conf.unset(f"spark.sql.{name}")
+    assert found[0] == found[1] == found[2] and found[0][1] == [f"p{i:02d}" for i in range(14)] and sum(r[3] for r in found[0][2]) == 1_000
+
+
+def test_faulty_lines_and_white_space(spark, tmp_path):
+    path = tmp_path / "data.txt"
+    path.write_text(TINY.replace("L1 L2", "L\u00a01 L2"))
+    assert read_structure_text(spark, str(path), PARAMS)[1] == ["L\u00a01", "L2"]
+    path.write_text(TINY.replace("B 2 x\nB 1 z", "B 2 x 9\nB 1"))
+    with pytest.raises(DataFileError, match="line 7 has 4 columns, not 3"):
+        read_structure_text(spark, str(path), PARAMS)
+    with pytest.raises(DataFileError, match="line 8 has 2 columns, not 3"):
+        read_structure_text(spark, str(path), Params(**{**PARAMS.__dict__, "SKIP_CHK": True}))
+
+
+def test_very_many_loci(spark, tmp_path):
+    """A plan for a text doesn't grow with its loci."""
+    plans, n = [], 100_000
+    for loci in (10, n):
+        path = tmp_path / f"wide{loci}.txt"
+        path.write_text(" ".join(f"L{i}" for i in range(loci)) + "\n" + "".join(f"{p} " + " ".join(f"{(i + k) % 3}" for i in range(loci)) + "\n" for k, p in enumerate("AABB")))
+        calls, names, order = read_structure_text(spark, str(path), Params(**{**PARAMS.__dict__, "LOCI": loci, "DATA_LINES": 4}))
+        plans.append(len(calls._jdf.queryExecution().optimizedPlan().toString()))
+        assert len(names) == loci and order == ["A", "B"]
+    assert plans[1] < plans[0] + 100 and calls.count() == 4 * n
+    d = Diversity(calls, 2)
+    assert {(r["pop"], r["num_loci"], r["mean"]) for r in d.richness().collect()} == {("A", n, 2.0), ("B", n, 2.0)}
+
+
 def test_order_of_populations(spark):
     calls = tiny(spark).calls
     d = Diversity(calls, 4, order=["C", "A", "B"])
