@@ -117,6 +117,12 @@ def richness_by_locus(spectra: DataFrame, least: DataFrame, max_g: int) -> DataF
     return sized.groupBy("pop", "g", "locus").agg(F.sum(F.col("alleles") * (1 - F.get("q", F.col("g")))).alias("value"))
 
 
+def richness_values(spectra: DataFrame, max_g: int) -> DataFrame:
+    """(pop, g, locus, nj, value) for every g up to the sample of each locus."""
+    sized = by_g(spectra.withColumn("q", absent_by_size(F.col("n"), F.col("nj"), max_g)), F.least(F.col("nj"), F.lit(max_g)))
+    return sized.groupBy("pop", "g", "locus", "nj").agg(F.sum(F.col("alleles") * (1 - F.get("q", F.col("g")))).alias("value"))
+
+
 def names(pops: list[str]) -> Column:
     return F.array(*[F.lit(p) for p in pops]).cast("array<string>")
 

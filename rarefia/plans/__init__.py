@@ -24,7 +24,17 @@ class Diversity:
     def __init__(self, calls: DataFrame, max_g: int, tolerance: float = 1.0, order: list[str] | None = None, compat: bool = False):
         self.all_calls = calls.where("pop is not null")
         self.max_g, self.tolerance, self.compat, self._order = max_g, tolerance, compat, order
-        self._scratch = Scratch(calls.sparkSession)
+        self._spark = calls.sparkSession
+        self._scratch = Scratch(self._spark)
+
+    @classmethod
+    def of_counts(cls, counts: DataFrame, max_g: int, tolerance: float = 1.0, order: list[str] | None = None, compat: bool = False) -> Diversity:
+        """An analysis of call counts (locus, pop, allele, n; missing calls as a null allele) instead of calls; ``calls`` are its rows repeated."""
+        counts = counts.where("pop is not null")
+        out = cls(counts.select("pop", "locus", "allele", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col"), max_g, tolerance, order, compat)
+        with out._scratch:
+            out._counted = written(counts.select("locus", "pop", "allele", "n"))
+        return out
 
     @cached_property
     def _counted(self) -> DataFrame:
@@ -112,7 +122,7 @@ class Diversity:
         """k, combo, g, num_loci, mean, var, std_err for every combination of each of ``ks`` populations, from one reading of the counts and one
         traversal of each allele's holders. Without ``zeros`` only combinations with a part above 0 have rows, and C(J, k) rows are never
         made: all others have mean, variance and standard error 0 (null for the latter two where there is one locus)."""
-        spark, ks = self.all_calls.sparkSession, sorted(set(ks))
+        spark, ks = self._spark, sorted(set(ks))
         out = ops.summary_of_terms(self._terms(ks), self.loci)
         if zeros:
             grid = reduce(DataFrame.union, [ops.combination_grid(spark, self.pops, k, self.most_g) for k in ks])
