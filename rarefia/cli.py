@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import sys
 import time
-from itertools import combinations
 from math import comb
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import operators as ops
 from . import sinks
-from .operators import full_wide
 from .params import ParameterError, Params, echo, load, parse_k_range, template
 from .plans import Diversity
 from .scratch import Scratch
@@ -20,20 +19,7 @@ from .scratch import written as written_table
 from .sources import DataFileError, read_structure_text
 
 
-def _by_group(df: DataFrame, group: str) -> dict:
-    """Rows by their group's names. The result has a row per group and sample size."""
-    out: dict = {}
-    for r in df.collect():
-        names = (r[group],) if isinstance(r[group], str) else tuple(r[group])
-        out.setdefault(names, []).append(r)
-    return out
-
-
-def _full(values: DataFrame, stats: DataFrame, group: str, loci: list[str]) -> dict:
-    return _by_group(full_wide(values, [group], loci, stats), group)
-
-
-#: Rows of combinations that a text result has at most: they pass through the driver.
+#: Rows of combinations that a text result has at most: it is one file of the driver's.
 MOST_ROWS = 5_000_000
 
 
@@ -84,23 +70,30 @@ def _run(spark: SparkSession, params: Params) -> list[str]:
             summary()
             return written
         loci = [x for x in loci if x not in gone]
-    single = [[p] for p in order]
+    at = written_table(spark.createDataFrame(list(zip(loci, range(len(loci)))), "locus string, at int").coalesce(1))
+    single = ops.combinations_of(spark, len(order), 1)
+
+    def write_rows(path: str, lines: DataFrame, header: str = "") -> None:
+        sinks.write_lines(lines, path, header)
+        written.append(path)
+
     for name, path, values, stats, full in (
         ("richness", params.R_OUT, d.richness_by_locus, d.richness, params.FULL_R),
         ("private richness", params.P_OUT, d.private_by_locus, d.private, params.FULL_P),
     ):
-        write(path, sinks.stat_rows(single, _by_group(stats(), "pop")))
+        found = written_table(d.placed(stats()))
+        write_rows(path, sinks.stat_lines(found, single))
         if full:
-            write(sinks.suffixed(path, "fulldata"), sinks.full_rows(single, loci, _full(values(), stats(), "pop", loci)))
+            write_rows(sinks.suffixed(path, "fulldata"), sinks.full_lines(d.placed(values()), found, at), sinks.full_header(loci))
         phase(name)
     # all sizes come from one traversal, whose result is written once
-    every = written_table(d.every_combination(ks)) if ks else None
+    every = written_table(d.every_combination(ks, places=True)) if ks else None
     for k in ks:
-        groups = [list(c) for c in combinations(order, k)]
-        write(sinks.suffixed(params.C_OUT, k), sinks.stat_rows(groups, _by_group(every.where(F.col("k") == k), "combo")))
+        found = every.where(F.col("k") == k)
+        write_rows(sinks.suffixed(params.C_OUT, k), sinks.stat_lines(found, ops.combinations_of(spark, len(order), k)))
         if params.FULL_C:
-            rows = _full(d.combinations_by_locus(k), every.where(F.col("k") == k).drop("k"), "combo", loci)
-            write(sinks.suffixed(params.C_OUT, k, "fulldata"), sinks.full_rows(groups, loci, rows, k))
+            lines = sinks.full_lines(d.combinations_by_locus(k, places=True), found, at)
+            write_rows(sinks.suffixed(params.C_OUT, k, "fulldata"), lines, sinks.full_header(loci, k))
         phase(f"combinations of {k}")
     summary()
     return written

@@ -282,12 +282,16 @@ def with_zeros(stats: DataFrame, grid: DataFrame, loci: int) -> DataFrame:
     return found.select("combo", "g", fill("num_loci", F.lit(loci).cast("long")), fill("mean", F.lit(0.0)), fill("var", zero), fill("std_err", zero))
 
 
-def combination_grid(spark, pops: list[str], k: int, most: int) -> DataFrame:
-    """(combo, g) of every combination of ``k`` populations by their places; these are the rows of the result. Every task makes the
-    combinations of a range of numbers."""
-    total = comb(len(pops), k)
+def combinations_of(spark, among: int, k: int) -> DataFrame:
+    """(combo) of every combination of ``k`` of the numbers below ``among``. Every task makes those of a range of numbers."""
+    total = comb(among, k)
     tasks = max(1, min(spark.sparkContext.defaultParallelism * 4, total // 1_000))
-    return by_g(spark.range(0, total, 1, tasks).select(unranked(F.col("id"), len(pops), k).alias("combo")), most)
+    return spark.range(0, total, 1, tasks).select(unranked(F.col("id"), among, k).alias("combo"))
+
+
+def combination_grid(spark, pops: list[str], k: int, most: int) -> DataFrame:
+    """(combo, g) of every combination of ``k`` populations by their places; these are the rows of the result."""
+    return by_g(combinations_of(spark, len(pops), k), most)
 
 
 def named(combo: Column | str, pops: list[str]) -> Column:

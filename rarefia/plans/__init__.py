@@ -110,16 +110,16 @@ class Diversity:
     def _terms(self, ks: list[int]) -> DataFrame:
         return ops.subset_terms(self.classes, ks, max(self.most_g, 1))
 
-    def combinations_by_locus(self, k: int) -> DataFrame:
-        """combo, g, locus, value for every combination, g and locus."""
+    def combinations_by_locus(self, k: int, places: bool = False) -> DataFrame:
+        """combo, g, locus, value for every combination, g and locus; with ``places`` also the populations' places in order, first."""
         total, place = comb(len(self.pops), k), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(comb(len(self.pops), k), 1) - 1).cast("long")))
         loci = self.sizes.select("locus").distinct().where(F.lit(total > 0)).select("locus", place.alias("rank"))
         each = ops.by_g(loci.select("locus", ops.unranked(F.col("rank"), len(self.pops), k).alias("combo")), self.most_g)
         found = each.join(self._terms([k]), ["combo", "g", "locus"], "left")
-        return found.select(self._names(), "g", "locus", F.coalesce("value", F.lit(0.0)).alias("value"))
+        return found.select(*self._names(places), "g", "locus", F.coalesce("value", F.lit(0.0)).alias("value"))
 
-    def every_combination(self, ks: list[int], zeros: bool = True) -> DataFrame:
-        """k, combo, g, num_loci, mean, var, std_err for every combination of each of ``ks`` populations, from one reading of the counts and one
+    def every_combination(self, ks: list[int], zeros: bool = True, places: bool = False) -> DataFrame:
+        """k, (places,) combo, g, num_loci, mean, var, std_err for every combination of each of ``ks`` populations, from one reading of the counts and one
         traversal of each allele's holders. Without ``zeros`` only combinations with a part above 0 have rows, and C(J, k) rows are never
         made: all others have mean, variance and standard error 0 (null for the latter two where there is one locus)."""
         spark, ks = self._spark, sorted(set(ks))
@@ -132,7 +132,7 @@ class Diversity:
             for k in ks:
                 grid = ops.combination_grid(spark, self.pops, k, 2)
                 out = out.union(grid.select("combo", "g", F.lit(self.loci).cast("long"), nan, nan, nan))
-        return out.select(F.size("combo").cast("long").alias("k"), self._names(), *out.columns[1:])
+        return out.select(F.size("combo").cast("long").alias("k"), *self._names(places), *out.columns[1:])
 
     def combinations(self, k: int, zeros: bool = True) -> DataFrame:
         """combo, g, num_loci, mean, var, std_err for every combination of k populations."""
@@ -145,6 +145,11 @@ class Diversity:
         out = self.combinations(1)
         return out.select(F.col("combo")[0].alias("pop"), *out.columns[1:])
 
-    def _names(self):
-        """A combination by names, in the populations' order."""
-        return ops.named("combo", self.pops).alias("combo")
+    def _names(self, places: bool = False) -> list:
+        """A combination by names, in the populations' order, and by their places."""
+        return [F.col("combo").alias("places")] * places + [ops.named("combo", self.pops).alias("combo")]
+
+    def placed(self, result: DataFrame) -> DataFrame:
+        """A result by population with its place and name as ``places`` and ``combo``, as combinations have them."""
+        place = written(self._spark.createDataFrame([([i], p) for i, p in enumerate(self.pops)], "places array<int>, pop string").coalesce(1))
+        return result.join(place, "pop").select("places", F.array("pop").alias("combo"), *[c for c in result.columns if c != "pop"])

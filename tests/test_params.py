@@ -82,3 +82,35 @@ def test_stream(spark, tmp_path):
     query = running_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r["allele"], r["n"]) for r in spark.table("counts").collect()} == {("1", 2), ("2", 2)}
+
+
+@pytest.mark.parametrize("shuffles", ["1", "3", "50"])
+def test_lines_in_order(spark, tmp_path, shuffles):
+    """Lines made and ordered by executors against lines made here, with numbers that round at ties, none, and groups without rows."""
+    from itertools import combinations
+
+    from rarefia import operators as ops
+    from rarefia import sinks
+
+    names, loci, k = ["zed", "amy", "bob", "kim"], ["b", "c", "a"], 2
+    number = lambda x: "nan" if x is None or x != x else "%g" % x
+    groups = list(combinations(range(4), k))
+    value = lambda c, g, x: [1.953125, 1e-7 * g, 123456.5, 0.0, 2.0 / 3, 1234567.0][(c + g + x) % 6]
+    stats = [(list(c), [names[i] for i in c], g, 3, value(n, g, 0), None if g == 5 else value(n, g, 1), float("nan")) for n, c in enumerate(groups) for g in range(2, 12) if n != 2]
+    values = [(list(c), g, loci[x], value(n, g, x)) for n, c in enumerate(groups) for g in range(2, 12) for x in range(3)]
+    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    try:
+        table = spark.createDataFrame(stats[::-1], "places array<int>, combo array<string>, g int, num_loci long, mean double, var double, std_err double").repartition(5)
+        sinks.write_lines(sinks.stat_lines(table, ops.combinations_of(spark, 4, k)), str(tmp_path / "stats"))
+        wide = spark.createDataFrame(values[::-1], "places array<int>, g int, locus string, value double")
+        sinks.write_lines(sinks.full_lines(wide, table, spark.createDataFrame(list(zip(loci, range(3))), "locus string, at int")), str(tmp_path / "full"), sinks.full_header(loci, k))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, full = "", "POP_GROUPING1 POP_GROUPING2 G NUM_LOCI b c a MEAN VAR STD_ERR\n"
+    for n, c in enumerate(groups):
+        for places, combo, g, count, *numbers in stats:
+            if places == list(c):
+                want += " ".join([*combo, str(g), str(count), *map(number, numbers)]) + "\n"
+                full += " ".join([*combo, str(g), str(count), *[number(value(n, g, x)) for x in range(3)], *map(number, numbers)]) + "\n"
+        want += "\n"
+    assert (tmp_path / "stats").read_text() == want and (tmp_path / "full").read_text() == full
