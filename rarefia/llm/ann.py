@@ -124,13 +124,22 @@ def open_leaves(forest: list[Tree], point: np.ndarray, most: int, loss: float =
     return out
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to 1/2 or more and below 1: squares neither overflow nor
+    vanish then, and as such products are exact a cosine stays what it was."""
+    if not v.size:
+        return v
+    return np.ldexp(v, -np.frexp(np.abs(v).max(-1, keepdims=True))[1])
+
+
 def unit(vectors) -> np.ndarray:
-    v = np.array(list(vectors), dtype=np.float64)
+    v = scaled(np.array(list(vectors), dtype=np.float64))
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Row by row (``queries`` one for each row, or one for all), so a pair's value doesn't depend on its block."""
+    rows, queries = scaled(rows), scaled(queries)
     return (rows * queries).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((queries * queries).sum(-1)))
 
 

@@ -16,7 +16,8 @@ Pairs are listed only between a node and its bands' leaders. The table of freque
 
 Defined results: null and empty texts have no shingles and link with nothing; texts under five words have one shingle, the
 whole sequence; rows that repeat are linked (equal sets); a null doc_id takes part but is never a component's id unless
-all its ids are null; extra columns are not read; an empty table gives an empty table.
+all its ids are null; very long texts are one set, as others are; ties of leaders fall to the smaller row and change no result; extra
+columns are not read, and kept by ``keep_one_of_each``; an empty table gives an empty table.
 """
 
 from __future__ import annotations

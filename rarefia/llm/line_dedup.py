@@ -12,7 +12,8 @@ repeated run is the union of those within it.
 
 Defined results: null and empty texts are left as they are; rows that repeat are copies of the first (by doc_id, null
 first, then by row); a text that loses all its lines becomes empty; ties in order fall to the row's place in the
-table; extra columns are kept; an empty table gives an empty table.
+table (its file by the hash of its path, and its place there, or its place in the reading that is written); very long texts are worked on
+whole; extra columns are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations

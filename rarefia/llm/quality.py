@@ -5,7 +5,8 @@ source). Lines in more documents than the host's limit are removed; a document t
 words so is depleted and rejected.
 
 Defined results: a null or empty text has no words and fails the base filter; a null source is a host of its own;
-lines without a word are neither counted nor removed; an empty table gives an empty table. Rows of a host with one text
+lines without a word are neither counted nor removed; very long texts are looked at whole; extra columns are kept by the filter,
+whatever their names, and not read by the scores; there are no ties; an empty table gives an empty table. Rows of a host with one text
 (null and empty are one) count as one document, in its lines and in the host's size, so copies alone make no line common
 and a later stage can keep one of them; each of them gets the verdict of the others.
 """

@@ -6,7 +6,8 @@ out overfull (a group of copies can hold a third of all bytes) is subdivided by
 single rows. The ranges, in order, fill the shards.
 
 Defined results: a null text has size 1, as an empty one; rows with a null doc_id come first among equal texts;
-repeated rows are kept, in any order among themselves; an empty table gives an empty table.
+repeated rows are kept, in any order among themselves, and so are other ties (equal text and doc_id); very long texts count
+with all their bytes, and a range has one of them at least, however large; extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

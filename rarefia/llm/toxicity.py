@@ -7,7 +7,7 @@ associated with the label there; its weights (a few thousand short vectors) are
 scored where it is read.
 
 Defined results: a null or empty text has no terms and scores the prior; a null label is no label, and of several labels
-for a doc_id the largest counts; without any labelled row the score is 0; a null doc_id is never held out; extra columns
+for a doc_id the largest counts; rows that repeat are each scored, alike; very long texts are scored whole; there are no ties; without any labelled row the score is 0; a null doc_id is never held out; extra columns
 are not read; an empty table gives an empty table.
 """
 

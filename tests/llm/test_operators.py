@@ -501,3 +501,14 @@ def test_one_of_each(spark, odd_docs):
     assert got.columns == odd_docs.columns
     ids = [r["doc_id"] for r in got.collect()]
     assert 3 in ids and 20 not in ids and 21 not in ids and {40, 41, 42} <= set(ids) and not {43, 44} <= set(ids)
+
+
+def test_vectors_of_any_magnitude():
+    """Squares of components would overflow or vanish; cosines don't, and stay what they were for others."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(20, 6))
+    plain = (v * v[0]).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((v[0] * v[0]).sum()))
+    assert (ann.cosines(v, v[0]) == plain).all() and np.allclose(ann.unit(v), v / np.linalg.norm(v, axis=1, keepdims=True), rtol=1e-15)
+    for size in (2.0**-660, 2.0**660, 1e-200, 1e200):
+        assert np.allclose(ann.cosines(v * size, v[0]), plain, rtol=1e-12) and np.allclose(ann.unit(v * size), ann.unit(v), rtol=1e-12)
+        assert np.allclose(ann.cosines(v * size, v * size), 1, rtol=1e-12)
