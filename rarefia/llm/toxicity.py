@@ -3,12 +3,14 @@
 A document is the set of its hashed terms. Beside a weight, each term has a short vector, and the products of the vectors
 of all pairs of terms add to the score, so a pair (an insult with the mention of a group) can count for more than its
 terms do alone. The machine is fitted with AdaGrad on a bounded sample of labelled rows, on the terms that are most
-associated with the label there; its weights (a few thousand short vectors) are broadcast, and every whole text is
-scored where it is read.
+associated with the label there, by themselves or beside another term; its weights (a few thousand short vectors) are
+broadcast, and every whole text is scored where it is read.
 
 Defined results: a null or empty text has no terms and scores the prior; a null label is no label, and of several labels
-for a doc_id the largest counts; rows that repeat are each scored, alike; very long texts are scored whole; there are no ties; without any labelled row the score is 0; a null doc_id is never held out; extra columns
-are not read; an empty table gives an empty table.
+for a doc_id the largest counts; rows that repeat are each scored, alike, and the sample takes one text of a doc_id (that
+whose terms have the least hash), so that it is bounded however often an id repeats; very long texts are scored whole; there
+are no ties; without any labelled row the score is 0; a null doc_id is never held out; extra columns are not read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ from .common import columns_or_null, draw, ship, table
 BUCKETS, SAMPLE, TERMS, FACTORS = 2**18, 16_384, 4_096, 4
 #: The score from which a text is called toxic; the sampled documents that a term must be in, and its least z-score.
 THRESHOLD, MIN_DOCS, MIN_Z = 0.3, 3, 4.0
+#: Terms whose pairs are looked at: so many that part the sample most evenly, and the best quarter as many by themselves. A pair's
+#: least z-score is higher, as there are millions of pairs.
+PAIRED, PAIR_Z = 2_048, 7.0
+#: Sampled texts whose pairs are counted at a time.
+BLOCK = 1_024
 
 #: Letters of a beginning that is a term, too (inflected and compound words).
 STEMS = (6, 5, 4, 3)
@@ -61,7 +68,8 @@ class Machine:
 
 
 def associated(docs: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
-    """The buckets whose presence goes most with or against the label, by the z-score of the share of labelled texts."""
+    """The buckets whose presence goes most with or against the label, by the z-score of the share of labelled texts, and those
+    that do so in a pair."""
     both = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     y = np.repeat(labels.astype(np.float32), [len(d) for d in docs])
     n, hits = np.bincount(both, minlength=BUCKETS), np.bincount(both, weights=y, minlength=BUCKETS)
@@ -69,7 +77,40 @@ def associated(docs: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndar
     z = np.abs(hits - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
     z[n < MIN_DOCS] = 0
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] >= MIN_Z])
+    alone = best[z[best] >= MIN_Z]
+    even = np.argsort(-(n * (len(docs) - n)), kind="stable")[:PAIRED]
+    looked = np.union1d(even[n[even] >= MIN_DOCS], alone[: PAIRED // 4])
+    return np.union1d(alone, looked[paired(docs, labels, looked)])
+
+
+def paired(docs: list[np.ndarray], labels: np.ndarray, looked: np.ndarray) -> np.ndarray:
+    """Which of the ascending buckets ``looked`` are in a pair whose texts are labelled more or less often than the shares of its
+    two terms add up to. Two terms may each be neutral and tell the label together."""
+    m, p = len(looked), labels.mean() if len(labels) else 0.0
+    n, hits = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[looked] = np.arange(m)
+    for wanted, sums in ((labels > 0, hits), (labels <= 0, n)):
+        chosen = np.flatnonzero(wanted)
+        for k in range(0, len(chosen), BLOCK):
+            part = [place[docs[i]] for i in chosen[k : k + BLOCK]]
+            has = np.zeros((len(part), m), np.float32)
+            for row, at in zip(has, part):
+                row[at[at >= 0]] = 1
+            sums += has.T @ has
+    n += hits
+    share = np.diag(hits) / np.maximum(np.diag(n), 1)
+    told = np.zeros(m, bool)
+    for k in range(0, m, BLOCK):
+        at = slice(k, k + BLOCK)
+        most = np.maximum(n[at], 1)
+        # an expected share of 0 or 1 would make any other outcome infinitely unlikely
+        expected = np.clip(share[at, None] + share - p, 0.5 / most, 1 - 0.5 / most)
+        z = np.abs(hits[at] - n[at] * expected) / np.sqrt(most * expected * (1 - expected))
+        z[n[at] < MIN_DOCS] = 0
+        z[np.arange(len(z)), np.arange(k, k + len(z))] = 0
+        told[at] = (z >= PAIR_Z).any(1)
+    return told
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 3, epochs: int = 40, rate: float = 0.1, decay: float = 1e-4, batch: int = 256) -> Machine:
@@ -88,21 +129,19 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 3, epochs: int =
             part = order[k : k + batch]
             size = np.array([len(rows[i]) for i in part])
             at, seg = np.concatenate([rows[i] for i in part]), np.repeat(np.arange(len(part)), size)
-            total = np.zeros((len(part), FACTORS))
-            np.add.at(total, seg, v[at])
-            squares = np.bincount(seg, weights=(v[at] ** 2).sum(1), minlength=len(part))
-            logit = bias + np.bincount(seg, weights=w[at], minlength=len(part)) + 0.5 * ((total**2).sum(1) - squares)
+            own = v[at]
+            total = np.stack([np.bincount(seg, own[:, f], len(part)) for f in range(FACTORS)], 1)
+            squares = np.bincount(seg, np.einsum("ij,ij->i", own, own), len(part))
+            logit = bias + np.bincount(seg, w[at], len(part)) + 0.5 * ((total**2).sum(1) - squares)
             g = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels[part]) / len(part)
-            used, back = np.unique(at, return_inverse=True)
-            gw = np.bincount(back, weights=g[seg], minlength=len(used)) + decay * w[used]
-            gv = np.zeros((len(used), FACTORS))
-            np.add.at(gv, back, g[seg, None] * (total[seg] - v[at]))
-            gv += decay * v[used]
-            gb = g.sum()
-            sum_b, sum_w[used], sum_v[used] = sum_b + gb**2, sum_w[used] + gw**2, sum_v[used] + gv**2
+            pull, used = g[:, None] * total, np.bincount(at, minlength=len(known)) > 0
+            slope = np.bincount(at, g[seg], len(known))
+            gv = np.stack([np.bincount(at, pull[seg, f], len(known)) for f in range(FACTORS)], 1) - slope[:, None] * v
+            gw, gv, gb = slope + decay * w * used, gv + decay * v * used[:, None], g.sum()
+            sum_b, sum_w, sum_v = sum_b + gb**2, sum_w + gw**2, sum_v + gv**2
             bias -= rate * gb / np.sqrt(sum_b)
-            w[used] -= rate * gw / np.sqrt(sum_w[used])
-            v[used] -= rate * gv / np.sqrt(sum_v[used])
+            w -= rate * gw / np.sqrt(sum_w)
+            v -= rate * gv / np.sqrt(sum_v)
     return Machine(place, bias, w, v)
 
 
@@ -126,12 +165,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     share = sample / max(marks.count(), 1)
     chosen = marks.where(draw("doc_id", seed=7) <= share)
     # the sample's ids are few: ``sample`` in expectation, whatever the tables' sizes
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(_term_rows, "doc_id long, y double, terms array<int>").toArrow()
+    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(_term_rows, "doc_id long, y double, terms array<int>")
+    rows = found.groupBy("doc_id", "y").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms")).toArrow()
     if not rows.num_rows:
         return None
     lists = rows["terms"].combine_chunks()
     ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    order = np.lexsort((np.diff(ends), rows["doc_id"].to_numpy()))
+    order = np.argsort(rows["doc_id"].to_numpy())
     return fit([values[ends[i] : ends[i + 1]] for i in order], rows["y"].to_numpy()[order])
 
 

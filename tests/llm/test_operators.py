@@ -370,6 +370,41 @@ def test_toxicity_edges(spark):
     assert by[1001]["score"] > by[1002]["score"]
 
 
+def test_toxicity_pairs(spark):
+    """Neither term goes with the label by itself, exactly one of the two makes it; only pairs can tell. An id that repeats often is one
+    text of the sample."""
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(3000):
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        text = prose(i, 20).split()
+        text[3], text[9] = "amber" if one else "apple", "violet" if other else "pear"
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(one != other)))
+    docs = spark.createDataFrame([*rows, *[rows[0]] * 4000], "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    truth = dict(marks)
+    held = [r for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    found = [toxicity.terms(t) for _, t in rows]
+    y = np.array([float(m) for _, m in marks])
+    looked = np.unique(np.concatenate([found[0][:12], toxicity.terms("amber pear violet apple")]))
+    told = toxicity.paired(found, y, looked)
+    at = {int(b): {i for i, d in enumerate(found) if b in d} for b in looked}
+    share = {b: sum(y[list(i)]) / max(len(i), 1) for b, i in at.items()}
+    for k, a in enumerate(at):  # every pair, counted out
+        best = 0.0
+        for b in at:
+            both = list(at[a] & at[b]) if a != b else []
+            if len(both) >= toxicity.MIN_DOCS:
+                expected = min(max(share[a] + share[b] - y.mean(), 0.5 / len(both)), 1 - 0.5 / len(both))
+                best = max(best, abs(sum(y[both]) - len(both) * expected) / math.sqrt(len(both) * expected * (1 - expected)))
+        if abs(best - toxicity.PAIR_Z) > 0.01:
+            assert told[k] == (best >= toxicity.PAIR_Z)
+    words = [toxicity.terms(w).tolist() for w in ("amber", "violet", "apple", "pear")]
+    assert all(told[looked.tolist().index(b)] for w in words for b in w)
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for i in range(90):  # long ones by whole buckets, short ones (and what the long ones recur to) place by place
