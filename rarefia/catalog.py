@@ -66,6 +66,10 @@ def _identity(d: Diversity) -> DataFrame:
     return both.select("pop", "g", (F.abs(F.col("mean") - F.col("total")) < 1e-6).alias("equal"))
 
 
+def _over_populations(d: Diversity) -> DataFrame:
+    return rounded(ops.summary(d.richness_by_locus(), ["locus"], len(d.pops)))
+
+
 def _q_rows(calls: DataFrame) -> DataFrame:
     """q of every allele, population and size, with 0 counts."""
     sizes = ops.sample_sizes(calls)
@@ -121,7 +125,7 @@ def queries() -> dict:
         "comb3_line": lambda s, d: rounded(named(line(s, d).combinations(3))),
         "comb_all_k": lambda s, d: _every_k(part(s, d)),
         # over the populations of each locus, so that other values meet than in richness
-        "stats_mean_var_se": lambda s, d: rounded(ops.summary(event(s, d).richness_by_locus(), ["locus"])),
+        "stats_mean_var_se": lambda s, d: _over_populations(event(s, d)),
         "subset_sum_identity": lambda s, d: _identity(part(s, d)),
     }
 

@@ -12,7 +12,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import CHUNK, absent_by_size, mean_with_zeros, variance_with_zeros
+from ..functions import CHUNK, absent_by_size, exact_sum, mean_with_zeros, merged_moments, sorted_moments, variance_with_zeros
 
 
 # --- quality ---
@@ -114,13 +114,13 @@ def richness_by_locus(spectra: DataFrame, least: DataFrame, max_g: int) -> DataF
     """(pop, g, locus, value) for every g up to the population's own smallest sample."""
     sized = spectra.join(least, "pop").withColumn("q", absent_by_size(F.col("n"), F.col("nj"), max_g))
     sized = by_g(sized, F.least(F.col("least"), F.lit(max_g)))
-    return sized.groupBy("pop", "g", "locus").agg(F.sum(F.col("alleles") * (1 - F.get("q", F.col("g")))).alias("value"))
+    return sized.groupBy("pop", "g", "locus").agg(exact_sum(F.col("alleles") * (1 - F.get("q", F.col("g")))).alias("value"))
 
 
 def richness_values(spectra: DataFrame, max_g: int) -> DataFrame:
     """(pop, g, locus, nj, value) for every g up to the sample of each locus."""
     sized = by_g(spectra.withColumn("q", absent_by_size(F.col("n"), F.col("nj"), max_g)), F.least(F.col("nj"), F.lit(max_g)))
-    return sized.groupBy("pop", "g", "locus", "nj").agg(F.sum(F.col("alleles") * (1 - F.get("q", F.col("g")))).alias("value"))
+    return sized.groupBy("pop", "g", "locus", "nj").agg(exact_sum(F.col("alleles") * (1 - F.get("q", F.col("g")))).alias("value"))
 
 
 def names(pops: list[str]) -> Column:
@@ -212,7 +212,7 @@ def subset_terms(classes: DataFrame, ks: list[int], most: int) -> DataFrame:
             still = lambda c: F.when(~F.col("next.closed"), F.col(c)).alias(c)
             df = df.select("locus", still("who"), still("q"), still("after"), "next.*")
     terms = df.select("locus", "next.combo", F.posexplode("next.w").alias("g", "x"))
-    return terms.groupBy("combo", (F.col("g") + 2).alias("g"), "locus").agg(F.sum("x").alias("value"))
+    return terms.groupBy("combo", (F.col("g") + 2).alias("g"), "locus").agg(exact_sum(F.col("x")).alias("value"))
 
 
 # --- combinations by number ---
@@ -260,16 +260,35 @@ def _next_number(among: int, t: int):
 # --- statistics over loci ---
 
 
-def summary(values: DataFrame, by: list[str]) -> DataFrame:
-    """Count, mean, sample variance and standard error over loci; every locus must have its row."""
-    out = values.groupBy(*by, "g").agg(F.count("*").alias("num_loci"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+#: Values of a group that are sorted together; larger groups are dealt out by hash to so many parts that about as many are in each.
+BLOCK = 4_096
+
+
+def moments(values: DataFrame, by: list[str], size: int) -> DataFrame:
+    """(*by, g, moments) of ``value`` over the rows of a group, of which there are about ``size``.
+
+    Values are sorted before they are added, so the bits of a result don't depend on how rows are ordered and partitioned. What tells rows
+    of a group apart deals them out to blocks, whose moments are merged in the order of their numbers.
+    """
+    blocks = -(-size // BLOCK)
+    if blocks < 2:
+        return values.groupBy(*by, "g").agg(sorted_moments(F.collect_list("value")).alias("moments"))
+    apart = [c for c in values.columns if c not in (*by, "g", "value")]
+    parts = values.groupBy(*by, "g", F.pmod(F.xxhash64(*apart), F.lit(blocks)).alias("place")).agg(sorted_moments(F.collect_list("value")).alias("moments"))
+    return parts.groupBy(*by, "g").agg(merged_moments(F.collect_list(F.struct("place", "moments"))).alias("moments"))
+
+
+def summary(values: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Count, mean, sample variance and standard error over loci; every locus must have its row. ``size`` is about the number of rows in a group."""
+    n, var = F.col("moments.n"), F.when(F.col("moments.n") > 1, F.col("moments.m2") / F.nullif(F.col("moments.n") - 1, F.lit(0.0)))
+    out = moments(values, by, size).select(*by, "g", n.cast("long").alias("num_loci"), (F.col("moments.s") / n).alias("mean"), var.alias("var"))
     return out.withColumn("std_err", F.sqrt(F.col("var") / F.col("num_loci")))
 
 
 def summary_of_terms(terms: DataFrame, loci: int) -> DataFrame:
     """The same over ``loci`` loci where loci without a row are 0, for every (combo, g) that has a row; all others have mean and variance 0."""
-    some = terms.groupBy("combo", "g").agg(F.sum("value").alias("s"), F.count("*").cast("double").alias("c"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("*")).alias("m2"))
-    mean, var = mean_with_zeros(F.col("s"), loci), variance_with_zeros(F.col("c"), F.col("m"), F.col("m2"), loci)
+    some = moments(terms, ["combo"], loci).select("combo", "g", "moments.*")
+    mean, var = mean_with_zeros(F.col("s"), loci), variance_with_zeros(F.col("n"), F.col("m"), F.col("m2"), loci)
     return some.select("combo", "g", F.lit(loci).cast("long").alias("num_loci"), mean.alias("mean"), var.alias("var"), F.sqrt(var / F.lit(float(loci))).alias("std_err"))
 
 

@@ -105,7 +105,7 @@ class Diversity:
 
     def richness(self) -> DataFrame:
         """pop, g, num_loci, mean, var, std_err."""
-        return ops.summary(self.richness_by_locus(), ["pop"])
+        return ops.summary(self.richness_by_locus(), ["pop"], self.loci)
 
     def _terms(self, ks: list[int]) -> DataFrame:
         return ops.subset_terms(self.classes, ks, max(self.most_g, 1))

@@ -131,20 +131,22 @@ class GrowingRichness:
         self._log.write("values", batches[-1], values.select("pop", "g", "locus", "value", "nj").union(small))
         return touched.count()
 
+    def _loci(self) -> int:
+        return self._log.read("values", self._log.numbers("values"), self.SCHEMA).select("locus").distinct().count()
+
     def by_locus(self) -> DataFrame:
         """(pop, g, locus, value) of the latest values, up to each population's smallest sample over all loci."""
         numbers = self._log.numbers("values")
         version = F.regexp_extract("_metadata.file_path", r"/values-(\d+)/", 1) if numbers else F.lit("0")
         every = self._log.read("values", numbers, self.SCHEMA).withColumn("version", version.cast("long"))
         sizes = every.groupBy("pop", "locus").agg(F.max_by("nj", "version").alias("nj"))
-        loci = every.select("locus").distinct().count()
-        least = ops.least_sizes(sizes, loci)
+        least = ops.least_sizes(sizes, self._loci())
         latest = every.where("g >= 2").groupBy("pop", "g", "locus").agg(F.max_by("value", "version").alias("value"))
         return latest.join(least, "pop").where("g <= least").drop("least")
 
     def richness(self) -> DataFrame:
         """pop, g, num_loci, mean, var, std_err."""
-        return ops.summary(self.by_locus(), ["pop"])
+        return ops.summary(self.by_locus(), ["pop"], self._loci())
 
 
 def diversity_of(counts: GrowingCounts, max_g: int, tolerance: float = 1.0, order: list[str] | None = None) -> Diversity:

@@ -3,7 +3,8 @@
 import random
 from fractions import Fraction as Q
 from itertools import combinations
-from math import comb
+from math import comb, fsum
+from statistics import variance
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rarefia import operators as ops
+from rarefia.functions import exact_sum
 from rarefia.params import Params
 from rarefia.plans import Diversity
 from rarefia.sources import DataFileError, from_long, from_wide, read_structure_text, text_lines
@@ -333,3 +335,55 @@ def test_large_samples(spark):
     for u in range(150):
         want.append(want[-1] * Q(200 - 3 - u, 200 - u))
     assert got == pytest.approx([float(x) for x in want], abs=1e-12)
+
+
+def test_sum_without_order(spark):
+    """Sums have the same bits in every order, a single value is itself, and tiny parts aren't lost."""
+    rng = random.Random(5)
+    wide = [rng.random() * 10 ** rng.randint(-25, 6) for _ in range(3_000)]
+    groups = {"wide": wide, "tenths": [0.1] * 1_000, "one": [1e-17 / 3], "tiny": [1e-60], "both": [5e-100, 1.5], "none": [0.0, 0.0], "edge": [2.0**-120, 2.0**-150]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    seen = []
+    for tasks in (1, 7, 64):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "k string, v double").repartition(tasks)
+        seen.append({r["k"]: r["s"] for r in df.groupBy("k").agg(exact_sum(F.col("v")).alias("s")).collect()})
+    assert seen[0] == seen[1] == seen[2]
+    for k, values in groups.items():
+        assert seen[0][k] == pytest.approx(fsum(values), rel=1e-15)
+    assert seen[0]["one"] == 1e-17 / 3 and seen[0]["tiny"] == 1e-60 and seen[0]["none"] == 0
+
+
+def test_moments_in_blocks(spark, monkeypatch):
+    """Moments are those of all values, however many blocks these are dealt out to; equal values have no variance at all."""
+    rng = random.Random(8)
+    rows = [("a", 2, f"L{i}", rng.gauss(5, 0.001)) for i in range(500)] + [("b", 2, f"L{i}", 0.1) for i in range(500)]
+    df = spark.createDataFrame(rows, "pop string, g int, locus string, value double")
+    for block in (4_096, 100, 1):
+        monkeypatch.setattr(ops, "BLOCK", block)
+        got = {r["pop"]: r for r in ops.summary(df, ["pop"], 500).collect()}
+        for pop in "ab":
+            values = [r[3] for r in rows if r[0] == pop]
+            assert got[pop]["num_loci"] == 500 and got[pop]["mean"] == pytest.approx(fsum(values) / 500, rel=1e-14)
+            assert got[pop]["var"] == pytest.approx(variance(values) if pop == "a" else 0, rel=1e-9, abs=1e-30)
+    assert ops.summary(df.where("locus = 'L1'"), ["pop"], 1).where("var is null and std_err is null").count() == 2
+    assert ops.summary(df.limit(0), ["pop"], 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [4_096, 3])
+def test_same_bits_in_every_partitioning(spark, monkeypatch, block):
+    """Rows, their order and the number of tasks change no bit of a result."""
+    monkeypatch.setattr(ops, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(p, *[str(min(int(rng.expovariate(0.15)), 40)) if rng.random() > 0.05 else "-9" for _ in range(7)]) for p in "ABCD" for _ in range(60)]
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in (1, 3, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            rng.shuffle(rows)
+            with tiny(spark, rows, max_g=12) as d:
+                results = [d.richness(), d.every_combination([1, 2, 3], places=False), d.richness_by_locus(), d.combinations_by_locus(2)]
+                seen.append([sorted(map(tuple, r.collect()), key=repr) for r in results])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and all(seen[0])
