@@ -218,43 +218,35 @@ def subset_terms(classes: DataFrame, ks: list[int], most: int) -> DataFrame:
 # --- combinations by number ---
 
 
-def binomial(n: Column, k: int) -> Column:
-    """C(n, k) as a long; 0 where n < k. Every step of the product is a whole number."""
-    steps = F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))
-    full = F.aggregate(steps, F.lit(1).cast("long"), lambda a, i: F.call_function("div", a * (n - k + i), i)) if k else F.lit(1).cast("long")
-    return F.when(n < k, F.lit(0).cast("long")).otherwise(full)
+def _binomial(n: str, k: int) -> str:
+    """C(n, k) as a long, in SQL; 0 where n < k. Every step of the product is a whole number."""
+    full = f"aggregate(sequence(1L, {k}L), 1L, (p, i) -> (p * ({n} - {k}L + i)) div i)" if k else "1L"
+    return f"if({n} < {k}L, 0L, {full})"
 
 
-def unranked(rank: Column, among: int, k: int) -> Column:
-    """The ``rank``-th combination of ``k`` of the numbers below ``among``, in lexicographic order from 0, as an ascending array.
+def unranked(rank: str, among: int, k: int) -> Column:
+    """The combination of ``k`` of the numbers below ``among`` that the column ``rank`` numbers, in lexicographic order from 0, as an ascending array.
 
     Counted from the last combination, rank is a sum of binomials C(c, k) + C(c', k - 1) + ... with descending c; each c is
-    found by binary search, and stands for the number among - 1 - c.
+    found by binary search, and stands for the number among - 1 - c. As one SQL text it is built in one call.
     """
     total = comb(among, k)
     if total * max(among, 1) >= 2**63:
         raise ValueError(f"too many combinations of {k} of {among} to number")
-    state = F.struct(F.array().cast("array<int>").alias("out"), (F.lit(total - 1).cast("long") - rank).alias("left"))
+    state = f"named_struct('out', cast(array() as array<int>), 'left', {total - 1}L - `{rank}`)"
     for t in range(k, 0, -1):
         # held in an array of one, so that each search is written once in the expression
-        state = F.get(F.transform(F.array(state), _next_number(among, t)), F.lit(0))
-    return state["out"]
+        state = f"get(transform(array({state}), s{t} -> {_next_number(among, t)}), 0)"
+    return F.expr(state)["out"]
 
 
-def _next_number(among: int, t: int):
-    """The step of ``unranked`` that finds the number with ``t - 1`` more to come."""
-
-    def found(state: Column) -> Column:
-        def half(a: Column, _: Column) -> Column:
-            mid = F.shiftright(a["lo"] + a["hi"] + 1, 1)
-            fits = binomial(mid, t) <= state["left"]
-            return F.struct(F.when(fits, mid).otherwise(a["lo"]).alias("lo"), F.when(fits, a["hi"]).otherwise(mid - 1).alias("hi"))
-
-        ends = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(among - 1).cast("long").alias("hi"))
-        c = F.aggregate(F.sequence(F.lit(0), F.lit(among.bit_length())), ends, half, lambda a: a["lo"])
-        return F.get(F.transform(F.array(c), lambda c: F.struct(F.array_append(state["out"], (F.lit(among - 1) - c).cast("int")).alias("out"), (state["left"] - binomial(c, t)).alias("left"))), F.lit(0))
-
-    return found
+def _next_number(among: int, t: int) -> str:
+    """The step of ``unranked`` from the state ``s<t>``, in SQL: finds the number with ``t - 1`` more to come."""
+    half = f"if({_binomial('m', t)} <= s{t}.left, named_struct('lo', m, 'hi', h.hi), named_struct('lo', h.lo, 'hi', m - 1L))"
+    halved = f"get(transform(array(shiftright(h.lo + h.hi + 1L, 1)), m -> {half}), 0)"
+    found = f"aggregate(sequence(0, {among.bit_length()}), named_struct('lo', 0L, 'hi', {among - 1}L), (h, step) -> {halved}, h -> h.lo)"
+    extended = f"named_struct('out', array_append(s{t}.out, cast({among - 1}L - c as int)), 'left', s{t}.left - {_binomial('c', t)})"
+    return f"get(transform(array({found}), c -> {extended}), 0)"
 
 
 # --- statistics over loci ---
@@ -305,7 +297,7 @@ def combinations_of(spark, among: int, k: int) -> DataFrame:
     """(combo) of every combination of ``k`` of the numbers below ``among``. Every task makes those of a range of numbers."""
     total = comb(among, k)
     tasks = max(1, min(spark.sparkContext.defaultParallelism * 4, total // 1_000))
-    return spark.range(0, total, 1, tasks).select(unranked(F.col("id"), among, k).alias("combo"))
+    return spark.range(0, total, 1, tasks).select(unranked("id", among, k).alias("combo"))
 
 
 def combination_grid(spark, pops: list[str], k: int, most: int) -> DataFrame:

@@ -114,7 +114,7 @@ class Diversity:
         """combo, g, locus, value for every combination, g and locus; with ``places`` also the populations' places in order, first."""
         total, place = comb(len(self.pops), k), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(comb(len(self.pops), k), 1) - 1).cast("long")))
         loci = self.sizes.select("locus").distinct().where(F.lit(total > 0)).select("locus", place.alias("rank"))
-        each = ops.by_g(loci.select("locus", ops.unranked(F.col("rank"), len(self.pops), k).alias("combo")), self.most_g)
+        each = ops.by_g(loci.select("locus", ops.unranked("rank", len(self.pops), k).alias("combo")), self.most_g)
         found = each.join(self._terms([k]), ["combo", "g", "locus"], "left")
         return found.select(*self._names(places), "g", "locus", F.coalesce("value", F.lit(0.0)).alias("value"))
 
