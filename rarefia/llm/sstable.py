@@ -20,9 +20,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +34,20 @@ from .common import columns_or_null, scratch_dir, ship, table, written
 MAGIC = b"SSTRUN01"
 #: Bytes of a block before compression, Bloom bits for each key and probes, and the id that ends a document.
 BLOCK, BITS, PROBES, END = 65_536, 10, 7, 2
-#: Words that a task remembers the ids of; then it starts anew.
-MEMO = 1_000_000
-#: Words that are encoded as one string, and the longest such word.
+#: Pieces of words that a task remembers the ids of (then it starts anew), and bytes of text whose words are told apart together.
+MEMO, TOGETHER = 1_000_000, 16_000_000
+#: Pieces that are encoded as one string, and the longest such piece.
 JOINED, LONGEST = 2_000, 256
-#: A space that white space follows. Python's class holds all of the library's and U+001C to U+001F.
-SPACE_IN_RUN = re.compile(r" \s").search
+#: Python's white space, which holds all of the library's and U+001C to U+001F, as a class of Arrow's expressions.
+SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A space that white space follows, or that ends a text after some.
+SPACE_IN_RUN = rf" {SPACES}|{SPACES} \z"
 WHITE = re.compile(r"\s").search
+#: A Latin letter or ASCII digit before an ASCII mark (neither letter, number nor white space).
+BEFORE_MARK = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-`{-~])"
+
+#: A pre-token of Latin letters.
+LATIN = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullmatch
 
 
 # --- the file format ---
@@ -151,10 +160,19 @@ class Reader:
 # --- encoding ---
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """The tokenizers library, with the ids of words remembered. A pre-token of this byte-level pattern has a space inside or at
-    its end only as part of a run of white space (of any kind, U+00A0 and line ends too): where a space is followed by more of
-    it, or ends a text after some. A text without either has the ids of its words, each with its space; others go whole."""
+    """The tokenizers library, with the ids of pieces of words remembered. A pre-token of this byte-level pattern has a space inside
+    or at its end only as part of a run of white space (of any kind, U+00A0 and line ends too): where a space is followed by more
+    of it, or ends a text after some. A text without either has the ids of its words, each with its space; others go whole. No
+    pre-token goes on from a letter or number to a mark, so words are cut there. Arrow tells words and pieces apart and puts their
+    ids together; Python sees each piece once for many texts."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -162,9 +180,13 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        first = self.library.pre_tokenizer
+        # whether a pre-token reaches the library's model as its bytes and nothing else
+        self.bare = self.library.normalizer is None and isinstance(first, pre_tokenizers.ByteLevel) and first.use_regex and not first.add_prefix_space
+        self.model, self.letters = self.library.model, _byte_letters()
         self.width = 2 if self.library.get_vocab_size() < 2**16 else 4
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -180,17 +202,26 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember words. A line end between two other characters is a pre-token, so words are cut there; and many pieces
-        without white space (but a space before them) are encoded as one string, with line ends between them."""
-        known, short, other = self.known, [], []
-        lines = {w: w.split("\n") for w in words if "\n" in w}
-        several = {w: p for w, p in lines.items() if all(p) and p[0] != " " and not WHITE(w[1:].replace("\n", ""))}
-        pieces = (words - several.keys()).union(*several.values())
-        for w in pieces:
-            if w not in known:
-                (other if not w or w == " " or len(w) > LONGEST or WHITE(w, 1) else short).append(w)
-        size = self.width
+    def _pre_token(self, p: str) -> list[int]:
+        """The ids that the library's model gives one pre-token. This is what the library does with it, but for the positions and
+        types that it keeps of each token and that nobody reads here."""
+        return [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters) if not p.isascii() else "\u0120" + p[1:] if p[0] == " " else p)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces. A line end between two other characters is a pre-token, so pieces are cut there. Latin words are one
+        pre-token; many others without white space (but a space before them) are encoded as one string, with line ends between them."""
+        known, latin, short, other, size = self.known, [], [], [], self.width
+        lines = {p: p.split("\n") for p in pieces if "\n" in p}
+        several = {p: x for p, x in lines.items() if all(x) and x[0] != " " and not WHITE(p[1:].replace("\n", ""))}
+        for p in set(pieces).difference(several).union(*several.values()):
+            if p not in known:
+                (latin if self.bare and len(p) <= LONGEST and LATIN(p) else other if not p or p == " " or len(p) > LONGEST or WHITE(p, 1) else short).append(p)
+        for k in range(0, len(latin), JOINED):
+            part = latin[k : k + JOINED]
+            ids = list(map(self._pre_token, part))
+            cuts = list(accumulate(map(len, ids), initial=0))
+            every = np.fromiter(chain.from_iterable(ids), f"<u{size}", cuts[-1]).tobytes()
+            known.update(zip(part, [every[a * size : b * size] for a, b in pairwise(cuts)]))
         for k in range(0, len(short), JOINED):
             part = short[k : k + JOINED]
             ids = self._library(["\n".join(part)])[0]
@@ -200,21 +231,47 @@ class Encoder:
                 known.update(zip(part, [ids[a:b] for a, b in zip([0, *[c + size for c in cuts]], [*cuts, len(ids)])]))
             else:  # a pattern or vocabulary that takes line ends otherwise
                 other += part
-        known.update((w, self._library([w])[0]) for w in other)
+        known.update((p, self._library([p])[0]) for p in other)
         if several:
             between = self._library(["\n"])[0]
-            known.update((w, between.join(map(known.__getitem__, p))) for w, p in several.items())
+            known.update((p, between.join(map(known.__getitem__, x))) for p, x in several.items())
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [SPACE_IN_RUN(t) or (t[-1:] == " " and t[-2:-1].isspace()) for t in texts]
-        plain = [not r and "\0" not in t and not any(s in t for s in self.special) for t, r in zip(texts, runs)]
-        words = [t.replace(" ", "\0 ").split("\0") if p else [] for t, p in zip(texts, plain)]
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """Each word's ids as bytes."""
+        cut = pc.split_pattern(pc.replace_substring_regex(words, BEFORE_MARK, "\\1\0\\2"), "\0")
+        apart = cut.flatten().dictionary_encode()
+        pieces = apart.dictionary.to_pylist()
         if len(self.known) > MEMO:
             self.known.clear()
-        known = self.known
-        self._learn(set().union(*words) - known.keys())
-        joined = [b"".join(map(known.__getitem__, w)) if p else self._library([t])[0] for t, w, p in zip(texts, words, plain)]
-        return [np.frombuffer(j, dtype=f"<u{self.width}") for j in joined]
+        found = [self.known.get(p) for p in pieces]
+        new = [i for i, f in enumerate(found) if f is None]
+        self._learn([pieces[i] for i in new])
+        for i in new:
+            found[i] = self.known[pieces[i]]
+        _, ends, data = pa.array(found, pa.large_binary()).take(apart.indices).buffers()
+        at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at), data])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(texts, SPACE_IN_RUN)
+        for s in ["\0", *self.special]:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        split = pc.split_pattern(texts.filter(pc.invert(whole)), " ")
+        begin, words = split.offsets.to_numpy(), split.flatten()
+        apart = words.dictionary_encode()
+        space, none = (pa.scalar(x, words.type) for x in (" ", ""))
+        spaced = pc.binary_join_element_wise(space, apart.dictionary, none)
+        # a text's first word has no space before it
+        heads = words.take(pa.array(begin[:-1])).dictionary_encode()
+        at = apart.indices.to_numpy(zero_copy_only=False).copy()
+        at[begin[:-1]] = heads.indices.to_numpy(zero_copy_only=False) + len(spaced)
+        ids = self._ids(pa.concat_arrays([spaced, heads.dictionary])).take(pa.array(at))
+        kind, (_, offsets, data) = f"<u{self.width}", ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[begin] // self.width
+        every = np.frombuffer(data, kind, ends[-1]) if ends[-1] else np.empty(0, kind)
+        plain = iter(zip(ends[:-1].tolist(), ends[1:].tolist()))
+        return [np.frombuffer(self._library([texts[i].as_py()])[0], kind) if w else every[slice(*next(plain))] for i, w in enumerate(whole.to_pylist())]
 
 
 def write_tables(docs: DataFrame, vocabulary: str, folder: str, tables: int | None = None, end: int = END) -> DataFrame:
@@ -234,12 +291,15 @@ def write_tables(docs: DataFrame, vocabulary: str, folder: str, tables: int | No
         system, root = fs.FileSystem.from_uri(folder)
         name, own = f"part-{part:06d}.sst", f"{root}/_writing-{uuid.uuid4().hex}"
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                ids = encoder.encode(b.column("text").slice(k, 256).to_pylist())
+            passed = pc.cumulative_sum(pc.binary_length(b.column("text")).cast(pa.int64())).to_numpy() // TOGETHER
+            cuts = [*np.flatnonzero(np.diff(passed, prepend=-1)).tolist(), b.num_rows]
+            for k, to in zip(cuts, cuts[1:]):
+                some = b.slice(k, to - k)
+                ids = encoder.encode(some.column("text"))
                 if writer is None and ids:
                     system.create_dir(root)
                     writer = Writer(system.open_output_stream(own), encoder.width)
-                for doc_id, i in zip(b.column("doc_id").slice(k, 256).to_pylist(), ids):
+                for doc_id, i in zip(some.column("doc_id").to_pylist(), ids):
                     writer.add(key_of(doc_id), np.append(i, np.array([end], dtype=i.dtype)))
         if writer:
             writer.close()

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,31 @@ def test_ids_of_white_space_runs(tmp_path):
         assert [i.tolist() for i in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_words(tmp_path):
+    """Words that differ in marks only are learnt once, and every cut is one that the library makes, too."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), sstable.Encoder(path)
+    stems = [f"{a}{b}{c}" for a in ("ka", "Lo", "m\u00ef", "nu") for b in ("ran", "b\u00e9l", "dor") for c in ("fin", "gus", "2")]
+    texts = [" ".join(s + m for s in stems) for m in (".", ",", "!!", "$$$", "'", "-x,", "...", ")", "")]
+    assert [i.tolist() for i in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder.known) < 3 * len(stems)
+    rng = random.Random(7)
+    marks = ["don't", "we'LL", "'s", "'ve.", "x", "\u00d7", "\u00f7a", "\u00aab", "\u00e9", "e\u0301", "\u0250", "\u4e2d", "\u03b1'", "9", "\u00b2", "_", ".", "'", "`", "\0", "\n", "\u00a0", "<|endoftext|>", " ", " ", " ", "\U0001f600", "z" * 300]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in encoder.encode(texts)] == want
+    assert [i.tolist() for i in encoder.encode(pa.array(texts, pa.large_string()))] == want
+    assert [i.tolist() for i in encoder.encode(pa.array(["a", *texts], pa.string())[1:])] == want
+    assert encoder.encode([]) == [] and [i.tolist() for i in encoder.encode(["", "a  b"])] == [[], library.encode("a  b", add_special_tokens=False).ids]
+    odd = Tokenizer.from_file(path)
+    odd.pre_tokenizer.add_prefix_space = True
+    odd.save(str(tmp_path / "odd.json"))
+    assert not sstable.Encoder(str(tmp_path / "odd.json")).bare and encoder.bare
+
+
 def test_sharding(spark, odd_docs):
     rows = sharding.assign_shards(odd_docs, shards=3, ranges_per_shard=4).collect()
     assert len(rows) == odd_docs.count()
