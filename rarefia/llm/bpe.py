@@ -101,9 +101,10 @@ def _cut(df: DataFrame, others: list[str], names: str, places) -> DataFrame:
 
 
 def cut_chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(row, c, text): a row for every chunk of every text."""
+    """(row, c, text): a row for every chunk of every text. Chunks are dealt out before anything is done with them: those of one text
+    run in parallel, and a task keeps one Python worker, not one that cuts and one that holds the vocabulary."""
     step = chunk - overlap
-    return _cut(docs.select("row", "text"), ["row"], "c text", lambda row, n: [(a, a + chunk) for a in range(0, max(n - overlap, 1), step)])
+    return _cut(docs.select("row", "text"), ["row"], "c text", lambda row, n: [(a, a + chunk) for a in range(0, max(n - overlap, 1), step)]).repartition("row", "c")
 
 
 def agreed_boundaries(chunks: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:

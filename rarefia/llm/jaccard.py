@@ -42,7 +42,6 @@ WINDOW, FREQUENT, MOST_FREQUENT = 2_000_000, 4, 1_000_000
 STREAM, BLOCK, MEMBERS = 1_000, 200_000, 500
 #: The count from which a frequent shingle's rows aren't brought together to see whether it repeats.
 HOT = 1_000
-MEMO = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,27 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_memo = _Memo()
 _SALTS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles."""
+    """The sorted 64-bit hashes of a text's distinct shingles. Hashing a word is quicker than looking its hash up, and a worker that
+    remembers words would hold them through the stages that follow."""
+    import xxhash
+
     words = (text or "").encode().lower().split()  # of bytes: A-Z, and white space U+0009 to U+000D and U+0020
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(_memo.__getitem__, words)), dtype=np.uint64)
+    h = np.array(list(map(xxhash.xxh64_intdigest, words)), dtype=np.uint64)
     span, factor = min(n, WORDS), np.uint64(0x9E3779B97F4A7C15)
     out = np.full(n - span + 1, span, np.uint64)
     for i in range(span):

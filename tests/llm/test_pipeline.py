@@ -41,3 +41,32 @@ def test_stages_share_no_state(spark, odd_docs):
         want = Counter(map(str, stage(spark, odd_docs, "").collect()))
         first, second = stage(spark, odd_docs, ""), stage(spark, odd_docs.where("doc_id < 20"), "")
         assert Counter(map(str, first.collect())) == want and second.count() <= sum(want.values())
+
+
+def test_workers_stay_small(spark, odd_docs):
+    """What idle Python workers hold counts in the stages that follow: a word that was hashed isn't kept, and no task of the
+    tokenizer's stage has two workers, the one's output being the other's input."""
+    import tracemalloc
+
+    text = " ".join(f"word{i}" for i in range(50_000))
+    jaccard.shingles("a few words to load what is loaded once")
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        jaccard.shingles(text)
+        assert tracemalloc.get_traced_memory()[0] - before < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+    seen = []
+
+    def one_at_most(node, python=False):
+        name = node.nodeName()
+        python = python and "Exchange" not in name
+        assert not (python and name == "MapInArrow")
+        seen.append(name)
+        for i in range(node.children().size()):
+            one_at_most(node.children().apply(i), python or name == "MapInArrow")
+
+    one_at_most(bpe.code_digests(odd_docs)._jdf.queryExecution().executedPlan().initialPlan())
+    assert seen.count("MapInArrow") > 4
